@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprint, line_dedup
+from . import bpe, exact_dedup, fingerprint, line_dedup, packing
 from .common import table
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's file on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -18,9 +25,17 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op2_merkle_fingerprints, op3_line_dedup, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_merkle_fingerprints, op3_line_dedup, op6_bpe_encode_decode, op7_hilbert_packing, op8_exact_dedup)}
 ORACLES = {"op2_merkle_fingerprints": fingerprint.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
