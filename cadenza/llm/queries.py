@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, langid, line_dedup, near_dedup, packing, quality
+from . import bpe, exact_dedup, fingerprint, langid, line_dedup, near_dedup, packing, quality, substring_dedup
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -49,5 +54,5 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fingerprints, op3_line_dedup, op4_quality, op6_bpe_encode_decode, op7_hilbert_packing, op8_exact_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fingerprints, op3_line_dedup, op4_quality, op5_suffix_array_dedup, op6_bpe_encode_decode, op7_hilbert_packing, op8_exact_dedup, op10_minhash_near_dedup)}
 ORACLES = {"op2_merkle_fingerprints": fingerprint.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
