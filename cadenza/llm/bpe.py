@@ -173,9 +173,36 @@ def split_chunks(text: str) -> list[str]:
     return text.split()
 
 
+class Spaced:
+    """The form of ids as strings with one space between."""
+
+    def __init__(self, strings: list[str]):
+        self.strings, self.join = strings, " ".join
+
+    def one(self, token: int) -> str:
+        return self.strings[token]
+
+    def words(self, ids: np.ndarray, ends: list[int]) -> list[str]:
+        every = [self.strings[i] for i in ids.tolist()]
+        return [" ".join(every[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+class Raw:
+    """The form of ids as little-endian numbers of `width` bytes."""
+
+    def __init__(self, width: int):
+        self.width, self.join = width, b"".join
+
+    def one(self, token: int) -> bytes:
+        return token.to_bytes(self.width, "little")
+
+    def words(self, ids: np.ndarray, ends: list[int]) -> list[bytes]:
+        raw, w = ids.astype(f"<u{self.width}").tobytes(), self.width
+        return [raw[a * w : b * w] for a, b in zip(ends, ends[1:])]
+
+
 class ChunkCache:
-    """Forms of each chunk's ids, kept between batches up to CACHE chunks. A form is (join, of): `of` makes the form of
-    each id, `join` the form of several ids or of several words."""
+    """Forms of each chunk's ids, kept between batches. Beyond CACHE chunks only those that had come up before stay."""
 
     def __init__(self, bpe: WordBPE, forms: list):
         self.bpe, self.forms = bpe, forms
@@ -190,25 +217,31 @@ class ChunkCache:
             gc.enable()
 
     def _learn(self, texts: list[str]) -> list[list[str]]:
-        if len(self.kept[0]) > CACHE:
-            for d in self.kept:
-                d.clear()
         chunks = [self.bpe.chunks(t) for t in texts]
         fresh: set[str] = set()
         for c in chunks:
             fresh.update(c)
-        new = [c for c in fresh if c not in self.kept[0]]
+        if len(self.kept[0]) > CACHE:
+            again = fresh & self.kept[0].keys()
+            self.kept = [{c: d[c] for c in again} for d in self.kept]
+        new = list(fresh - self.kept[0].keys())
         for lo in range(0, len(new), 150_000):
-            part = new[lo : lo + 150_000]
-            pieces = [self.bpe.pieces(c) for c in part]
-            distinct = list({w for p in pieces for w in p if w not in self.bpe.special})
-            ids, ends = self.bpe.encode_words([w.encode() for w in distinct])
-            ids, ends = ids.tolist(), ends.tolist()
-            for d, (join, of) in zip(self.kept, self.forms, strict=True):
-                every = [of[i] for i in ids]
-                word = {w: join(every[a:b]) for w, a, b in zip(distinct, ends, ends[1:])}
-                word.update({t: of[i] for t, i in self.bpe.special.items()})
-                d.update((c, word[p[0]] if len(p) == 1 else join([word[w] for w in p])) for c, p in zip(part, pieces, strict=True))
+            alone: list[str] = []  # chunks that are one word
+            mixed: list[tuple[str, list[str]]] = []
+            for c in new[lo : lo + 150_000]:
+                if c.isalpha():
+                    alone.append(c)
+                else:
+                    mixed.append((c, self.bpe.pieces(c)))
+            distinct = list({*alone, *(w for _, p in mixed for w in p)} - self.bpe.special.keys())
+            ids, offsets = self.bpe.encode_words([w.encode() for w in distinct])
+            ends = offsets.tolist()
+            for d, form in zip(self.kept, self.forms, strict=True):
+                word = dict(zip(distinct, form.words(ids, ends), strict=True))
+                word.update((t, form.one(i)) for t, i in self.bpe.special.items())
+                d.update(zip(alone, map(word.__getitem__, alone)))
+                join = form.join
+                d.update((c, join([word[w] for w in p])) for c, p in mixed)
         return chunks
 
 
@@ -234,16 +267,12 @@ def slices(texts: list[str], most: int = 16_000_000):
         yield lo, len(texts)
 
 
-def spaced_numbers(bpe: WordBPE) -> tuple:
-    return " ".join, [str(i) for i in range(len(bpe.token))]
-
-
-def spaced_tokens(bpe: WordBPE) -> tuple:
-    return " ".join, bpe.token
+def spaced_numbers(bpe: WordBPE) -> Spaced:
+    return Spaced([str(i) for i in range(len(bpe.token))])
 
 
-def raw_ids(bpe: WordBPE) -> tuple:
-    return b"".join, [int(i).to_bytes(4, "little") for i in range(len(bpe.token))]
+def spaced_tokens(bpe: WordBPE) -> Spaced:
+    return Spaced(bpe.token)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -255,7 +284,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
     """
 
     def run(batches):
-        cache = loaded(path, "both", lambda b: ChunkCache(b, [raw_ids(b), spaced_tokens(b)]))
+        cache = loaded(path, "both", lambda b: ChunkCache(b, [Raw(4), spaced_tokens(b)]))
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices(texts):

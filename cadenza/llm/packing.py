@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkCache, loaded, raw_ids, slices
+from .bpe import ChunkCache, Raw, loaded, slices
 from .common import materialize, partitions
 
 #: Buckets of the hashed document vector, dimensions it is projected to, bits of the curve in each dimension.
@@ -62,7 +62,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_i
     """doc_id, curve long, ids binary (little-endian 32-bit, 16-bit where the vocabulary allows), one row per row."""
 
     def run(batches):
-        cache = loaded(path, "raw16", lambda b: ChunkCache(b, [(b"".join, [i.to_bytes(2, "little") for i in range(len(b.token))])]) if len(b.token) <= 1 << 16 else ChunkCache(b, [raw_ids(b)]))
+        cache = loaded(path, "raw", lambda b: ChunkCache(b, [Raw(2 if len(b.token) <= 1 << 16 else 4)]))
         wide = len(cache.bpe.token) > 1 << 16
         kind = "<u4" if wide else "<u2"
         bucket = (np.arange(len(cache.bpe.token), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
