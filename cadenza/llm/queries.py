@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprint, langid, line_dedup, near_dedup, packing, quality, substring_dedup
+from . import bpe, exact_dedup, fingerprint, langid, line_dedup, lm_score, near_dedup, packing, quality, substring_dedup
 from .common import table
 
 
@@ -50,9 +50,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fingerprints, op3_line_dedup, op4_quality, op5_suffix_array_dedup, op6_bpe_encode_decode, op7_hilbert_packing, op8_exact_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_merkle_fingerprints, op3_line_dedup, op4_quality, op5_suffix_array_dedup, op6_bpe_encode_decode, op7_hilbert_packing, op8_exact_dedup, op9_lm_score, op10_minhash_near_dedup)}
 ORACLES = {"op2_merkle_fingerprints": fingerprint.ORACLE, "op3_line_dedup": line_dedup.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
