@@ -1 +1,9 @@
-"""Part of the cadenza engine."""
+"""Registered queries of the recording-quality operators and the SQL that must agree with them."""
+
+from . import interval_queries
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _module in (interval_queries,):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
