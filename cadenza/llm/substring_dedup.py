@@ -26,7 +26,7 @@ from .common import materialize
 #: Starts that share a trigger search; 8-gram hashes are taken at each byte.
 WINDOW, GRAM = 256, 8
 #: Distinct phrases of one trigger context that a task ranks together; larger contexts are dealt over several tasks.
-TILE = 4096
+TILE = 1024
 #: Bytes of phrases ranked at a time.
 RANKED = 4_000_000
 #: Bits of the filter that spares documents without marks the shuffle: fixed, whatever the input.
@@ -300,30 +300,26 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     return full.union(local).union(ranked.where("w1 IS NULL").select("doc_id", "th", "lo", "hi")).union(wide)
 
 
-def remove_repeated_strings(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, spans array<struct<lo, hi>>, kept binary.
+def whole_characters(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """Spans shrunk so that they neither begin nor end within a UTF-8 character."""
+    out = []
+    for lo, hi in spans:
+        while lo < hi and raw[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if lo < hi:
+            out.append([lo, hi])
+    return out
 
-    Texts are UTF-8 bytes. Each byte covered by a string of `length` bytes that also starts anywhere else, in the same
-    document or another, is removed; overlaps count, matches never cross documents and are judged on the input. spans
-    are the maximal removed runs, kept the remaining bytes joined.
 
-    Null and short texts lose nothing. Rows that repeat an id and a text are two documents with one text: each lies in
-    the other. Rows that share only an id are told apart by a hash of the text. Null ids are ids like others. An empty
-    table gives an empty result; other columns are not read.
-    """
-    if length < GRAM + 1:
-        raise ValueError(f"length must be over {GRAM}")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"))
-    marks = repeated_starts(rows, length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    marks = materialize(marks, "marks")
-    some, none = _split_by_filter(rows, marks)
-    joined = some.alias("t").join(marks.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.th") == F.col("m.th")), "left").select("t.doc_id", "t.text", "m.runs")
+def _remover(length: int, whole: bool):
+    """Rows (doc_id, text, runs of starts, carried columns) to doc_id, n_bytes, n_removed, spans, kept, carried columns."""
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for doc, t, runs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = t.encode()
                 spans: list[list[int]] = []
                 for lo, hi in sorted((r["lo"], r["hi"]) for r in runs or ()):
@@ -332,19 +328,64 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400, text: str = "tex
                         spans[-1][1] = max(spans[-1][1], end)
                     else:
                         spans.append([lo, end])
+                if whole:
+                    spans = whole_characters(raw, spans)
                 edges = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(raw), len(raw) - len(kept), [{"lo": a, "hi": b} for a, b in spans], kept))
+                out.append((len(raw), len(raw) - len(kept), [{"lo": a, "hi": b} for a, b in spans], kept))
             if out:
-                types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+                types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.binary()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], batch.column(3)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "carried"])
+
+    return run
+
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    changed = joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary")
-    same = none.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("CAST(array() AS array<struct<lo: bigint, hi: bigint>>)").alias("spans"), F.col("text").cast("binary").alias("kept"))
+def _removed(docs: DataFrame, length: int, text: str, doc_id: str, carried: list[str], whole: bool) -> DataFrame:
+    if length < GRAM + 1:
+        raise ValueError(f"length must be over {GRAM}")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keep = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.lit(0).alias("none"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"), keep.alias("carried"))
+    marks = repeated_starts(rows.select("doc_id", "th", "text"), length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    marks = materialize(marks, "marks")
+    some, none = _split_by_filter(rows, marks)
+    joined = some.alias("t").join(marks.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.th") == F.col("m.th")), "left").select("t.doc_id", "t.text", "m.runs", "t.carried")
+    kinds = rows.schema["doc_id"].dataType.simpleString(), rows.schema["carried"].dataType.simpleString()
+    changed = joined.mapInArrow(_remover(length, whole), f"doc_id {kinds[0]}, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary, carried {kinds[1]}")
+    same = none.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("CAST(array() AS array<struct<lo: bigint, hi: bigint>>)").alias("spans"), F.col("text").cast("binary").alias("kept"), "carried")
     return changed.union(same)
 
 
+def remove_repeated_strings(docs: DataFrame, length: int = 400, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, spans array<struct<lo, hi>>, kept binary.
+
+    Texts are UTF-8 bytes. Each byte covered by a string of `length` bytes that also starts anywhere else, in the same
+    document or another, is removed; overlaps count, matches never cross documents and are judged on the input. spans
+    are the maximal removed runs, kept the remaining bytes joined.
+
+    Null and short texts lose nothing. Rows that repeat an id and a text are two documents with one text: each lies in
+    the other. Rows that share only an id are told apart by a hash of the text. Null ids are ids like others. An empty
+    table gives an empty result; other columns are not read.
+    """
+    return _removed(docs, length, text, doc_id, [], False).drop("carried")
+
+
+def without_repeated_passages(docs: DataFrame, length: int, text: str = "text", doc_id: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
+    """docs with texts as remove_repeated_strings leaves them, cut at whole characters, and n_chars counted anew; all
+    rows and other columns stay, null texts become empty. Nulls, repeats and empty tables as there."""
+    others = [c for c in docs.columns if c not in (text, n_chars)]
+    out = _removed(docs, length, text, doc_id, others, True)
+    columns = []
+    for c in docs.columns:
+        if c == text:
+            columns.append(F.col("kept").cast("string").alias(c))
+        elif c == n_chars:
+            columns.append(F.length(F.col("kept").cast("string")).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(f"carried.c{others.index(c)}").alias(c))
+    return out.select(*columns)
+
+
 def brute_force(texts: dict, length: int) -> dict:
     """What remove_repeated_strings must answer, by a dictionary of all strings: id -> (bytes, removed, spans, sha256)."""
     raws = {k: (t or "").encode() for k, t in texts.items()}
