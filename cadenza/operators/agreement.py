@@ -30,7 +30,7 @@ def gwet_ac1(df: DataFrame, item: str, rating: str) -> DataFrame:
     share = counts.groupBy(rating).agg(F.sum(F.col("k") / F.col("r")).alias("__s")).crossJoin(F.broadcast(items)).withColumn("__p", F.col("__s") / F.col("__n"))
     chance = share.agg(F.count(F.lit(1)).alias("__q"), F.sum(F.col("__p") * (1 - F.col("__p"))).alias("__pp"))
     out = observed.crossJoin(F.broadcast(chance)).withColumn("__e", F.when(F.col("__q") > 1, F.col("__pp") / (F.col("__q") - 1)).otherwise(0.0))
-    return out.select("items", "observed", ((F.col("observed") - F.col("__e")) / (1 - F.col("__e"))).alias("ac1"))
+    return out.select("items", "observed", F.try_divide(F.col("observed") - F.col("__e"), 1 - F.col("__e")).alias("ac1"))
 
 
 def fleiss_kappa(df: DataFrame, item: str, rating: str, raters: int) -> DataFrame:
@@ -52,8 +52,8 @@ def icc_two_way(df: DataFrame, item: str, rater: str, value: str, raters: int) -
     k, n = F.lit(float(raters)), F.col("n")
     t = t.withColumns({"__msr": n * k * F.col("__vr") / (n - 1) / 1.0, "__msc": n * k * F.col("__vc") / (k - 1)})
     t = t.withColumn("__mse", (n * k * (F.col("__v") - F.col("__vr") - F.col("__vc"))) / ((n - 1) * (k - 1)))
-    one = (F.col("__msr") - F.col("__mse")) / (F.col("__msr") + (k - 1) * F.col("__mse") + k * (F.col("__msc") - F.col("__mse")) / n)
-    many = (F.col("__msr") - F.col("__mse")) / (F.col("__msr") + (F.col("__msc") - F.col("__mse")) / n)
+    one = F.try_divide(F.col("__msr") - F.col("__mse"), (F.col("__msr") + (k - 1) * F.col("__mse") + k * (F.col("__msc") - F.col("__mse")) / n))
+    many = F.try_divide(F.col("__msr") - F.col("__mse"), (F.col("__msr") + (F.col("__msc") - F.col("__mse")) / n))
     return t.select("n", one.alias("icc2_1"), many.alias("icc2_k"))
 
 
@@ -99,6 +99,6 @@ def binary_agreement(df: DataFrame, item: str, rating: str) -> DataFrame:
     pp = F.col("k") * (F.col("k") - 1) / (F.col("r") - 1)
     nn = (F.col("r") - F.col("k")) * (F.col("r") - F.col("k") - 1) / (F.col("r") - 1)
     return per.agg(
-        F.count(F.lit(1)).alias("items"), (F.sum("k") / F.sum("r")).alias("prevalence"), (F.sum(pp) / F.sum("k")).alias("positive_agreement"),
-        (F.sum(nn) / F.sum(F.col("r") - F.col("k"))).alias("negative_agreement"), F.avg(((F.col("k") == 0) | (F.col("k") == F.col("r"))).cast("double")).alias("unanimous"),
+        F.count(F.lit(1)).alias("items"), F.try_divide(F.sum("k"), F.sum("r")).alias("prevalence"), F.try_divide(F.sum(pp), F.sum("k")).alias("positive_agreement"),
+        F.try_divide(F.sum(nn), F.sum(F.col("r") - F.col("k"))).alias("negative_agreement"), F.avg(((F.col("k") == 0) | (F.col("k") == F.col("r"))).cast("double")).alias("unanimous"),
     )

@@ -40,7 +40,7 @@ def bootstrap_median(df: DataFrame, cluster: str, value: str, replicates: int) -
     """As bootstrap_mean, for the median over rows; a replicate weighs a cluster's rows by how often it drew it."""
     rows = df.where(F.col(cluster).isNotNull() & F.col(value).isNotNull()).select(cluster, value)
     point = rows.agg(F.percentile(value, 0.5).alias("estimate"), F.countDistinct(cluster).alias("clusters"))
-    stats = rows.join(replicate_weights(rows, cluster, replicates), cluster).groupBy("replicate").agg(F.percentile(value, 0.5, "weight").alias("__m"))
+    stats = rows.join(replicate_weights(rows, cluster, replicates), cluster).groupBy("replicate").agg(F.percentile(value, 0.5, F.col("weight")).alias("__m"))
     return point.crossJoin(stats.agg(F.percentile("__m", 0.025).alias("ci_low"), F.percentile("__m", 0.975).alias("ci_high"), F.count(F.lit(1)).alias("replicates")))
 
 

@@ -33,10 +33,10 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long ratings: item, rater, score, rating (score above 250)."""
+    """Long ratings: item, rater, score, rating (score above 35)."""
     f = frames(spark, sf_dir)
     cell = f.groupBy(F.col("rec").alias("item"), F.col("kind").alias("rater")).agg(F.percentile("level", 0.5).alias("score"))
-    return cell.withColumn("rating", (F.col("score") > 250).cast("int"))
+    return cell.withColumn("rating", (F.col("score") > 35).cast("int"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,5 +51,5 @@ ISLANDS = """m1 AS (SELECT *, max(e) OVER (PARTITION BY rec ORDER BY s, e ROWS B
 m2 AS (SELECT *, sum(CASE WHEN pe IS NULL OR s - pe > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m1),
 isl AS (SELECT rec, min(s) AS s, max(e) AS e, count(*) AS n FROM m2 GROUP BY rec, g)"""
 REPEATS = "rp AS (SELECT o_custkey AS subject, o_orderdate AS visit, o_orderkey AS id, o_totalprice AS feature, o_orderstatus AS status, o_orderpriority AS priority, c_mktsegment AS grp, c_acctbal AS balance FROM orders JOIN customer ON o_custkey = c_custkey)"
-RATINGS = "rt AS (SELECT user_id AS item, event_type AS rater, quantile_cont(value, 0.5) AS score, CAST(quantile_cont(value, 0.5) > 250 AS INT) AS rating FROM events GROUP BY 1, 2)"
+RATINGS = "rt AS (SELECT user_id AS item, event_type AS rater, quantile_cont(value, 0.5) AS score, CAST(quantile_cont(value, 0.5) > 35 AS INT) AS rating FROM events GROUP BY 1, 2)"
 LABELLED = "lb AS (SELECT d.doc_id AS id, n_chars AS score, lang AS stratum, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
