@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def _unique(df: DataFrame, keys: list[str], side: str) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    fine = F.when(n == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{side} side of the join repeats a key")))
-    return df.where(fine)
+    rows = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    fine = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{side} side of the join repeats a key")).cast("boolean"))
+    return rows.where(fine).drop("__n")
 
 
 def checked_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", validate: str = "many_to_one") -> DataFrame:

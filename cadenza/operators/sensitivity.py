@@ -15,12 +15,12 @@ def policy_availability(df: DataFrame, count: str, value: str, policies: list[in
     return rows.groupBy("minimum_count").agg(F.count(F.lit(1)).alias("recordings"), F.count_if("ok").alias("available"), F.avg(F.col("ok").cast("double")).alias("fraction"), F.percentile(F.when(F.col("ok"), F.col(value)), 0.5).alias("median"))
 
 
-def delete_one(df: DataFrame, key: str, unit: str, value: str, sum_only: bool = False) -> DataFrame:
+def delete_one(df: DataFrame, key: str, unit: str, value: str) -> DataFrame:
     """For each unit of a key: the key's mean without it and the change, by subtraction rather than by pairs of units."""
     w = Window.partitionBy(key)
     rows = df.where(F.col(value).isNotNull()).withColumns({"__s": F.sum(value).over(w), "__n": F.count(F.lit(1)).over(w)})
     rest = F.when(F.col("__n") > 1, (F.col("__s") - F.col(value)) / (F.col("__n") - 1))
-    return rows.select(key, unit, F.round(rest, 6).alias("without"), F.round(rest - F.col("__s") / F.col("__n"), 6).alias("change"))
+    return rows.select(key, unit, rest.alias("without"), (rest - F.col("__s") / F.col("__n")).alias("change"))
 
 
 def compare_variants(df: DataFrame, keys: list[str], base: str, variant: str, least: int = 10) -> DataFrame:
