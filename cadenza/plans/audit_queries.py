@@ -99,8 +99,8 @@ def policy_availability(spark, sf):
 
 
 def delete_one_influence(spark, sf):
-    out = sensitivity.delete_one(frames(spark, sf).select("rec", "id", "level"), "rec", "id", "level")
-    return out.select("rec", "id", F.round("without", 4).alias("without"), (F.round("change", 4) + F.lit(0.0)).alias("change"))
+    cents = F.round(F.col("level") * 100).cast("long")
+    return sensitivity.delete_one(frames(spark, sf).select("rec", "id", cents.alias("level")), "rec", "id", "level")
 
 
 def paired_robustness(spark, sf):
@@ -203,8 +203,8 @@ ORACLES = {
     "json_cells": """WITH k AS (SELECT unnest(map_entries(CAST(CAST(props AS JSON) AS MAP(VARCHAR, DOUBLE)))) AS e FROM events) SELECT e.key AS name, count(*) AS cells, sum(e.value) AS total, count(DISTINCT e.value) AS distinct_values FROM k GROUP BY 1""",
     "policy_availability": f"""WITH {REPEATS}, p AS (SELECT subject, count(*) AS n, quantile_cont(feature, 0.5) AS m FROM rp GROUP BY 1), k AS (SELECT unnest([2, 5, 10, 15]) AS minimum_count)
         SELECT minimum_count, count(*) AS recordings, count(*) FILTER (WHERE n >= minimum_count) AS available, round(avg((n >= minimum_count)::INT), 6) AS fraction, round(quantile_cont(CASE WHEN n >= minimum_count THEN m END, 0.5), 6) AS median FROM p, k GROUP BY 1""",
-    "delete_one_influence": f"""WITH {FRAMES}, s AS (SELECT rec, id, level, sum(level) OVER (PARTITION BY rec) AS s, count(*) OVER (PARTITION BY rec) AS n FROM fr)
-        SELECT rec, id, round(CASE WHEN n > 1 THEN (s - level) / (n - 1) END, 4) AS "without", round(CASE WHEN n > 1 THEN (s - level) / (n - 1) - s / n END, 4) + 0.0::DOUBLE AS change FROM s""",
+    "delete_one_influence": f"""WITH {FRAMES}, c AS (SELECT rec, id, CAST(round(level * 100) AS BIGINT) AS v FROM fr), s AS (SELECT rec, id, v, sum(v) OVER (PARTITION BY rec)::BIGINT AS s, count(*) OVER (PARTITION BY rec) AS n FROM c)
+        SELECT rec, id, CASE WHEN n > 1 THEN (s - v) / (n - 1)::DOUBLE END AS "without", CASE WHEN n > 1 THEN (s - v) / (n - 1)::DOUBLE - s / n::DOUBLE END AS change FROM s""",
     "paired_robustness": f"""WITH {REPEATS}, v AS (SELECT grp, feature AS b, CASE WHEN status <> 'P' THEN feature + balance / 10 END AS v FROM rp)
         SELECT grp, count(*) AS rows, count(v) AS pairs, round(avg((v IS NOT NULL)::INT), 6) AS availability_agreement, round(quantile_cont(v - b, 0.5), 6) AS median_difference, round(quantile_cont(abs(v - b), 0.95), 6) AS p95_abs_difference, round(max(abs(v - b)), 6) AS max_abs_difference FROM v GROUP BY grp""",
     "legacy_transitions": f"""WITH {REPEATS}, v AS (SELECT CASE WHEN status = 'F' THEN 0.0 ELSE feature END AS o, CASE WHEN starts_with(priority, '1') THEN 0.0 WHEN starts_with(priority, '2') THEN NULL ELSE feature END AS n FROM rp)
