@@ -71,16 +71,16 @@ def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def robust_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, median, IQR and scaled median absolute deviation."""
-    mid = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("median"), (F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("iqr"))
-    dev = df.join(mid, keys).withColumn("__d", F.abs(F.col(value) - F.col("median")))
-    return dev.groupBy(*keys).agg(F.count(value).alias("n"), F.first("median").alias("median"), F.first("iqr").alias("iqr"), (1.4826 * F.percentile("__d", 0.5)).alias("mad"))
+    mid = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("__mid"), (F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("__iqr"))
+    dev = df.join(mid, keys).withColumn("__d", F.abs(F.col(value) - F.col("__mid")))
+    return dev.groupBy(*keys).agg(F.count(value).alias("n"), F.first("__mid").alias("median"), F.first("__iqr").alias("iqr"), (1.4826 * F.percentile("__d", 0.5)).alias("mad"))
 
 
 def robust_outliers(df: DataFrame, keys: list[str], value: str, limit: float) -> DataFrame:
     """Rows whose distance from their key's median exceeds limit scaled deviations, with that robust z."""
-    spread = robust_spread(df, keys, value).select(*keys, "median", "mad")
-    z = F.when(F.col("mad") > 0, (F.col(value) - F.col("median")) / F.col("mad"))
-    return df.join(spread, keys).withColumn("robust_z", z).where(F.abs("robust_z") > limit).drop("median", "mad")
+    spread = robust_spread(df, keys, value).select(*keys, F.col("median").alias("__mid"), F.col("mad").alias("__mad"))
+    z = F.when(F.col("__mad") > 0, (F.col(value) - F.col("__mid")) / F.col("__mad"))
+    return df.join(spread, keys).withColumn("robust_z", z).where(F.abs("robust_z") > limit).drop("__mid", "__mad")
 
 
 def false_discovery(df: DataFrame, keys: list[str], p: str) -> DataFrame:
