@@ -37,8 +37,9 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ke
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "min") -> DataFrame:
     """docs without the rows that exact_groups does not keep, columns unchanged."""
-    kept = exact_groups(docs, text, doc_id, keep).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept_id"]), "left_semi")
+    kept = exact_groups(docs, text, doc_id, keep).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")).distinct()
+    own = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
+    return docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept_id"]) & (own == kept["__kept_sha"]), "left_semi")
 
 
 ORACLE = """
