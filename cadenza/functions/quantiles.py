@@ -7,6 +7,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BOUNDS = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
 
 
 def _lower_gamma(a: float, x: float) -> float:
@@ -90,18 +93,18 @@ def binomial_bounds(k: float, n: float, alpha: float = 0.05) -> tuple[float, flo
     return low, high
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_ppf(p: pd.Series) -> pd.Series:
     return p.map(lambda x: normal_quantile(x) if x is not None and not math.isnan(x) else np.nan)
 
 
-@F.pandas_udf("low double, high double")
+@F.pandas_udf(BOUNDS)
 def poisson_rate_interval(count: pd.Series, exposure_sec: pd.Series) -> pd.DataFrame:
     """Exact 95 % bounds of a rate per minute."""
     rows = [tuple(b * 60 / e for b in poisson_bounds(c)) if e and e > 0 else (None, None) for c, e in zip(count, exposure_sec, strict=True)]
     return pd.DataFrame(rows, columns=["low", "high"])
 
 
-@F.pandas_udf("low double, high double")
+@F.pandas_udf(BOUNDS)
 def clopper_pearson(k: pd.Series, n: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([binomial_bounds(a, b) for a, b in zip(k, n, strict=True)], columns=["low", "high"])

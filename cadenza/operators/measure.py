@@ -426,7 +426,8 @@ def continuity_scores(recordings: DataFrame, block: int = 256, order: int = 8, l
             if len(cut) < 4 * order or not np.isfinite(cut).all() or np.ptp(cut) == 0:
                 continue
             c = cut - cut.mean()
-            z = np.minimum(scaled(residual(c, lpc(c, order))), scaled(residual(c[::-1], lpc(c[::-1], order)))[::-1])
+            ahead, back = scaled(residual(c, lpc(c, order))), scaled(residual(c[::-1], lpc(c[::-1], order)))[::-1]
+            z = np.concatenate(([0.0], np.minimum(ahead[1:], back[:-1])))  # a break lies before a sample and after the last
             for i in np.flatnonzero(z > limit).tolist():
                 yield lo + i, float(z[i])
 
