@@ -92,12 +92,13 @@ def recordings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mono(df: DataFrame) -> DataFrame:
-    """One row a recording: the mean over channels, its own mean removed."""
-    per = df.where("status = 'ok'").groupBy("rec").agg(F.first("fs").alias("fs"), F.collect_list("samples").alias("__c"))
-    total = F.aggregate(F.slice("__c", 2, F.greatest(F.size("__c") - 1, F.lit(0))), F.transform(F.get("__c", F.lit(0)), lambda v: v.cast("double")), lambda acc, c: F.zip_with(acc, c, lambda a, b: a + b.cast("double")))
-    mean = F.aggregate("__m", F.lit(0.0), lambda a, v: a + v) / F.size("__m")
-    out = per.withColumn("__m", F.transform(total, lambda v: v / F.size("__c"))).withColumn("__g", mean)
-    return out.select("rec", "fs", F.transform("__m", lambda v: v - F.col("__g")).alias("samples"))
+    """One row a recording: the mean over channels, its own mean removed. A task holds one recording's channels."""
+
+    def one(pdf):
+        x = np.mean([np.asarray(v, dtype=np.float64) for v in pdf["samples"]], axis=0)
+        return pdf.iloc[:1][["rec", "fs"]].assign(samples=[(x - x.mean()) if len(x) else x])
+
+    return df.where("status = 'ok'").groupBy("rec").applyInPandas(one, "rec string, fs double, samples array<double>")
 
 
 ANNOTATION = T.MapType(T.StringType(), T.ArrayType(T.ArrayType(T.DoubleType())))
