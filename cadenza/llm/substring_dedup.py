@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Starts that share a trigger search; 8-gram hashes are taken at each byte.
+#: The most starts that share a trigger search; 8-gram hashes are taken at each byte.
 WINDOW, GRAM = 256, 8
 #: Distinct phrases of one trigger context that a task ranks together; larger contexts are dealt over several tasks.
 TILE = 1024
@@ -86,7 +86,8 @@ class PrefixHash:
 
 def parse(raws: list[bytes], length: int) -> dict[str, np.ndarray]:
     """Phrases of the documents: doc (index), first (byte), n (starts), key1, key2, context."""
-    window = min(WINDOW, max(1, length - GRAM))
+    # Two thirds of the length at most, so that what lies right of a trigger stays long enough to tell phrases apart.
+    window = min(WINDOW, max(1, (length - GRAM) * 2 // 3))
     sizes = np.array([len(r) for r in raws], dtype=np.int64)
     none = {k: np.zeros(0, dtype=t) for k, t in (("doc", np.int64), ("first", np.int64), ("n", np.int64), ("key1", np.uint64), ("key2", np.uint64), ("context", np.uint64))}
     codes = np.frombuffer(b"".join(raws), dtype=np.uint8)
