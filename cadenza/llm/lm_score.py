@@ -5,16 +5,18 @@ from several hashed-context predictors in the logistic domain by weights that a
 
 1. Is it the token that followed the last place of the same two tokens in this text? The same for one token.
 2. Is it in the common vocabulary? If so it costs its share of the corpus, if not it is spelled.
-3. A spelled word costs eight bits a byte, each mixed from predictors with the last one to five bytes as contexts, then
+3. A spelled word costs eight bits a byte, each mixed from predictors with the last two to five bytes as contexts, then
    refined by an adaptive probability map.
 
 Counts behind all predictors come from every training document. Decision weights go on learning within each text, block
-by block, so a text that repeats itself becomes cheap; spelling weights learn online over the whole vocabulary.
+by block, so a text that repeats itself becomes cheap; spelling weights are fitted online on a bounded sample of words.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from .common import bucket_of, materialize
 END = b"\n"
 #: The most words of the common vocabulary, which every worker holds; rarer words are counted by joins and spelled.
 COMMON = 300_000
-#: Slots of each byte order's table (powers of two), slots of a decision table, tasks that count spelling contexts.
-ORDER_SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 20)
+#: Slots of the tables of the last two, three, four and five bytes (powers of two), slots of a decision table, tasks that count spelling contexts.
+ORDER_SLOTS = (1 << 18, 1 << 20, 1 << 20, 1 << 20)
 DECISION_SLOTS = 1 << 12
 SPELL_TASKS = 8
 #: Slots of one block in which tables are added up.
@@ -36,8 +38,10 @@ BLOCK = 1 << 16
 #: Tokens after which a text's decision weights are updated, learning rates of decisions and of spelling.
 STEP, RATE, SPELL_RATE = 32, 0.02, 0.02
 #: Distinct spelled words a worker keeps.
-CACHE = 400_000
-LIMIT = 12.0
+CACHE = 200_000
+LIMIT, BIAS = 12.0, 0.3
+#: Words of each of the SPELL_TASKS tasks, in hash order, that spelling weights are fitted on; tables cover all words.
+WEIGHT_WORDS = 60_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,72 +68,85 @@ def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts = 5 + np.cumsum(sizes + 4) - (sizes + 4)
     owner = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
-    byte = joined[at].astype(np.uint64)
-    shift = np.arange(7, -1, -1, dtype=np.uint64)
-    bit = ((byte[:, None] >> shift) & np.uint64(1)).astype(np.uint8)
-    node = (np.uint64(1) << (np.uint64(7) - shift)) | (byte[:, None] >> (shift + np.uint64(1)))
-    slots = np.empty((len(ORDER_SLOTS), len(at), 8), dtype=np.int32)
-    context = np.zeros(len(at), dtype=np.uint64)
+    byte = joined[at].astype(np.uint32)
+    shift = np.arange(7, -1, -1, dtype=np.uint32)
+    bit = ((byte[:, None] >> shift) & np.uint32(1)).astype(np.uint8)
+    node = (np.uint32(1) << (np.uint32(7) - shift)) | (byte[:, None] >> (shift + np.uint32(1)))
+    spread = node * np.uint32(0x9E3779B1)
+    slots = np.empty((len(ORDER_SLOTS), len(at), 8), dtype=np.uint32)
+    context = joined[at - 1].astype(np.uint64)
     for k, size in enumerate(ORDER_SLOTS):
-        context = context << np.uint64(8) | joined[at - 1 - k]
-        key = (context << np.uint64(8))[:, None] | node
-        if k:
-            key = (key + np.uint64(k)) * MIX
-            key = (key ^ (key >> np.uint64(29))) * MIX >> np.uint64(64 - int(size).bit_length() + 1)
-        slots[k] = key.astype(np.int32)
+        context = context << np.uint64(8) | joined[at - 2 - k]
+        mark = ((context + np.uint64(k)) * MIX >> np.uint64(32)).astype(np.uint32)
+        slots[k] = (mark[:, None] ^ spread) >> np.uint32(33 - int(size).bit_length())
     return np.repeat(owner, 8), slots.reshape(len(ORDER_SLOTS), -1), bit.ravel()
 
 
+#: Steps of a stretched probability in the tables, buckets of the mixed one.
+FINE, BUCKETS = 64, 4096
+
+
 @dataclass
 class Speller:
-    """Predictors' stretched probabilities and confidences by slot, mixing weights by gate, refinement by context."""
+    """Tables of predictors (stretched probability in steps of 1/FINE, times four, plus 0 to 3 for how often the slot was
+    seen), mixing weights by gate, refinement by bucket of the mixed probability."""
 
-    stretched: list[np.ndarray]
-    sure: list[np.ndarray]  # 0 to 3, how often the slot was seen
+    tables: list[np.ndarray]
     weights: np.ndarray  # gate x (order + bias)
-    refined: np.ndarray | None = None  # map of mixed probability by bucket
-
-    def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([*(t[s] for t, s in zip(self.stretched, slots, strict=True)), np.full(slots.shape[1], 0.3, dtype=np.float32)], axis=1)
-        # The gate: how sure the three longest contexts are.
-        gate = (self.sure[2][slots[2]].astype(np.int32) * 4 + self.sure[3][slots[3]]) * 4 + self.sure[4][slots[4]]
-        return x, gate
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, self.weights[gate])
-
-    def refine(self, z: np.ndarray) -> np.ndarray:
-        """Average of the mixed probability and the map's, which interpolates between buckets of the stretched one."""
+    refined: np.ndarray | None = None  # probability of a one in each of 33 buckets
+
+    def mixed(self, slots: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Mixed stretched probability, the inputs, the gate: how often the three longest contexts were seen."""
+        packed = [t[s] for t, s in zip(self.tables, slots, strict=True)]
+        gate = (packed[1] & 3) << 4 | (packed[2] & 3) << 2 | packed[3] & 3
+        x = [(v >> 2) * np.float32(1 / FINE) for v in packed]
+        w = (self.weights if weights is None else weights).astype(np.float32).T.copy()
+        z = w[-1][gate] * np.float32(BIAS)
+        for v, wj in zip(x, w, strict=False):
+            z += v * wj[gate]
+        return z, x, gate
+
+    def curve(self) -> np.ndarray:
+        """Probability of a one by bucket of the mixed stretched probability: the average of the mixed one and of the
+        adaptive map's, interpolated."""
+        z = (np.arange(BUCKETS) + 0.5) / BUCKETS * 2 * LIMIT - LIMIT
         p = squash(z)
-        if self.refined is None:
-            return p
-        place = (np.clip(z, -LIMIT, LIMIT) + LIMIT) / (2 * LIMIT) * (len(self.refined) - 1)
-        return 0.5 * p + 0.5 * np.interp(place, np.arange(len(self.refined)), self.refined)
+        if self.refined is not None:
+            p = 0.5 * p + 0.5 * np.interp((z + LIMIT) / (2 * LIMIT) * (len(self.refined) - 1), np.arange(len(self.refined)), self.refined)
+        return np.clip(p, 1e-9, 1 - 1e-9)
+
+    def bucket(self, z: np.ndarray) -> np.ndarray:
+        return np.clip((z + np.float32(LIMIT)) * np.float32(BUCKETS / (2 * LIMIT)), 0, BUCKETS - 1).astype(np.int32)
 
     def cost(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word, its closing space included."""
         out = np.zeros(len(words))
-        for lo in range(0, len(words), 4000):
-            part = words[lo : lo + 4000]
+        p = self.curve()
+        logs = np.concatenate((np.log10(1 - p), np.log10(p)))
+        for lo in range(0, len(words), 2000):
+            part = words[lo : lo + 2000]
             owner, slots, bit = spelled_bits(part)
-            p = self.refine(self.mixed(*self.inputs(slots)))
-            p = np.where(bit == 1, p, 1 - p)
-            out[lo : lo + len(part)] = np.bincount(owner, weights=np.log10(np.maximum(p, 1e-9)), minlength=len(part))
+            z, _, _ = self.mixed(slots)
+            out[lo : lo + len(part)] = np.bincount(owner, weights=logs[self.bucket(z) + BUCKETS * bit.astype(np.int32)], minlength=len(part))
         return out
 
 
+def pack_tables(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Tables of a Speller from weighted counts (2 x slots) of zeros and ones."""
+    return [(np.rint(stretch_counts(t[1], t[0]) * FINE).astype(np.int16) << 2) | np.searchsorted([0.5, 3, 12], t.sum(0)).astype(np.int16) for t in counts]
+
+
 def learn_weights(speller: Speller, words: list[bytes], rate: float = SPELL_RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights after one online pass over the words in blocks; sums for the map: expected ones and visits by bucket."""
     w = speller.weights.astype(np.float64).copy()
     ones, seen = np.zeros(33), np.zeros(33)
-    for lo in range(0, len(words), 64):
-        _, slots, bit = spelled_bits(words[lo : lo + 64])
-        x, gate = speller.inputs(slots)
-        z = np.einsum("ij,ij->i", x, w[gate])
+    for lo in range(0, len(words), 128):
+        _, slots, bit = spelled_bits(words[lo : lo + 128])
+        z, x, gate = speller.mixed(slots, w)
         err = bit - squash(z)
-        seen_by = np.bincount(gate, minlength=len(w))
-        step = np.stack([np.bincount(gate, weights=err * x[:, j], minlength=len(w)) for j in range(x.shape[1])], axis=1)
-        w += rate * step / np.sqrt(np.maximum(seen_by, 1))[:, None]
+        seen_by = np.sqrt(np.maximum(np.bincount(gate, minlength=len(w)), 1))
+        for j, v in enumerate([*x, BIAS]):
+            w[:, j] += rate * np.bincount(gate, weights=err * v, minlength=len(w)) / seen_by
         at = np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) / (2 * LIMIT) * 32).astype(int)
         ones += np.bincount(at, weights=bit, minlength=33)
         seen += np.bincount(at, minlength=33)
@@ -146,13 +163,11 @@ def fit_speller(counts: DataFrame) -> Speller:
         tables = [np.zeros((2, n), dtype=np.float32) for n in ORDER_SLOTS]
         for batch in batches:
             tokens, weight = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for lo in range(0, len(tokens), 4000):
-                owner, slots, bit = spelled_bits(tokens[lo : lo + 4000])
-                wt = weight[lo : lo + 4000][owner]
+            for lo in range(0, len(tokens), 50_000):
+                owner, slots, bit = spelled_bits(tokens[lo : lo + 50_000])
+                wt = weight[lo : lo + 50_000][owner]
                 for t, s in zip(tables, slots, strict=True):
-                    for v in (0, 1):
-                        hit = bit == v
-                        t[v] += np.bincount(s[hit], weights=wt[hit], minlength=t.shape[1])
+                    t += np.bincount(s + bit.astype(np.uint32) * np.uint32(t.shape[1]), weights=wt, minlength=2 * t.shape[1]).reshape(2, -1)
         for k, t in enumerate(tables):
             for v in (0, 1):
                 for b in range(0, t.shape[1], BLOCK):
@@ -170,8 +185,8 @@ def fit_speller(counts: DataFrame) -> Speller:
     tables = [np.zeros((2, n), dtype=np.float32) for n in ORDER_SLOTS]
     for r in words.mapInArrow(count, schema).repartition("k", "v", "b").mapInArrow(add, schema).toLocalIterator():
         tables[r["k"]][r["v"], r["b"] : r["b"] + BLOCK] = np.frombuffer(r["sums"], dtype=np.float32)
-    start = np.tile(np.array([0.1, 0.2, 0.3, 0.3, 0.3, 0.0]), (64, 1))
-    speller = Speller([stretch_counts(t[1], t[0]) for t in tables], [np.searchsorted([0.5, 3, 12], t.sum(0)).astype(np.uint8) for t in tables], start)
+    start = np.tile(np.array([0.25, 0.3, 0.3, 0.3, 0.0]), (64, 1))
+    speller = Speller(pack_tables(tables), start)
     shared = counts.sparkSession.sparkContext.broadcast(speller)
 
     def train(batches):
@@ -180,6 +195,7 @@ def fit_speller(counts: DataFrame) -> Speller:
             held += batch.column(0).to_pylist()
             if len(held) > 200_000:
                 break
+        held = held[:WEIGHT_WORDS]
         w, ones, seen = learn_weights(shared.value, held)
         yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([np.stack([ones, seen]).tobytes()], pa.binary())], ["n", "w", "map"])
 
@@ -215,11 +231,14 @@ def last_followers(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     one[begin] = -2
     two = np.concatenate(([-1], one[:-1]))
     two[begin] = -3
-    out = []
+    out, width, place = [], max(1, n.bit_length()), np.arange(n, dtype=np.uint64)
     for key in ((one.astype(np.uint64) * MIX) ^ two.astype(np.uint64) << np.uint64(1), one.astype(np.uint64)):
         key = (key ^ (doc.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * MIX
-        order = np.argsort(key, kind="stable")
-        same = np.concatenate(([False], key[order][1:] == key[order][:-1])) if n else np.zeros(0, dtype=bool)
+        # The place fills the low bits, so a plain sort of the numbers keeps equal keys in text order.
+        low = np.uint64((1 << width) - 1)
+        found = np.sort((key & ~low) | place)
+        order = (found & low).astype(np.int64)
+        same = np.concatenate(([False], (found[1:] ^ found[:-1]) <= low)) if n else np.zeros(0, dtype=bool)
         guess = np.full(n, -1, dtype=np.int64)
         guess[order[1:]] = np.where(same[1:], ids[order[:-1]], -1)
         guess[one == -2] = -1
@@ -265,6 +284,18 @@ def decisions(ids: np.ndarray, doc: np.ndarray, common: np.ndarray, rare_rate: n
     return {"owner": owner[order], "kind": kind[order], "bit": bit[order], "slots": slots[:, order], "gate": gate[order]}
 
 
+def portions(texts: list[str | None], most: int = 2_000_000):
+    """Runs of whole texts, of `most` characters or one text."""
+    lo, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > most:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t or "")
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
 def numbered(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
     """Tokens, their numbers (rare words get numbers past the vocabulary), text of each, common or not, the rare words,
     and sixteenths of rare words among the 64 tokens before each."""
@@ -272,7 +303,9 @@ def numbered(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[list
     flat = [t for ts in tokens for t in ts]
     known = vocabulary.number
     rare: dict[bytes, int] = {}
-    ids = np.fromiter((known[t] if t in known else len(known) + rare.setdefault(t, len(rare)) for t in flat), dtype=np.int64, count=len(flat))
+    ids = np.fromiter(map(known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+    for i in np.flatnonzero(ids < 0).tolist():
+        ids[i] = len(known) + rare.setdefault(flat[i], len(rare))
     doc = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     common = ids < len(known)
     sums = np.concatenate(([0], np.cumsum(~common)))
@@ -312,12 +345,11 @@ def fit_decisions(train: DataFrame, vocabulary, sparse_rows: int = 8) -> np.ndar
         total = np.zeros((3, 2, DECISION_SLOTS), dtype=np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for lo in range(0, len(texts), 500):
-                _, ids, doc, common, _, rate = numbered(texts[lo : lo + 500], vocabulary.value)
+            for lo, hi in portions(texts):
+                _, ids, doc, common, _, rate = numbered(texts[lo:hi], vocabulary.value)
                 d = decisions(ids, doc, common, rate)
                 for j in range(3):
-                    for v in (0, 1):
-                        total[j, v] += np.bincount(d["slots"][j][d["bit"] == v], minlength=DECISION_SLOTS)
+                    total[j] += np.bincount(d["slots"][j] + DECISION_SLOTS * d["bit"], minlength=2 * DECISION_SLOTS).reshape(2, -1)
         j, s = np.nonzero(total.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(total[j, 0, s]), pa.array(total[j, 1, s])], ["j", "slot", "zeros", "ones"])
 
@@ -336,10 +368,9 @@ def token_counts(train: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            total: dict[bytes, int] = {}
+            total: Counter[bytes] = Counter()
             for t in batch.column(0).to_pylist():
-                for x in tokens_of(t):
-                    total[x] = total.get(x, 0) + 1
+                total.update(tokens_of(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["token", "c"])
 
     return train.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -385,8 +416,8 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
         kept: dict[bytes, float] = {}
         for batch in batches:
             ids_, every = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(every), 500):
-                part = every[lo : lo + 500]
+            for lo, hi in portions(every):
+                part = every[lo:hi]
                 tokens, ids, doc, common, rare, rate = numbered(part, v)
                 begin = np.concatenate(([True], doc[1:] != doc[:-1]))
                 at = np.arange(len(ids))
