@@ -9,7 +9,7 @@ from several hashed-context predictors in the logistic domain by weights that a
    refined by an adaptive probability map.
 
 Counts behind all predictors come from every training document. Decision weights go on learning within each text, block
-by block, so a text that repeats itself becomes cheap; spelling weights are fitted online on a bounded sample of words.
+by block, so a text that repeats itself becomes cheap; spelling weights learn online over the whole vocabulary.
 """
 
 from __future__ import annotations
@@ -40,8 +40,6 @@ STEP, RATE, SPELL_RATE = 32, 0.02, 0.02
 #: Distinct spelled words a worker keeps.
 CACHE = 200_000
 LIMIT, BIAS = 12.0, 0.3
-#: Words of each of the SPELL_TASKS tasks, in hash order, that spelling weights are fitted on; tables cover all words.
-WEIGHT_WORDS = 60_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -136,12 +134,12 @@ def pack_tables(counts: list[np.ndarray]) -> list[np.ndarray]:
     return [(np.rint(stretch_counts(t[1], t[0]) * FINE).astype(np.int16) << 2) | np.searchsorted([0.5, 3, 12], t.sum(0)).astype(np.int16) for t in counts]
 
 
-def learn_weights(speller: Speller, words: list[bytes], rate: float = SPELL_RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights after one online pass over the words in blocks; sums for the map: expected ones and visits by bucket."""
-    w = speller.weights.astype(np.float64).copy()
+def learn_weights(speller: Speller, words: list[bytes], w: np.ndarray, rate: float = SPELL_RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights w after one more online pass over the words in blocks; sums for the map: ones and visits by bucket."""
+    w = w.astype(np.float64)
     ones, seen = np.zeros(33), np.zeros(33)
-    for lo in range(0, len(words), 128):
-        _, slots, bit = spelled_bits(words[lo : lo + 128])
+    for lo in range(0, len(words), 256):
+        _, slots, bit = spelled_bits(words[lo : lo + 256])
         z, x, gate = speller.mixed(slots, w)
         err = bit - squash(z)
         seen_by = np.sqrt(np.maximum(np.bincount(gate, minlength=len(w)), 1))
@@ -190,14 +188,12 @@ def fit_speller(counts: DataFrame) -> Speller:
     shared = counts.sparkSession.sparkContext.broadcast(speller)
 
     def train(batches):
-        held: list[bytes] = []
+        w, n, total = shared.value.weights, 0, np.zeros((2, 33))
         for batch in batches:
-            held += batch.column(0).to_pylist()
-            if len(held) > 200_000:
-                break
-        held = held[:WEIGHT_WORDS]
-        w, ones, seen = learn_weights(shared.value, held)
-        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([np.stack([ones, seen]).tobytes()], pa.binary())], ["n", "w", "map"])
+            held = batch.column(0).to_pylist()
+            w, ones, seen = learn_weights(shared.value, held, w)
+            n, total = n + len(held), total + np.stack([ones, seen])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.astype(np.float64).tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], ["n", "w", "map"])
 
     rows = [r for r in words.mapInArrow(train, "n long, w binary, map binary").collect() if r["n"]]
     if rows:
