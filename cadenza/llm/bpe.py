@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct chunks a worker keeps between batches; beyond it the cache is emptied, results stay the same.
-CACHE = 500_000
+CACHE = 250_000
 #: Separators that str.split drops although the tokenizer keeps them as text.
 KEPT = "\x1c\x1d\x1e\x1f"
 
@@ -208,19 +208,19 @@ class ChunkCache:
         self.bpe, self.forms = bpe, forms
         self.kept: list[dict[str, object]] = [{} for _ in forms]
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The chunks of each text, after which `kept` holds their forms."""
+    def learn(self, texts: list[str]) -> None:
+        """After it `kept` holds the forms of all chunks of the texts. Their chunks are cut again when they are used:
+        millions of small strings at a time would take more memory than the texts."""
         gc.disable()  # what is made here has no cycles; traversing millions of strings would cost a third of the time
         try:
-            return self._learn(texts)
+            self._learn(texts)
         finally:
             gc.enable()
 
-    def _learn(self, texts: list[str]) -> list[list[str]]:
-        chunks = [self.bpe.chunks(t) for t in texts]
+    def _learn(self, texts: list[str]) -> None:
         fresh: set[str] = set()
-        for c in chunks:
-            fresh.update(c)
+        for t in texts:
+            fresh.update(self.bpe.chunks(t))
         if len(self.kept[0]) > CACHE:
             again = fresh & self.kept[0].keys()
             self.kept = [{c: d[c] for c in again} for d in self.kept]
@@ -242,7 +242,6 @@ class ChunkCache:
                 d.update(zip(alone, map(word.__getitem__, alone)))
                 join = form.join
                 d.update((c, join([word[w] for w in p])) for c, p in mixed)
-        return chunks
 
 
 _LOADED: dict = {}
@@ -288,12 +287,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices(texts):
-                chunks = cache.learn(texts[lo:hi])
+                cache.learn(texts[lo:hi])
                 raw, shown = cache.kept
-                lists = [np.frombuffer(b"".join(map(raw.__getitem__, c)), dtype="<i4") for c in chunks]
+                lists = [np.frombuffer(b"".join(map(raw.__getitem__, cache.bpe.chunks(t))), dtype="<i4") for t in texts[lo:hi]]
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
                 values = pa.array(np.concatenate(lists), pa.int32())
-                decoded = [" ".join(filter(None, map(shown.__getitem__, c))) for c in chunks]
+                decoded = [" ".join(filter(None, map(shown.__getitem__, cache.bpe.chunks(t)))) for t in texts[lo:hi]]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -311,9 +310,10 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out: list[tuple[int, str, str]] = []
             for lo, hi in slices(texts):
-                chunks = cache.learn(texts[lo:hi])
+                cache.learn(texts[lo:hi])
                 number, shown = cache.kept
-                for c in chunks:
+                for t in texts[lo:hi]:
+                    c = cache.bpe.chunks(t)
                     ids = " ".join(filter(None, map(number.__getitem__, c)))
                     out.append((ids.count(" ") + 1 if ids else 0, sha(ids), sha(" ".join(filter(None, map(shown.__getitem__, c))))))
             n, a, b = zip(*out, strict=True) if out else ((), (), ())

@@ -70,9 +70,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_i
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices(texts):
-                chunks = cache.learn(texts[lo:hi])
+                cache.learn(texts[lo:hi])
                 raw = cache.kept[0]
-                ids = [b"".join(map(raw.__getitem__, c)) + end for c in chunks]
+                ids = [b"".join(map(raw.__getitem__, cache.bpe.chunks(t))) + end for t in texts[lo:hi]]
                 counts = np.stack([np.bincount(bucket[np.frombuffer(x, dtype=kind)], minlength=BUCKETS) for x in ids])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(curve_position(counts, into), pa.int64()), pa.array([wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "curve", "wide", "ids"])
 
