@@ -4,7 +4,8 @@ A text is a sequence of lower-cased words and one end. Each token costs binary d
 from several hashed-context predictors in the logistic domain by weights that a gate selects:
 
 1. Is it the token that followed the last place of the same two tokens in this text? The same for one token.
-2. Is it in the common vocabulary? If so it costs its share of the corpus, if not it is spelled.
+2. Is it in the common vocabulary? If so it costs its share of the corpus. If not it costs what a mixture of its share of
+   the rarer training words and of its spelling gives it, so every training word has a cost of its own.
 3. A spelled word costs eight bits a byte, each mixed from predictors with the last two to five bytes as contexts, then
    refined by an adaptive probability map.
 
@@ -27,7 +28,7 @@ from .common import bucket_of, materialize
 
 #: The end of a text among tokens, which are never empty nor hold a line feed.
 END = b"\n"
-#: The most words of the common vocabulary, which every worker holds; rarer words are counted by joins and spelled.
+#: The most words of the common vocabulary, which every worker holds; rarer words get their counts and costs by joins.
 COMMON = 300_000
 #: Slots of the tables of the last two, three, four and five bytes (powers of two), slots of a decision table, tasks that count spelling contexts.
 ORDER_SLOTS = (1 << 18, 1 << 20, 1 << 20, 1 << 20)
@@ -216,6 +217,7 @@ class Vocabulary:
     count: np.ndarray
     share: np.ndarray
     sums: tuple[int, int]  # training tokens, distinct training tokens
+    tail: tuple[int, float]  # tokens of rarer words; share of words seen in training expected among words outside the vocabulary
 
 
 def last_followers(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -382,7 +384,12 @@ def common_words(counts: DataFrame, most: int = COMMON) -> Vocabulary:
         total += sizes.get(low, (0, 0))[0]
     words = counts.where(F.col("c") >= (1 << low)).orderBy(F.desc("c"), "token").collect() if total else []
     c = np.array([r["c"] for r in words], dtype=np.int64)
-    return Vocabulary({bytes(r["token"]): i for i, r in enumerate(words)}, c, np.log10(np.maximum(c, 1) / max(1, c.sum())), (sum(s for _, s in sizes.values()), sum(n for n, _ in sizes.values())))
+    # After Good and Turing a text's next word has count k with chance (k + 1) n[k + 1] / N: unseen ones weigh n[1], tail
+    # words the tokens of counts from 2 to the least common one.
+    least = int(c.min()) if len(c) else 1 << 62
+    once, rare, upto = counts.select(F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") < least, F.col("c"))), F.sum(F.when(F.col("c") <= least, F.col("c")))).first()
+    seen = ((upto or 0) - (once or 0) + 0.5) / ((upto or 0) + 1.0) if rare else 0.0
+    return Vocabulary({bytes(r["token"]): i for i, r in enumerate(words)}, c, np.log10(np.maximum(c, 1) / max(1, c.sum())), (sum(s for _, s in sizes.values()), sum(n for n, _ in sizes.values())), (rare or 0, seen))
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -390,7 +397,8 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
 
     Learns from rows whose crc32 of the id modulo `modulus` is not `held`. Null and empty texts are one token, the end.
     base_score is the add-one unigram score over training tokens; score the model's log10 probability. Common words are
-    looked up in each worker; counts of the others come by a join on the word itself, so any vocabulary works. Rows may
+    looked up in each worker; counts of the others come by a join on the word itself, for both scores, so any vocabulary
+    works. Rows may
     repeat, each is scored on its own; with nothing to learn from, base_score is 0 a token (one token type, unseen) and
     score is that of the untrained model. An empty table gives an empty result; other columns are not read.
     """
@@ -423,7 +431,8 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
                 if len(kept) > CACHE:
                     kept.clear()
                 new = [w for w in rare if w not in kept]
-                kept.update(zip(new, speller.cost(new).tolist(), strict=True))
+                # Spelled as a word that training has not seen; the join adds what a rarer training word's count gives.
+                kept.update(zip(new, (speller.cost(new) + np.log10(1 - v.tail[1])).tolist(), strict=True))
                 price = np.concatenate((v.share, np.array([kept[w] for w in rare]))) if rare or len(v.share) else np.zeros(1)
                 asked = d["owner"][d["kind"] == 2]  # tokens no guess has given
                 cost += np.bincount(doc[asked], weights=price[ids[asked]], minlength=len(part))
@@ -432,20 +441,29 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
                 known = np.bincount(doc[common], minlength=len(part))
                 sizes = np.array([len(t) for t in tokens])
                 n_bytes = np.array([max(1, len((t or "").encode())) for t in part])
-                tail = [[] for _ in part]
+                paid = np.zeros(len(ids), dtype=bool)
+                paid[asked] = True
+                tail, spelled = [[] for _ in part], [[] for _ in part]
                 for i in np.flatnonzero(~common).tolist():
-                    tail[doc[i]].append(rare[ids[i] - len(v.number)])
+                    word = rare[ids[i] - len(v.number)]
+                    tail[doc[i]].append(word)
+                    spelled[doc[i]].append(kept[word] if paid[i] else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids_.slice(lo, len(part)), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(cost), pa.array(-cost / np.log10(2) / n_bytes), pa.array(tail, pa.list_(pa.binary()))],
-                    ["doc_id", "n_tokens", "common", "base", "score", "bits_per_byte", "tail"],
+                    [ids_.slice(lo, len(part)), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(cost), pa.array(n_bytes, pa.int64()), pa.array(tail, pa.list_(pa.binary())), pa.array(spelled, pa.list_(pa.float64()))],
+                    ["doc_id", "n_tokens", "common", "base", "score", "n_bytes", "tail", "spelled"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, common long, base double, score double, bits_per_byte double, tail array<binary>").withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = materialize(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, common long, base double, score double, n_bytes long, tail array<binary>, spelled array<double>").withColumn("row", F.monotonically_increasing_id()), "scored")
     low = counts.where(F.col("c") < (int(words.count.min()) if len(words.count) else 1 << 62))
-    tail = scored.select("row", F.explode("tail").alias("token")).join(low, "token").groupBy("row").agg(F.count(F.lit(1)).alias("found"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
-    out = scored.drop("tail").join(tail, "row", "left")
+    tokens, seen = words.tail
+    # log10 of (unseen + seen) / unseen, the shares of the mixture; spelled is null where a guess has given the word.
+    more = F.log10(F.lit(max(seen, 1e-300) / max(1, tokens)) * F.col("c")) - F.col("spelled")
+    gain = F.greatest(more, F.lit(0.0)) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(more)))
+    tail = scored.select("row", F.explode(F.arrays_zip("tail", "spelled")).alias("t")).select("row", F.col("t.tail").alias("token"), F.col("t.spelled").alias("spelled"))
+    tail = tail.join(low, "token").groupBy("row").agg(F.count(F.lit(1)).alias("found"), F.sum(F.log10(F.col("c") + 1)).alias("logs"), F.sum(gain).alias("gain"))
+    out = scored.drop("tail", "spelled").join(tail, "row", "left").withColumn("score", F.col("score") + F.coalesce("gain", F.lit(0.0)))
     return out.select(
         "doc_id", (bucket_of("doc_id", modulus) == held).alias("held_out"), "n_tokens", (F.col("common") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), "score", "bits_per_byte",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), "score", (-F.col("score") / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -403,6 +403,31 @@ def test_lm_tail_counts_come_by_join(spark, monkeypatch):
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in ts), rel_tol=1e-9)
 
 
+def test_lm_rare_training_words_have_their_own_cost(spark, monkeypatch):
+    """Past the common vocabulary costs follow counts: a word seen a hundred times as often costs about a hundredth, however long the
+    words are to spell."""
+    monkeypatch.setattr(lm_score.common_words, "__defaults__", (3,))
+    rng = random.Random(3)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    others = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)) for _ in range(100)]
+    rows = [(i, "a a b b " + ("qzxwvk" if i % 2 else others[i // 2 % 100] if i else "u" * 3000)) for i in range(400) if i not in held]
+    seen = Counter(t.split()[-1] for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    twice = min(w for w, c in seen.items() if c == 2)
+    got = by_id(lm_score.score_texts(frame(spark, [*rows, (held[0], "a b qzxwvk"), (held[1], f"a b {twice}")])))
+    assert (got[held[0]].n_known, got[held[1]].n_known) == (4, 4) and all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+    gap = got[held[0]].score - got[held[1]].score
+    assert abs(gap - math.log10(seen["qzxwvk"] / 2)) < 0.5, gap
+    for i in held:
+        assert math.isclose(got[i].bits_per_byte, -got[i].score / math.log10(2) / (10 if i == held[0] else 204), rel_tol=1e-9)
+
+
+def test_lm_tail_words_share_what_spelling_leaves(spark):
+    counts = spark.createDataFrame([(b"a", 9), (b"b", 8), (b"c", 3), (b"d", 2), (b"e", 1), (b"f", 1)], "token binary, c long")
+    v = lm_score.common_words(counts, 2)
+    assert len(v.number) == 2 and v.tail == (7, (15 - 2 + 0.5) / 16)
+    assert lm_score.common_words(counts).tail == (0, 0.0) and lm_score.common_words(counts.limit(0)).tail == (0, 0.0)
+
+
 def test_spelling_is_a_distribution():
     """All bytes after any prefix have probabilities that add up to one before rounding."""
     start = np.tile(np.array([0.25, 0.3, 0.3, 0.3, 0.0]), (64, 1))
