@@ -62,7 +62,7 @@ def statistics(text: str) -> list[float]:
 
 #: Bytes at which texts change length band; each band has its own discriminant, as statistics of short texts scatter more.
 BANDS = (150, 600)
-#: Rows a class needs in a band for a covariance of its own; below it the band answers with class frequencies.
+#: Rows up to which a class, or a band, borrows what it lacks from all bands: scale, mean and covariance.
 LEAST_ROWS = 30
 #: Weight of the shrinkage target, and the pooled covariance's part of that target (the rest is a scaled identity).
 SHRINK, POOLED = 0.1, 0.5
@@ -107,15 +107,27 @@ def text_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, features array<double>, band int")
 
 
+def topped(own: np.ndarray, rows: int, common: np.ndarray) -> np.ndarray:
+    """An average over `rows` rows, with as many rows of `common` as it lacks of LEAST_ROWS."""
+    lack = max(0, LEAST_ROWS - rows)
+    return (rows * own + lack * common) / (rows + lack)
+
+
 def fit(examples: DataFrame) -> list[Discriminant]:
     """One discriminant for each band from examples(features, band, label 0/1), all of them: class sums and cross
-    products are combined by Spark, a fixed number of figures comes to the driver."""
+    products are combined by Spark, a fixed number of figures comes to the driver. Where a band has few rows of a class,
+    scale, class mean (from the band's mean and the usual difference of the classes) and covariance come from all bands
+    in part, so each band tells classes apart at any size."""
     d = len(FEATURES)
     x = [F.col("features")[i] for i in range(d)]
     first = examples.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)]).collect()
     scale = {r["band"]: (np.array([r[f"m{i}"] for i in range(d)]), np.array([r[f"s{i}"] for i in range(d)]) + 1e-9) for r in first}
     if not scale:
         return [Discriminant(np.zeros(d), np.ones(d), None, None, None, 0.0)] * (len(BANDS) + 1)
+    rows = {r["band"]: r["n"] for r in first}
+    within = sum(rows[b] * s[1] ** 2 for b, s in scale.items()) / sum(rows.values())
+    middle = sum(rows[b] * s[0] for b, s in scale.items()) / sum(rows.values())
+    scale = {b: (s[0], np.sqrt(topped(s[1] ** 2, rows[b], within))) for b, s in scale.items()}
     pick = lambda k: F.element_at(F.create_map(*[v for b, s in scale.items() for v in (F.lit(b), F.array(*map(F.lit, s[k].tolist())))]), F.col("band"))
     z = examples.select("band", "label", F.zip_with(F.zip_with("features", pick(0), lambda a, m: a - m), pick(1), lambda a, s: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), a / s))).alias("z"))
     z = z.select("band", "label", *[F.col("z")[i].alias(f"z{i}") for i in range(d)])
@@ -128,25 +140,39 @@ def fit(examples: DataFrame) -> list[Discriminant]:
             c[i, j] = c[j, i] = r[f"c{i}_{j}"]
         classes[r["band"], r["label"]] = (r["n"], np.array([r[f"t{i}"] for i in range(d)]), c)
     none = (0, np.zeros(d), np.zeros((d, d)))
-    everywhere = [sum(v[0] for (_, k), v in classes.items() if k == label) for label in (0, 1)]
+    n = {(b, k): classes.get((b, k), none)[0] for b in range(len(BANDS) + 1) for k in (0, 1)}
+    everywhere = [sum(n[b, k] for b in range(len(BANDS) + 1)) for k in (0, 1)]
+    if not min(everywhere):  # one class only: nothing to tell apart
+        return [Discriminant(np.zeros(d), np.ones(d), None, None, None, float(np.log((everywhere[1] + 1) / (everywhere[0] + 1))))] * (len(BANDS) + 1)
+    mean_of = lambda p: p[1] / max(1, p[0])
+    cov = lambda p: p[2] / max(1, p[0]) - np.outer(mean_of(p), mean_of(p))
+    totals = [tuple(classes.get((b, 0), none)[k] + classes.get((b, 1), none)[k] for k in range(3)) for b in range(len(BANDS) + 1)]
+    # Of all bands: scatter of each class and of both within bands, difference of the classes within bands.
+    inside = [sum(n[b, k] * cov(classes[b, k]) for b in range(len(BANDS) + 1) if n[b, k]) / everywhere[k] for k in (0, 1)]
+    both = (everywhere[0] * inside[0] + everywhere[1] * inside[1]) / sum(everywhere)
+    inside = [topped(s, everywhere[k], both) for k, s in enumerate(inside)]
+    overall = sum(t[0] * cov(t) for t in totals) / sum(everywhere)
+    weight = {b: n[b, 0] * n[b, 1] / totals[b][0] for b in range(len(BANDS) + 1) if n[b, 0] and n[b, 1]}
+    if weight:
+        apart = sum(w * (mean_of(classes[b, 1]) - mean_of(classes[b, 0])) for b, w in weight.items()) / sum(weight.values())
+    else:
+        apart = np.zeros(d)  # the classes share no band
     out = []
     for band in range(len(BANDS) + 1):
-        parts = [classes.get((band, label), none) for label in (0, 1)]
-        n0, n1 = parts[0][0], parts[1][0]
-        mean, spread = scale.get(band, (np.zeros(d), np.ones(d)))
-        if min(n0, n1) < LEAST_ROWS:
-            m0, m1 = (n0, n1) if n0 + n1 >= LEAST_ROWS else everywhere
-            out.append(Discriminant(mean, spread, None, None, None, float(np.log((m1 + 1) / (m0 + 1)))))
-            continue
-        total = [sum(p[k] for p in parts) for k in range(3)]
-        cov = lambda p: p[2] / p[0] - np.outer(p[1] / p[0], p[1] / p[0])
-        pooled = cov(total)
-        factors = []
-        for p in parts:
-            s = cov(p)
+        mean, spread = scale.get(band, (middle, np.sqrt(within)))
+        parts, total = [classes.get((band, k), none) for k in (0, 1)], totals[band]
+        pooled = topped(cov(total), total[0], overall)
+        share = n[band, 1] / total[0] if total[0] else everywhere[1] / sum(everywhere)
+        centres, factors = [], []
+        for k, p in enumerate(parts):
+            centres.append(topped(mean_of(p), p[0], mean_of(total) + (k - share) * apart))
+            s = topped(cov(p), p[0], inside[k])
             target = POOLED * pooled + (1 - POOLED) * np.trace(s) / d * np.eye(d)
             factors.append(np.linalg.cholesky((1 - SHRINK) * s + SHRINK * target + 1e-6 * np.eye(d)))
-        out.append(Discriminant(mean, spread, tuple(p[1] / p[0] for p in parts), tuple(np.linalg.inv(f) for f in factors), tuple(float(np.log(np.diag(f)).sum()) for f in factors), float(np.log(n1 / n0))))
+        # Up to one row of class frequencies of all bands is added where a class is thin.
+        thin = max(0.0, 1 - min(n[band, 0], n[band, 1]) / LEAST_ROWS)
+        m0, m1 = (n[band, k] + thin * everywhere[k] / sum(everywhere) for k in (0, 1))
+        out.append(Discriminant(mean, spread, tuple(centres), tuple(np.linalg.inv(f) for f in factors), tuple(float(np.log(np.diag(f)).sum()) for f in factors), float(np.log(m1 / m0))))
     return out
 
 
@@ -155,9 +181,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
 
     Learns from labels (doc_id, `label` 0/1) of documents whose crc32 of the id modulo `modulus` is not `held`. Labels
     of other values or null, and of ids without a document, are not read; an id labelled several times counts as often.
-    Null texts count as empty; empty and short texts get their band's answer. Where a band lacks rows of a class its
-    class frequencies decide, and without any labels each score is 0.5. Rows with a null id are scored but never learned
-    from. Rows may repeat; an empty table gives an empty result; other columns are not read.
+    Null texts count as empty; empty and short texts get their band's answer. What a band lacks of a class comes from
+    all bands; with labels of one class only the class frequencies decide, and without any each score is 0.5. Rows with
+    a null id are scored but never learned from. Rows may repeat; an empty table gives an empty result; other columns are not read.
     """
     stats = materialize(text_statistics(docs, text, doc_id), "statistics")
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))

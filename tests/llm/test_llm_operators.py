@@ -185,6 +185,23 @@ def test_quality_without_labels(spark, docs):
     assert quality.keep_good(docs, none).columns == docs.columns
 
 
+@pytest.mark.parametrize("few", [0, 1, 5, 29])
+@pytest.mark.parametrize("thin", [0, 1])
+def test_thin_bands_tell_classes_apart(spark, few, thin):
+    """A band with few or no rows of a class, whichever it is, borrows from the others."""
+    rng = np.random.default_rng(4)
+    d = len(quality.FEATURES)
+    draw = lambda label, band, n: rng.standard_normal((n, d)) + label * 1.5 + band * 3
+    sizes = {(1, 0): 200, (1, 1): 300, (0, thin): few, (0, 1 - thin): 120}
+    rows = [(v.tolist(), b, k) for (b, k), n in sizes.items() for v in draw(k, b, n)]
+    model = quality.fit(spark.createDataFrame(rows, "features array<double>, band int, label int"))
+    for band in (0, 1) if few else (1,):
+        for label in (0, 1):
+            right = (model[band].log_odds(draw(label, band, 300)) > 0) == bool(label)
+            assert right.mean() > 0.9, (band, label, right.mean())
+    assert all(len(set(np.round(m.log_odds(draw(1, 0, 9)), 9))) == 9 for m in model)
+
+
 def test_discriminant_is_the_gaussian_one(spark):
     rng = np.random.default_rng(1)
     d = len(quality.FEATURES)
