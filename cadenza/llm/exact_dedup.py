@@ -42,6 +42,13 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "do
     return docs.join(kept, docs[doc_id].eqNullSafe(kept["__kept_id"]) & (own == kept["__kept_sha"]), "left_semi")
 
 
+def one_of_each_text(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: str = "min") -> DataFrame:
+    """docs with exactly one row of each text, columns unchanged: one of those that drop_exact_duplicates keeps, which
+    are several where rows repeat or all ids of a text are null."""
+    kept = drop_exact_duplicates(docs, text, doc_id, keep).withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    return kept.dropDuplicates(["__sha"]).drop("__sha")
+
+
 ORACLE = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

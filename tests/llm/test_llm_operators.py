@@ -82,6 +82,22 @@ def test_exact_groups_null_ids_and_repeats(spark):
     assert exact_dedup.drop_exact_duplicates(df).count() == 4
 
 
+def test_repeated_rows_leave_the_pipeline_once(spark):
+    """Equal rows and copies without ids keep one row with its whole text, from the exact stage through to packing."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    twice, nameless, once, named = (words(rng, 120) for _ in range(4))
+    docs = frame(spark, [(1, twice), (1, twice), (None, nameless), (None, nameless), (2, once), (None, named), (3, named), (4, None), (4, None), (5, "")])
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, SF).cache()
+        got = sorted((str(r.doc_id), r.text or "") for r in docs.collect())
+        assert got == sorted([("1", twice), ("None", nameless), ("2", once), ("3", named), ("4", "")]), name
+    assert exact_dedup.one_of_each_text(empty(docs)).count() == 0
+    packed = corpus_pipeline.packed(spark, docs, SF).collect()
+    assert {1, 2, 3} <= {r.doc_id for r in packed}
+
+
 # Fingerprints
 
 
