@@ -6,7 +6,7 @@ from several hashed-context predictors in the logistic domain by weights that a
 1. Is it the token that followed the last place of the same two tokens in this text? The same for one token.
 2. Is it in the common vocabulary? If so it costs its share of the corpus. If not it costs what a mixture of its share of
    the rarer training words and of its spelling gives it, so every training word has a cost of its own.
-3. A spelled word costs eight bits a byte, each mixed from predictors with the last two to five bytes as contexts, then
+3. A spelled word costs eight bits a byte, each mixed from predictors with the last one to five bytes as contexts, then
    refined by an adaptive probability map.
 
 Counts behind all predictors come from every training document. Decision weights go on learning within each text, block
@@ -30,8 +30,8 @@ from .common import bucket_of, materialize
 END = b"\n"
 #: The most words of the common vocabulary, which every worker holds; rarer words get their counts and costs by joins.
 COMMON = 300_000
-#: Slots of the tables of the last two, three, four and five bytes (powers of two), slots of a decision table, tasks that count spelling contexts.
-ORDER_SLOTS = (1 << 18, 1 << 20, 1 << 20, 1 << 20)
+#: Slots of the tables of the last one, two, three, four and five bytes (powers of two), slots of a decision table, tasks that count spelling contexts.
+ORDER_SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 20)
 DECISION_SLOTS = 1 << 12
 SPELL_TASKS = 8
 #: Slots of one block in which tables are added up.
@@ -73,9 +73,9 @@ def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     node = (np.uint32(1) << (np.uint32(7) - shift)) | (byte[:, None] >> (shift + np.uint32(1)))
     spread = node * np.uint32(0x9E3779B1)
     slots = np.empty((len(ORDER_SLOTS), len(at), 8), dtype=np.uint32)
-    context = joined[at - 1].astype(np.uint64)
+    context = np.zeros(len(at), dtype=np.uint64)
     for k, size in enumerate(ORDER_SLOTS):
-        context = context << np.uint64(8) | joined[at - 2 - k]
+        context = context << np.uint64(8) | joined[at - 1 - k]
         mark = ((context + np.uint64(k)) * MIX >> np.uint64(32)).astype(np.uint32)
         slots[k] = (mark[:, None] ^ spread) >> np.uint32(33 - int(size).bit_length())
     return np.repeat(owner, 8), slots.reshape(len(ORDER_SLOTS), -1), bit.ravel()
@@ -97,7 +97,7 @@ class Speller:
     def mixed(self, slots: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Mixed stretched probability, the inputs, the gate: how often the three longest contexts were seen."""
         packed = [t[s] for t, s in zip(self.tables, slots, strict=True)]
-        gate = (packed[1] & 3) << 4 | (packed[2] & 3) << 2 | packed[3] & 3
+        gate = (packed[2] & 3) << 4 | (packed[3] & 3) << 2 | packed[4] & 3
         x = [(v >> 2) * np.float32(1 / FINE) for v in packed]
         w = (self.weights if weights is None else weights).astype(np.float32).T.copy()
         z = w[-1][gate] * np.float32(BIAS)
@@ -184,7 +184,7 @@ def fit_speller(counts: DataFrame) -> Speller:
     tables = [np.zeros((2, n), dtype=np.float32) for n in ORDER_SLOTS]
     for r in words.mapInArrow(count, schema).repartition("k", "v", "b").mapInArrow(add, schema).toLocalIterator():
         tables[r["k"]][r["v"], r["b"] : r["b"] + BLOCK] = np.frombuffer(r["sums"], dtype=np.float32)
-    start = np.tile(np.array([0.25, 0.3, 0.3, 0.3, 0.0]), (64, 1))
+    start = np.tile(np.array([0.1, 0.2, 0.3, 0.3, 0.3, 0.0]), (64, 1))
     speller = Speller(pack_tables(tables), start)
     shared = counts.sparkSession.sparkContext.broadcast(speller)
 

@@ -474,6 +474,14 @@ def test_spelling_is_a_distribution():
     assert math.isclose(total, 1.0, rel_tol=1e-9)
 
 
+def test_spelling_has_an_order_of_one_byte():
+    """The shortest context is the byte before alone, the longest the last five."""
+    _, slots, _ = lm_score.spelled_bits([b"xabcde", b"yzbcde"])
+    slots = slots.reshape(len(slots), -1, 8)
+    assert len(slots) == 5 and (slots[0, 3] == slots[0, 10]).all() and (slots[1, 2] != slots[1, 9]).any()
+    assert [(slots[k, 5] == slots[k, 12]).all() for k in range(5)] == [True, True, True, False, False]
+
+
 def test_last_followers():
     ids = np.array([1, 2, 3, 1, 2, 4, 1, 2, 9, 1])
     doc = np.array([0, 0, 0, 0, 0, 0, 0, 0, 1, 1])
