@@ -1,7 +1,8 @@
 """Scores of texts under a context-mixing language model learned from the corpus.
 
 A text is a sequence of lower-cased words and one end. Each token costs binary decisions, and each decision is mixed
-from several hashed-context predictors in the logistic domain by weights that a gate selects:
+from several hashed-context predictors in the logistic domain; in spelling a gate selects the weights. Missing: sequences
+of words learned from the corpus, vocabulary words coded bit by bit, fitted or gated weights and refinement of decisions.
 
 1. Is it the token that followed the last place of the same two tokens in this text? The same for one token.
 2. Is it in the common vocabulary? If so it costs its share of the corpus. If not it costs what a mixture of its share of
