@@ -79,7 +79,7 @@ def run_human(spark: SparkSession, a) -> dict[str, DataFrame]:
     df = readers.read_table(spark, a.table)
     good, bad = readers.annotation_intervals(df, a.item, a.rater, a.categories, a.duration)
     rows = readers.annotation_ratings(df, good, a.item, a.rater, a.categories, a.duration)
-    n = len([r for r in df.select(a.rater).distinct().limit(1000).collect()])
+    n = df.select(F.countDistinct(a.rater)).first()[0]
     parts = [(c, rows.where(F.col("category") == c)) for c in a.categories]
     total = None
     for c, part in parts:

@@ -48,3 +48,12 @@ def test_human_qc(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t.parquet"))
     cli.main(["--out", str(tmp_path / "o"), "human-qc", "--table", str(tmp_path / "t.parquet"), "--item", "item", "--rater", "rater", "--duration", "d", "--categories", "noise"], spark)
     assert spark.read.parquet(str(tmp_path / "o/agreement.parquet")).first().observed == 0.5
+
+
+def test_human_qc_counts_all_raters(spark, tmp_path):
+    """An item that 1000 of 1001 raters saw is not complete."""
+    rows = [(i, f"r{k}", 5.0, None) for i, n in (("a", 1001), ("b", 1000)) for k in range(n)]
+    spark.createDataFrame(rows, "item string, rater string, d double, noise string").write.parquet(str(tmp_path / "t.parquet"))
+    cli.main(["--out", str(tmp_path / "o"), "human-qc", "--table", str(tmp_path / "t.parquet"), "--item", "item", "--rater", "rater", "--duration", "d", "--categories", "noise"], spark)
+    got = {r.raters: r.design for r in spark.read.parquet(str(tmp_path / "o/coverage.parquet")).collect()}
+    assert got == {1001: "complete", 1000: "partial"}
