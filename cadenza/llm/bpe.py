@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct chunks a worker keeps between batches; beyond it the cache is emptied, results stay the same.
-CACHE = 250_000
+from .common import tidy
+
+#: Distinct chunks a task keeps between batches; beyond it the cache is emptied, results stay the same.
+CACHE = 200_000
 #: Separators that str.split drops although the tokenizer keeps them as text.
 KEPT = "\x1c\x1d\x1e\x1f"
 
@@ -208,6 +210,9 @@ class ChunkCache:
         self.bpe, self.forms = bpe, forms
         self.kept: list[dict[str, object]] = [{} for _ in forms]
 
+    def forget(self) -> None:
+        self.kept = [{} for _ in self.forms]
+
     def learn(self, texts: list[str]) -> None:
         """After it `kept` holds the forms of all chunks of the texts. Their chunks are cut again when they are used:
         millions of small strings at a time would take more memory than the texts."""
@@ -225,6 +230,7 @@ class ChunkCache:
             again = fresh & self.kept[0].keys()
             self.kept = [{c: d[c] for c in again} for d in self.kept]
         new = list(fresh - self.kept[0].keys())
+        del fresh
         for lo in range(0, len(new), 150_000):
             alone: list[str] = []  # chunks that are one word
             mixed: list[tuple[str, list[str]]] = []
@@ -254,7 +260,13 @@ def loaded(path: str, kind: str, make) -> object:
     return _LOADED[path, kind]
 
 
-def slices(texts: list[str], most: int = 16_000_000):
+def forget() -> None:
+    """Empty the caches of this process; encoders stay."""
+    for cache in _LOADED.values():
+        cache.forget()
+
+
+def slices(texts: list[str], most: int = 2_000_000):
     """Runs of texts of at most `most` characters in all, one text at least."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
@@ -296,7 +308,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(run, forget), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -320,4 +332,4 @@ def encoding_digests(docs: DataFrame, path: str, text: str = "text", doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run, forget), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

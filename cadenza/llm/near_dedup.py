@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .components import connected_components
 
 #: Minima per document, low bits of each kept in the signature, chance that a pair at the threshold shares no band.
@@ -65,6 +65,11 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+def forget() -> None:
+    """Empty this process's hashes."""
+    HASHES.clear()
+
+
 def shingles(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence where words are fewer than width."""
     words = text.encode().lower().split()
@@ -134,7 +139,7 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{p} long" for p in PLANES))
+    return docs.mapInArrow(tidy(run, forget), f"doc_id {kind}, n_shingles long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{p} long" for p in PLANES))
 
 
 def linked(a: np.ndarray, b: np.ndarray, plan: Plan) -> bool:
@@ -165,7 +170,7 @@ def _confirm_stars(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.schema.field(0).type) for k in (0, 1)], ["u", "v"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"u {kind}, v {kind}")
+    return rows.mapInArrow(tidy(run, forget), f"u {kind}, v {kind}")
 
 
 def _confirm_rest(open_rows: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
@@ -238,7 +243,7 @@ def _confirm_rest(open_rows: DataFrame, texts: DataFrame, plan: Plan) -> DataFra
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
-    return rows.mapInArrow(run, f"u {kind}, v {kind}")
+    return rows.mapInArrow(tidy(run, forget), f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkCache, Raw, loaded, slices
-from .common import materialize, partitions
+from .bpe import ChunkCache, Raw, forget, loaded, slices
+from .common import materialize, partitions, tidy
 
 #: Buckets of the hashed document vector, dimensions it is projected to, bits of the curve in each dimension.
 BUCKETS, DIMS, BITS = 256, 4, 12
@@ -77,7 +77,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(curve_position(counts, into), pa.int64()), pa.array([wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "curve", "wide", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, curve long, wide boolean, ids binary")
+    return rows.mapInArrow(tidy(run, forget), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, curve long, wide boolean, ids binary")
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -151,4 +151,4 @@ def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int =
             yield batch_of(out)
 
     kind = done.schema["doc_id"].dataType.simpleString()
-    return ranged.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    return ranged.mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")

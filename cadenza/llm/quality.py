@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialize
+from .common import bucket_of, materialize, tidy
 
 #: Statistics of one text, in the order of the feature vector.
 FEATURES = (
@@ -104,7 +104,7 @@ def text_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(band_of(x), pa.int32())], ["doc_id", "features", "band"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, features array<double>, band int")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, features array<double>, band int")
 
 
 def topped(own: np.ndarray, rows: int, common: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
             score = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    scored = stats.mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    scored = stats.mapInArrow(tidy(run), f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
     return scored.select("doc_id", (bucket_of("doc_id", modulus) == held).alias("held_out"), "score", "predicted")
 
 

@@ -1,15 +1,21 @@
-"""Repeated byte strings across a corpus by a prefix-free parse, its dictionary and suffix order within it.
+"""Repeated byte strings across a corpus by prefix-free parsing: triggers, dictionary, parse, corpus order.
 
-Phrases. At each byte a rolling 8-gram hash is taken; the trigger of a start s is the position of the smallest hash in
-[s, s + WINDOW), the leftmost of equals. A phrase is a maximal run of starts with one trigger, together with the bytes
-that any of its strings of the asked length may reach. Equal strings have their triggers at equal places, so a string
-can repeat only among phrases that agree on the bytes right of the trigger.
+Parse. A rolling hash of eight bytes marks about one position in PERIOD as a trigger. The trigger of a start s is the
+first one in [s, s + window); where there is none it is the position of the smallest hash there, so no phrase is longer
+than the window. A phrase runs from behind one trigger up to and with the next and holds none inside: no phrase end is
+the beginning of another one. Equal strings have their triggers at equal places.
 
-Dictionary. Equal phrases are counted by 128-bit key. All starts of a phrase that occurs twice are repeated. Only the
-others, next to one copy of each phrase that agrees with them right of the trigger, go on.
+Dictionary and parse. Each phrase goes on with the parse behind it, as far as any of its strings of the asked length
+may reach. Phrases that agree as far as that, by the 128-bit hash of these bytes, are one entry; entries that come up
+twice are repeated at all their starts. Only the others, next to one copy of each entry whose parse begins alike, go on.
 
-Suffix order. The suffixes of these dictionary phrases are ranked by prefix doubling; two starts whose ranks over the
-asked length agree are repeated. Corpus order is never written out: of it only the classes of equal prefixes matter.
+Corpus order. In each such group the suffix array of the dictionary's phrases is built by prefix doubling, and the
+parses behind them are sorted. A suffix of the corpus is a suffix of a phrase and the parse behind it, so the pair of
+both ranks puts all starts of the group in corpus order; two neighbours share as many bytes as their phrase suffix has
+and their parses share, the least of the sorted parses' common prefixes between them.
+
+Groups of more than TILE entries are parted by more bytes on both sides of the trigger: a phrase is cut into shorter
+runs of starts, which agree on more bytes, until each group is small. Rows follow entries, never starts or pairs.
 """
 
 from __future__ import annotations
@@ -18,25 +24,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
-#: The most starts that share a trigger search; 8-gram hashes are taken at each byte.
-WINDOW, GRAM = 256, 8
-#: Distinct phrases of one trigger context that a task ranks together; larger contexts are dealt over several tasks.
-TILE = 1024
-#: Bytes of phrases ranked at a time.
-RANKED = 4_000_000
+#: The most starts of a phrase, bytes of the rolling hash, mean distance of triggers.
+WINDOW, GRAM, PERIOD = 256, 8, 96
+#: Entries that a task puts in order together; larger groups are parted by more bytes.
+TILE = 512
+#: Bytes of entries put in order at a time.
+RANKED = 2_000_000
 #: Bits of the filter that spares documents without marks the shuffle: fixed, whatever the input.
 FILTER_BITS = 1 << 25
 
-_rng = np.random.default_rng(20260713)
-LETTER = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = [0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1]
-INVERSE = [pow(b, -1, 1 << 64) for b in BASE]
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -45,10 +47,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one number; zeros past the end."""
+    """The eight bytes from each position on as one number, the first byte highest; zeros past the end."""
     x = np.concatenate((codes, np.zeros(GRAM, dtype=np.uint8))).astype(np.uint64)
     for step in (1, 2, 4):
-        x = x[:-step] | x[step:] << np.uint64(8 * step)
+        x = x[:-step] << np.uint64(8 * step) | x[step:]
     return x[: len(codes)]
 
 
@@ -62,51 +64,42 @@ def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-class PrefixHash:
-    """Polynomial hashes of all substrings of one byte array, modulo 2**64."""
-
-    def __init__(self, codes: np.ndarray, which: int):
-        power = np.full(len(codes), BASE[which], dtype=np.uint64)
-        if len(power):
-            power[0] = 1
-        power = np.cumprod(power)
-        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(LETTER[which][codes] * power)))
-        self.which = which
-
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        if not len(lo):
-            return np.zeros(0, dtype=np.uint64)
-        # INVERSE ** lo, by the bits of lo.
-        scale, square, left = np.ones(len(lo), dtype=np.uint64), INVERSE[self.which], lo.astype(np.uint64)
-        while left.any():
-            scale = np.where((left & np.uint64(1)) == 1, scale * np.uint64(square), scale)
-            square, left = square * square % (1 << 64), left >> np.uint64(1)
-        return mixed((self.sums[hi] - self.sums[lo]) * scale)
+def window_of(length: int) -> int:
+    """The most starts of a phrase: two thirds of the length at most, so that the parse behind a trigger stays long
+    enough to tell phrases apart."""
+    return min(WINDOW, max(1, (length - GRAM) * 2 // 3))
 
 
 def parse(raws: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """Phrases of the documents: doc (index), first (byte), n (starts), key1, key2, context."""
-    # Two thirds of the length at most, so that what lies right of a trigger stays long enough to tell phrases apart.
-    window = min(WINDOW, max(1, (length - GRAM) * 2 // 3))
+    """Phrases of the documents: doc (index), first (byte), n (starts), lead (bytes from first to the trigger), key1,
+    key2 (128-bit hash of the phrase, its trigger's place and the parse behind it), context (hash of that parse as far
+    as all its starts reach)."""
+    window = window_of(length)
     sizes = np.array([len(r) for r in raws], dtype=np.int64)
-    none = {k: np.zeros(0, dtype=t) for k, t in (("doc", np.int64), ("first", np.int64), ("n", np.int64), ("key1", np.uint64), ("key2", np.uint64), ("context", np.uint64))}
-    codes = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    none = {k: np.zeros(0, dtype=np.int64) for k in ("doc", "first", "n", "lead", "key1", "key2", "context")}
+    joined = b"".join(raws)
+    codes = np.frombuffer(joined, dtype=np.uint8)
     counts = np.maximum(sizes - length + 1, 0)
     if not counts.sum():
         return none
     begin = np.cumsum(sizes) - sizes
-    place = (mixed(grams(codes)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(codes), dtype=np.uint64)
+    hashed = mixed(grams(codes))
+    at = np.arange(len(codes), dtype=np.uint64)
+    # Triggers come before all others, by place; the others follow by hash.
+    place = np.where(hashed >> np.uint64(40) < np.uint64((1 << 24) // PERIOD), at, (hashed | np.uint64(1 << 63)) & np.uint64(0xFFFFFFFF00000000) | at)
     trigger = (window_minimum(place, window) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    del hashed, at, place
     doc = np.repeat(np.arange(len(raws)), counts)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + begin[doc]
     at = trigger[start]
     new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]))))
     n = np.diff(np.append(new, len(start)))
     first, at, doc = start[new], at[new], doc[new]
-    one, two = PrefixHash(codes, 0), PrefixHash(codes, 1)
-    # Where the trigger lies in the phrase is part of its key, and all keys are of bytes only.
-    key1, key2 = one.of(first, first + n + length - 1), two.of(first, first + n + length - 1)
-    return {"doc": doc, "first": first - begin[doc], "n": n, "key1": key1 ^ mixed((at - first).astype(np.uint64)), "key2": key2, "context": one.of(at, at + length - window + 1)}
+    lead, hash128, hash64 = at - first, xxhash.xxh3_128_digest, xxhash.xxh3_64_intdigest
+    # The trigger's place is the seed of the key.
+    keys = np.frombuffer(b"".join([hash128(joined[a:b], s) for a, b, s in zip(first.tolist(), (first + n + length - 1).tolist(), lead.tolist(), strict=True)]), dtype="<i8").reshape(-1, 2)
+    context = np.array([hash64(joined[a:b]) for a, b in zip(at.tolist(), (at + length - window + 1).tolist(), strict=True)], dtype=np.uint64).view(np.int64)
+    return {"doc": doc, "first": first - begin[doc], "n": n, "lead": lead, "key1": keys[:, 0], "key2": keys[:, 1], "context": context}
 
 
 def runs_of(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -117,29 +110,104 @@ def runs_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut + 1))].tolist(), (starts[np.concatenate((cut, [len(starts) - 1]))] + 1).tolist(), strict=True))
 
 
-def dense_ranks(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    found = keys[order]
-    ranks = np.empty(len(keys), dtype=np.int64)
-    ranks[order] = np.cumsum(np.concatenate(([0], found[1:] != found[:-1])))
+def dense_ranks(*keys: np.ndarray) -> np.ndarray:
+    """Ranks from 1 on of rows of keys, the first key foremost; equal rows share one."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), dtype=bool)
+    for k in keys:
+        found = k[order]
+        new[1:] |= found[1:] != found[:-1]
+    ranks = np.empty(len(order), dtype=np.int64)
+    ranks[order] = np.cumsum(new) + 1
     return ranks
 
 
-def prefix_classes(texts: list[bytes], starts: np.ndarray, length: int) -> np.ndarray:
-    """For positions in the joined texts, a number that two positions share if and only if their next `length` bytes
-    are equal: suffix ranks by prefix doubling, begun with eight bytes, ended by overlapping two ranks."""
-    codes = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    depth = GRAM
-    ranks = dense_ranks(grams(codes))
-    while 2 * depth <= length:
-        ahead = np.concatenate((ranks[depth:], np.zeros(min(depth, len(ranks)), dtype=np.int64)))[: len(ranks)]
-        ranks = dense_ranks(ranks * len(ranks) + ahead)
+def phrase_suffix_ranks(phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of a dictionary: the rank of each suffix of each phrase, the empty one included, in byte order, as
+    one array, and the place at which each phrase begins in it. Equal suffixes share a rank, by prefix doubling."""
+    sizes = np.array([len(p) + 1 for p in phrases], dtype=np.int64)
+    begin = np.cumsum(sizes) - sizes
+    codes = np.frombuffer(b"".join(p + b"\0" for p in phrases), dtype=np.uint8)
+    left = np.repeat(begin + sizes - 1, sizes) - np.arange(len(codes))  # bytes up to the phrase's end
+    # Eight bytes at first; those past the end of a phrase count as zero, and as less than a zero byte by `left`.
+    short = np.minimum(left, GRAM)
+    mask = ~np.uint64(0) << (np.uint64(8) * (GRAM - np.maximum(short, 1)).astype(np.uint64))
+    ranks = dense_ranks(np.where(short > 0, grams(codes) & mask, np.uint64(0)), short)
+    depth, most = GRAM, int(sizes.max(initial=1)) - 1
+    while depth < most:
+        ahead = np.zeros(len(ranks), dtype=np.int64)
+        some = np.flatnonzero(left > depth)
+        ahead[some] = ranks[some + depth]
+        ranks = dense_ranks(ranks * (len(ranks) + 1) + ahead)
         depth *= 2
-    return dense_ranks(ranks[starts] * len(ranks) + ranks[starts + length - depth])
+    return ranks, begin
+
+
+def parse_order(parses: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of byte strings in their order, and the bytes that each place shares with the one before (first: 0)."""
+    order = sorted(range(len(parses)), key=parses.__getitem__)
+    rank = np.empty(len(parses), dtype=np.int64)
+    rank[order] = np.arange(len(parses))
+    width = max(map(len, parses), default=0)
+    table = np.frombuffer(b"".join(parses[i].ljust(width, b"\0") for i in order), dtype=np.uint8).reshape(len(parses), width)
+    sizes = np.array([len(parses[i]) for i in order])
+    shared = np.zeros(len(parses), dtype=np.int64)
+    if len(parses) > 1 and width:
+        for lo in range(0, len(parses) - 1, 4096):
+            off = table[lo + 1 : lo + 4097] != table[lo : min(lo + 4096, len(parses) - 1)]
+            shared[lo + 1 : lo + 1 + len(off)] = np.where(off.any(1), off.argmax(1), width)
+        shared[1:] = np.minimum(shared[1:], np.minimum(sizes[1:], sizes[:-1]))
+    return rank, shared
+
+
+def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Minimum of values over (lo, hi], lo < hi, from a table of minima of power-of-two stretches."""
+    table = [values]
+    while 2 << (len(table) - 1) <= len(values):
+        half, last = 1 << (len(table) - 1), table[-1]
+        table.append(np.minimum(last[:-half], last[half:]))
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    out = np.empty(len(lo), dtype=np.int64)
+    for k in np.unique(level).tolist():
+        on = np.flatnonzero(level == k)
+        out[on] = np.minimum(table[k][lo[on] + 1], table[k][hi[on] - (1 << k) + 1])
+    return out
+
+
+def corpus_order(entries: list[bytes], lead: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of entries (a phrase, whose trigger begins after `lead` bytes, and the parse from that trigger on) in
+    corpus order by the ranks of phrase suffix and parse: entry, offset, the bytes each shares with the one before (-1
+    where their phrase suffixes differ, so that they share no whole one), and its number in order of entries."""
+    heads = [e[: a + GRAM] for e, a in zip(entries, lead.tolist(), strict=True)]
+    dictionary = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+    suffix, begin = phrase_suffix_ranks(list(dictionary))
+    parsed, shared = parse_order([e[a:] for e, a in zip(entries, lead.tolist(), strict=True)])
+    owner = np.repeat(np.arange(len(entries)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    head = suffix[begin[np.array([dictionary[h] for h in heads])][owner] + offset]
+    order = np.argsort(head * len(entries) + parsed[owner], kind="stable")
+    owner, offset, head = owner[order], offset[order], head[order]
+    place = parsed[owner]
+    common = np.full(len(order), -1, dtype=np.int64)
+    same = np.flatnonzero(head[1:] == head[:-1]) + 1
+    if len(same):
+        common[same] = lead[owner[same]] - offset[same] + least_between(shared, place[same - 1], place[same])
+    return owner, offset, common, order
+
+
+def repeated_in(entries: list[bytes], lead: np.ndarray, n: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each entry the offsets of its starts whose `length` bytes another start has too."""
+    owner, offset, common, _ = corpus_order(entries, lead, n)
+    twice = common >= length
+    twice[:-1] |= twice[1:]
+    at = np.flatnonzero(twice)
+    owner, offset = owner[at], offset[at]
+    by = np.lexsort((offset, owner))
+    return np.split(offset[by], np.searchsorted(owner[by], np.arange(1, len(entries))))
 
 
 def _parsed(docs: DataFrame, length: int) -> DataFrame:
-    """Phrases of docs(doc_id, th, text): doc_id, th, first, n, key1, key2, context; many tells that the phrase comes
+    """Phrases of docs(doc_id, th, text): doc_id, th, first, n, lead, key1, key2, context; many tells that the phrase comes
     several times in its document, whose rows for it are one. Rows without a key are runs of starts that their own
     document repeats."""
 
@@ -150,7 +218,7 @@ def _parsed(docs: DataFrame, length: int) -> DataFrame:
                 p = parse(raws[lo:hi], length)
                 if not len(p["doc"]):
                     continue
-                _, index, back, count = np.unique(p["key1"] ^ mixed(p["doc"].astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+                _, index, back, count = np.unique(p["key1"].view(np.uint64) ^ mixed(p["doc"].astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
                 many = count > 1
                 own = np.flatnonzero(many[back])  # phrases that repeat within their document, in order
                 local = []
@@ -162,19 +230,21 @@ def _parsed(docs: DataFrame, length: int) -> DataFrame:
                 doc = np.concatenate((p["doc"][index], local[0])) if local else p["doc"][index]
                 first = np.concatenate((p["first"][index], local[1])) if local else p["first"][index]
                 n = np.concatenate((p["n"][index], local[2])) if local else p["n"][index]
+                more = len(doc) - len(index)
                 none = np.arange(len(doc)) >= len(index)
-                key = lambda k: pa.array(np.concatenate((p[k][index].view(np.int64), np.zeros(len(doc) - len(index), dtype=np.int64))), mask=none)  # noqa: B023, E731
+                key = lambda k: pa.array(np.concatenate((p[k][index], np.zeros(more, dtype=np.int64))), mask=none)  # noqa: B023, E731
+                lead = pa.array(np.concatenate((p["lead"][index], np.zeros(more, dtype=np.int64))).astype(np.int32))
                 pick = pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), hashes.take(pick), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), key("key1"), key("key2"), key("context"), pa.array(np.concatenate((many, np.ones(len(doc) - len(index), dtype=bool))))],
-                    ["doc_id", "th", "first", "n", "key1", "key2", "context", "many"],
+                    [ids.take(pick), hashes.take(pick), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), lead, key("key1"), key("key2"), key("context"), pa.array(np.concatenate((many, np.ones(more, dtype=bool))))],
+                    ["doc_id", "th", "first", "n", "lead", "key1", "key2", "context", "many"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, th long, first int, n int, key1 long, key2 long, context long, many boolean")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, th long, first int, n int, lead int, key1 long, key2 long, context long, many boolean")
 
 
-def _portions(raws: list[bytes], most: int = 1_500_000):
+def _portions(raws: list[bytes], most: int = 500_000):
     lo, size = 0, 0
     for i, r in enumerate(raws):
         if size and size + len(r) > most:
@@ -186,83 +256,83 @@ def _portions(raws: list[bytes], most: int = 1_500_000):
 
 
 def _cut(length: int):
-    """Rows (doc_id, th, text, wanted array<struct<context, k, first, n, full>>) to one row per phrase with its bytes."""
+    """Rows (doc_id, th, text, wanted array<struct<context, k, first, n, lead, full>>) to one row per entry with its bytes."""
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                rows = [(d, h, w["context"], w["k"], w["first"], w["n"], w["full"], t[w["first"] : w["first"] + w["n"] + length - 1]) for d, h, t, ws in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), [(t or "").encode() for t in part.column(2).to_pylist()], part.column(3).to_pylist(), strict=True) for w in ws]
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                rows = [(d, h, w["context"], w["k"], w["first"], w["n"], w["lead"], w["full"], t[w["first"] : w["first"] + w["n"] + length - 1]) for d, h, t, ws in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), [(t or "").encode() for t in part.column(2).to_pylist()], part.column(3).to_pylist(), strict=True) for w in ws]
                 if rows:
-                    cols = list(zip(*rows, strict=True))
-                    types = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "th", "context", "k", "first", "n", "full", "phrase"])
+                    yield _entry_batch(rows, part.schema.field(0).type)
 
     return run
 
 
-def _ranked(length: int):
-    """Tile by tile of sorted rows: runs of starts that repeat, and, of contexts dealt over several tiles, each class of
-    prefixes by its hash so that Spark can meet them again."""
+ENTRY = ("doc_id", "th", "context", "k", "first", "n", "lead", "full", "entry")
+
+
+def _entry_batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    types = [id_type, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(ENTRY))
+
+
+def _parted(length: int, width: int):
+    """Rows of ENTRY to rows of shorter runs of starts: those whose distance to the trigger lies in [a, a + width), for
+    all multiples a of width. All strings of a run hold the a bytes before the trigger and the length - a - width + 1
+    from it on, whose hash is its context; k is not known yet and zero."""
+
+    def run(batches):
+        hash64 = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            rows: list[tuple] = []
+            for d, h, _, _, first, n, lead, full, entry in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for a in range((lead - n + 1) // width * width, lead + 1, width):
+                    far, near = min(lead, a + width - 1), max(lead - n + 1, a)
+                    skip = lead - far
+                    part = entry[skip : lead - near + length]
+                    core = hash64(entry[lead - a : lead + length - a - width + 1], a)
+                    rows.append((d, h, core - (1 << 64) if core >> 63 else core, 0, first + skip, far - near + 1, far, full, part))
+                if len(rows) >= 2000:
+                    yield _entry_batch(rows, batch.schema.field(0).type)
+                    rows = []
+            if rows:
+                yield _entry_batch(rows, batch.schema.field(0).type)
+
+    return run
+
+
+def _ordered(length: int):
+    """Groups of sorted rows of ENTRY: runs of starts that repeat."""
 
     def run(batches):
         held: list[tuple] = []
         size, id_type = 0, None
 
         def settle(rows):
-            phrases = [r[7] for r in rows]
-            ns = np.array([r[5] for r in rows])
-            begin = np.cumsum([len(p) for p in phrases]) - [len(p) for p in phrases]
-            owner = np.repeat(np.arange(len(rows)), ns)
-            offset = np.arange(len(owner)) - np.repeat(np.cumsum(ns) - ns, ns)
-            starts = begin[owner] + offset
-            classes = prefix_classes(phrases, starts, length)
-            twice = np.bincount(classes)[classes] > 1
-            full = np.array([r[6] for r in rows])[owner]
-            out = []
-            hit = np.flatnonzero(twice & ~full)
-            for i, part in _by(owner[hit], offset[hit]):
-                d, h, _, _, first = rows[i][:5]
-                out += [(d, h, first + a, first + b, None, None, None) for a, b in runs_of(part)]
-            wide = np.array([r[3] > TILE for r in rows])[owner]
-            if wide.any():
-                codes = np.frombuffer(b"".join(phrases), dtype=np.uint8)
-                some = np.flatnonzero(wide)
-                _, one = np.unique(classes[some], return_index=True)
-                some = some[one]
-                keys = [PrefixHash(codes, k).of(starts[some], starts[some] + length).view(np.int64).tolist() for k in (0, 1)]
-                for i, o, seen, a, b in zip(owner[some].tolist(), offset[some].tolist(), (twice | full)[some].tolist(), *keys, strict=True):
-                    d, h, _, _, first = rows[i][:5]
-                    out.append((d, h, first + o, first + o + 1, a, b, seen))
-            return out
+            hits = repeated_in([r[8] for r in rows], np.array([r[6] for r in rows]), np.array([r[5] for r in rows]), length)
+            return [(r[0], r[1], r[4] + a, r[4] + b) for r, hit in zip(rows, hits, strict=True) if not r[7] for a, b in runs_of(hit)]
 
         def batch_of(out):
-            cols = list(zip(*out, strict=True))
-            types = [id_type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "th", "lo", "hi", "w1", "w2", "seen"])
+            types = [id_type, pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "th", "lo", "hi"])
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and size > RANKED // 4 and (held[-1][2], held[-1][8]) != (row[2], row[8]):
-                    out, held, size = settle(held), [], 0
-                    if out:
-                        yield batch_of(out)
-                held.append(row)
-                size += len(row[7])
+            for i in range(0, batch.num_rows, 1000):
+                for row in zip(*[c.to_pylist() for c in batch.slice(i, 1000).columns], strict=True):
+                    if held and size > RANKED and held[-1][2] != row[2]:
+                        out, held, size = settle(held), [], 0
+                        if out:
+                            yield batch_of(out)
+                    held.append(row)
+                    size += len(row[8])
         if held and (out := settle(held)):
             yield batch_of(out)
 
     return run
 
 
-def _by(owner: np.ndarray, values: np.ndarray):
-    """(owner, its values) of arrays sorted by owner."""
-    cut = np.flatnonzero(np.diff(owner)) + 1
-    for part, i in zip(np.split(values, cut), owner[np.concatenate(([0], cut)).astype(int)].tolist() if len(owner) else [], strict=False):
-        yield i, part
-
-
 def _split_by_filter(rows: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows whose (doc_id, th) may be in marked, and the rest. The filter is a bitmap of FILTER_BITS bits, 4 MB at the
     most whatever the input, and is broadcast; where it fills up, more rows take the join, results stay the same."""
@@ -276,29 +346,47 @@ def _split_by_filter(rows: DataFrame, marked: DataFrame) -> tuple[DataFrame, Dat
     return split.where("__may").drop("__may"), split.where("NOT __may").drop("__may")
 
 
+def _small_groups(entries: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Entries in groups of TILE at most, and runs of starts found to repeat on the way. Larger groups are parted by
+    ever shorter runs of starts; runs of one start and equal bytes are one entry, so the last round leaves none."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.schema.fields)
+    small, found = entries.where(F.col("k") <= TILE), []
+    wide, width = entries.where(F.col("k") > TILE), window_of(length)
+    while width > 1 and not wide.isEmpty():
+        width = max(1, width // 4)
+        parts = wide.mapInArrow(tidy(_parted(length, width)), schema).withColumn("key", F.unhex(F.md5("entry")))
+        parts = materialize(parts, "parts")
+        distinct = parts.groupBy("context", "key", "lead").agg(((F.count(F.lit(1)) > 1) | F.max("full")).alias("full"), F.min(F.struct("doc_id", "th", "first", "n", "entry")).alias("rep"))
+        distinct = materialize(distinct, "distinct")
+        twice = distinct.where("full").select("key", "lead").distinct()
+        found.append(parts.where("NOT full").join(twice, ["key", "lead"]).select("doc_id", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi")))
+        groups = distinct.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.max(~F.col("full")).alias("some_open")).where("k > 1 AND some_open").select("context", "k")
+        entries = materialize(distinct.join(groups, "context").select("rep.doc_id", "rep.th", "context", "k", "rep.first", "rep.n", "lead", "full", "rep.entry"), "entries")
+        small, wide = small.union(entries.where(F.col("k") <= TILE)), entries.where(F.col("k") > TILE)
+    return small, found
+
+
 def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, th, lo, hi: runs of starts [lo, hi) whose `length` bytes also start elsewhere, of docs(doc_id, th, text)."""
     phrases = materialize(_parsed(docs, length), "phrases")
     keyed = phrases.where("key1 IS NOT NULL")
-    dictionary = keyed.groupBy("context", "key1", "key2").agg(((F.count(F.lit(1)) > 1) | F.max("many")).alias("full"), F.min(F.struct("doc_id", "th", "first", "n")).alias("rep"))
+    dictionary = keyed.groupBy("context", "key1", "key2").agg(((F.count(F.lit(1)) > 1) | F.max("many")).alias("full"), F.min(F.struct("doc_id", "th", "first", "n", "lead")).alias("rep"))
     contexts = dictionary.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.max(~F.col("full")).alias("some_open")).where("k > 1 AND some_open").select("context", "k")
     wanted = dictionary.join(contexts, "context").select("context", "k", "rep.*", "full")
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("context", "k", "first", "n", "full")).alias("wanted"))
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("context", "k", "first", "n", "lead", "full")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
     text, _ = _split_by_filter(docs, wanted)
     asked = text.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th"))).select("t.doc_id", "t.th", "t.text", "w.wanted")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bytes_ = asked.mapInArrow(_cut(length), f"doc_id {kind}, th long, context long, k long, first int, n int, full boolean, phrase binary")
-    tiles = F.ceil(F.col("k") / TILE).cast("int")
-    tiled = bytes_.withColumn("tile", F.pmod(F.xxhash64("doc_id", "th", "first"), tiles).cast("int"))
-    tiled = tiled.repartition("context", "tile").sortWithinPartitions("context", "tile")
-    ranked = materialize(tiled.mapInArrow(_ranked(length), f"doc_id {kind}, th long, lo int, hi int, w1 long, w2 long, seen boolean"), "ranked")
-    spread = ranked.where("w1 IS NOT NULL")
-    twice = spread.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
-    wide = spread.where("NOT seen").join(twice, ["w1", "w2"]).select("doc_id", "th", "lo", "hi")
+    entries = materialize(asked.mapInArrow(tidy(_cut(length)), f"doc_id {kind}, th long, context long, k long, first int, n int, lead int, full boolean, entry binary"), "entries")
+    small, found = _small_groups(entries, length)
+    small = small.repartition("context").sortWithinPartitions("context")
+    ordered = small.mapInArrow(tidy(_ordered(length)), f"doc_id {kind}, th long, lo int, hi int")
     full = keyed.where("NOT many").select("doc_id", "th", "first", "n", "key1", "key2").join(dictionary.where("full").select("key1", "key2").distinct(), ["key1", "key2"]).select("doc_id", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
     local = phrases.where("key1 IS NULL").select("doc_id", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
-    return full.union(local).union(ranked.where("w1 IS NULL").select("doc_id", "th", "lo", "hi")).union(wide)
+    for more in (local, ordered, *found):
+        full = full.union(more)
+    return full
 
 
 def whole_characters(raw: bytes, spans: list[list[int]]) -> list[list[int]]:
@@ -352,7 +440,7 @@ def _removed(docs: DataFrame, length: int, text: str, doc_id: str, carried: list
     some, none = _split_by_filter(rows, marks)
     joined = some.alias("t").join(marks.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.th") == F.col("m.th")), "left").select("t.doc_id", "t.text", "m.runs", "t.carried")
     kinds = rows.schema["doc_id"].dataType.simpleString(), rows.schema["carried"].dataType.simpleString()
-    changed = joined.mapInArrow(_remover(length, whole), f"doc_id {kinds[0]}, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary, carried {kinds[1]}")
+    changed = joined.mapInArrow(tidy(_remover(length, whole)), f"doc_id {kinds[0]}, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary, carried {kinds[1]}")
     same = none.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.expr("CAST(array() AS array<struct<lo: bigint, hi: bigint>>)").alias("spans"), F.col("text").cast("binary").alias("kept"), "carried")
     return changed.union(same)
 

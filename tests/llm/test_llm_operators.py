@@ -259,14 +259,43 @@ def test_repeated_strings_edges(spark, docs):
     assert all(r.n_chars == len(r.text) for r in out.collect())
 
 
-def test_prefix_classes():
-    raw = [b"abcdefghijklmnopqrstuvwxyzabcdefghijklmnopq", b"bcdefghijklmnopqrst"]
-    joined = b"".join(raw)
-    starts = np.array([0, 26, 1, 27, 43, 2])
-    got = substring_dedup.prefix_classes(raw, starts, 12)
-    for i, a in enumerate(starts):
-        for j, b in enumerate(starts):
-            assert (got[i] == got[j]) == (joined[a : a + 12] == joined[b : b + 12])
+def test_corpus_order_is_the_order_of_the_strings():
+    """Ranks of phrase suffixes and of parses, combined, sort all starts of several texts as their bytes do."""
+    rng, length = random.Random(4), 400
+    passage = "".join(rng.choice("abc ") for _ in range(700))
+    raws = [("".join(rng.choice("abc ") for _ in range(rng.randint(300, 900))) + (passage if i % 2 else "") + "z" * i).encode() for i in range(8)]
+    p = substring_dedup.parse(raws, length)
+    entries = [raws[d][a : a + n + length - 1] for d, a, n in zip(p["doc"], p["first"], p["n"], strict=True)]
+    assert p["n"].sum() == sum(max(0, len(r) - length + 1) for r in raws) and p["lead"].max() < substring_dedup.window_of(length)
+    owner, offset, common, _ = substring_dedup.corpus_order(entries, p["lead"], p["n"])
+    # Where no hash trigger is near, a phrase ends at the smallest hash and order is by phrases only.
+    marked = [(substring_dedup.mixed(substring_dedup.grams(np.frombuffer(e[a : a + 8], dtype=np.uint8)))[0] >> np.uint64(40)) < (1 << 24) // substring_dedup.PERIOD for e, a in zip(entries, p["lead"], strict=True)]
+    strings = [entries[e][o : o + length] for e, o in zip(owner, offset, strict=True) if marked[e]]
+    assert 0 < len(strings) and strings == sorted(strings)
+    for k in range(1, len(owner)):
+        if common[k] >= 0:
+            a, b = entries[owner[k - 1]][offset[k - 1] :], entries[owner[k]][offset[k] :]
+            assert common[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def test_phrase_suffix_ranks():
+    rng = random.Random(6)
+    phrases = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 40))) for _ in range(60)] + [b"", b"a" * 100]
+    ranks, begin = substring_dedup.phrase_suffix_ranks(phrases)
+    suffixes = [(p[i:], ranks[b + i]) for p, b in zip(phrases, begin.tolist(), strict=True) for i in range(len(p) + 1)]
+    order = {x: k for k, x in enumerate(sorted({x for x, _ in suffixes}))}
+    assert [r for _, r in suffixes] == [order[x] + 1 for x, _ in suffixes]
+
+
+def test_wide_groups_of_near_copies(spark, monkeypatch):
+    """Many copies with one edit each: rows that part wide groups follow copies, results stay whole."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(i, base[: (p := rng.randrange(900))] + "#%d#" % i + base[p:]) for i in range(60)]
+    monkeypatch.setattr(substring_dedup, "TILE", 4)
+    want = substring_dedup.brute_force(dict(rows), 400)
+    got = by_id(substring_dedup.remove_repeated_strings(frame(spark, rows), 400))
+    assert {i: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for i, r in got.items()} == want
 
 
 # BPE
