@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkCache, Raw, forget, loaded, slices
-from .common import materialize, partitions, tidy
+from .common import materialize, tidy
 
 #: Buckets of the hashed document vector, dimensions it is projected to, bits of the curve in each dimension.
 BUCKETS, DIMS, BITS = 256, 4, 12
+#: Tokens of one range of the curve, which one task packs; the most ranges; tokens that weigh as one when ranges are cut.
+RANGE_TOKENS, MOST_RANGES, WEIGHED = 4_000_000, 20_000, 512
+#: Bits that part documents of one curve position.
+TIE_BITS = 63 - DIMS * BITS
 
 
 def projection(seed: int = 20260713) -> np.ndarray:
@@ -59,7 +63,7 @@ def curve_position(counts: np.ndarray, into: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, curve long, ids binary (little-endian 32-bit, 16-bit where the vocabulary allows), one row per row."""
+    """doc_id, curve long, tokens long, wide, ids binary (little-endian; 32-bit if wide, else 16-bit), one row per row."""
 
     def run(batches):
         cache = loaded(path, "raw", lambda b: ChunkCache(b, [Raw(2 if len(b.token) <= 1 << 16 else 4)]))
@@ -74,27 +78,51 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_i
                 raw = cache.kept[0]
                 ids = [b"".join(map(raw.__getitem__, cache.bpe.chunks(t))) + end for t in texts[lo:hi]]
                 counts = np.stack([np.bincount(bucket[np.frombuffer(x, dtype=kind)], minlength=BUCKETS) for x in ids])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(curve_position(counts, into), pa.int64()), pa.array([wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "curve", "wide", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(curve_position(counts, into), pa.int64()), pa.array([len(x) // (4 if wide else 2) for x in ids], pa.int64()), pa.array([wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "curve", "tokens", "wide", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run, forget), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, curve long, wide boolean, ids binary")
+    return rows.mapInArrow(tidy(run, forget), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, curve long, tokens long, wide boolean, ids binary")
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids array<int>.
+def along_the_curve(done: DataFrame) -> DataFrame:
+    """Rows of `tokenized` dealt to ranges of the curve that hold about as many tokens each, sorted along it.
+
+    Bounds are weighted quantiles of (curve, hash of the id), so long documents and thousands of copies at one position
+    do not swell a range. The quantile summary has a bounded size, and so have the bounds, MOST_RANGES at the most.
+    """
+    tie = F.pmod(F.xxhash64("doc_id"), F.lit(1 << TIE_BITS))
+    placed = done.withColumn("place", F.shiftleft("curve", TIE_BITS) + tie)
+    total = done.agg(F.sum("tokens")).first()[0] or 0
+    n = min(MOST_RANGES, -(-total // RANGE_TOKENS))
+    if n > 1:
+        weighed = placed.select("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens").cast("long"), F.lit(WEIGHED).cast("long"))))
+        cuts = weighed.agg(F.percentile_approx("place", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0]
+        # Bounds at or below a place, by a binary search over them and as many past the end as make it a power of two.
+        steps = n.bit_length()
+        bounds = F.lit(np.array(cuts + [(1 << 63) - 1] * ((1 << steps) - len(cuts)), dtype=np.int64))
+        step = lambda at, size: F.when(F.element_at(bounds, at + size) <= F.col("place"), at + size).otherwise(at)
+        part = F.aggregate(F.lit(np.array([1 << k for k in range(steps - 1, -1, -1)], dtype=np.int32)), F.lit(0), step)
+        placed = placed.withColumn("part", part).repartitionById(n, F.col("part"))
+    else:
+        placed = placed.repartition(1)
+    return placed.sortWithinPartitions("curve", "doc_id", "ids").select("doc_id", "wide", "ids")
+
+
+def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, unless with_ids is
+    False, ids array<int>.
 
     Documents are tokenised, ended by end_id, sorted by ranges along the curve and laid end to end in each range; each
     sequence takes `length` ids and a document goes on in the next one. What a range leaves over fills sequences whose
-    lengths are falling powers of two, so nothing is padded. Equal curve positions are ordered and dealt by doc_id, so
-    copies of one document spread over ranges. The tokens are written to the shared folder once: range bounds and
+    lengths are falling powers of two, so nothing is padded. Ranges hold about RANGE_TOKENS tokens each; documents of one
+    curve position are dealt by a hash of the id, so copies of one document spread over ranges. The tokens are written to the shared folder once: range bounds and
     retries read them from there.
 
     Null and empty texts are one id, the end. Rows may repeat and ids may be null: each row is packed on its own. An
     empty table gives an empty result. Other columns are not read.
     """
     done = materialize(tokenized(docs, path, end_id, text, doc_id), "tokens")
-    n = partitions(docs.sparkSession)
-    ranged = done.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    ranged = along_the_curve(done)
 
     def run(batches):
         base, number = TaskContext.get().partitionId() << 40, 0
@@ -126,14 +154,17 @@ def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int =
 
         def batch_of(rows):
             cols = list(zip(*rows, strict=True))
+            plain = [pa.array(cols[0], id_type), *[pa.array(c, pa.int64()) for c in cols[1:7]]]
+            if not with_ids:
+                return pa.RecordBatch.from_arrays(plain, names[:7])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in cols[7]])))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(cols[7]).astype(np.int32), pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *[pa.array(c, pa.int64()) for c in cols[1:7]], lists], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            return pa.RecordBatch.from_arrays([*plain, lists], names)
 
-        out, id_type = [], None
+        out, id_type, names = [], None, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         for batch in batches:
             id_type = batch.column(0).type
-            for doc, wide, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc, wide, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 ids = np.frombuffer(raw, dtype="<u4" if wide else "<u2")
                 start = 0
                 while start < len(ids):
@@ -151,4 +182,4 @@ def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int =
             yield batch_of(out)
 
     kind = done.schema["doc_id"].dataType.simpleString()
-    return ranged.mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    return ranged.mapInArrow(tidy(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

@@ -43,7 +43,7 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

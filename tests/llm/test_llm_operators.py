@@ -345,6 +345,22 @@ def test_packing_partitions_every_document(spark, docs):
     assert packing.pack_documents(empty(docs), vocabulary()).count() == 0
 
 
+def test_ranges_hold_as_many_tokens_each(spark, monkeypatch):
+    """Copies at one place of the curve, long and short documents: no range is far over its share, none loses rows."""
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 2000)
+    monkeypatch.setattr(packing, "WEIGHED", 4)
+    rng = random.Random(2)
+    rows = [(i, 77, 50, False, b"") for i in range(500)] + [(1000 + i, rng.randrange(1 << 48), rng.choice([1, 300]), False, b"") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, curve long, tokens long, wide boolean, ids binary")
+    tokens = {r[0]: r[2] for r in rows}
+    parts = packing.along_the_curve(df).rdd.mapPartitions(lambda it: [[r.doc_id for r in it]]).collect()
+    assert sorted(i for p in parts for i in p) == sorted(tokens)
+    assert max(sum(tokens[i] for i in p) for p in parts) < 2 * 2000
+    curve = {r[0]: r[1] for r in rows}
+    flat = [curve[i] for p in parts for i in p]
+    assert flat == sorted(flat)
+
+
 def test_hilbert_curve_is_a_path():
     side = np.arange(8)
     cells = np.stack([g.ravel() for g in np.meshgrid(side, side, side, indexing="ij")], axis=1)
