@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from .common import materialize, tidy
 
 #: The most starts of a phrase, bytes of the rolling hash, mean distance of triggers.
-WINDOW, GRAM, PERIOD = 256, 8, 96
+WINDOW, GRAM, PERIOD = 256, 8, 160
 #: Entries that a task puts in order together; larger groups are parted by more bytes.
 TILE = 512
 #: Bytes of entries put in order at a time.
 RANKED = 2_000_000
-#: Bits of the filter that spares documents without marks the shuffle: fixed, whatever the input.
-FILTER_BITS = 1 << 25
+#: Bits of the filters that spare rows without a match the shuffle: fixed, whatever the input.
+FILTER_BITS = 1 << 26
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,9 +65,9 @@ def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_of(length: int) -> int:
-    """The most starts of a phrase: two thirds of the length at most, so that the parse behind a trigger stays long
+    """The most starts of a phrase: three quarters of the length at most, so that the parse behind a trigger stays long
     enough to tell phrases apart."""
-    return min(WINDOW, max(1, (length - GRAM) * 2 // 3))
+    return min(WINDOW, max(1, (length - GRAM) * 3 // 4))
 
 
 def parse(raws: list[bytes], length: int) -> dict[str, np.ndarray]:
@@ -333,10 +333,10 @@ def _ordered(length: int):
     return run
 
 
-def _split_by_filter(rows: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows whose (doc_id, th) may be in marked, and the rest. The filter is a bitmap of FILTER_BITS bits, 4 MB at the
-    most whatever the input, and is broadcast; where it fills up, more rows take the join, results stay the same."""
-    place = lambda: F.pmod(F.xxhash64("doc_id", "th"), F.lit(FILTER_BITS))
+def _split_by_filter(rows: DataFrame, marked: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose columns may be in marked, and the rest. The filter is a bitmap of FILTER_BITS bits, 8 MB at the most
+    whatever the input, and is broadcast; where it fills up, more rows take the join, results stay the same."""
+    place = lambda: F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
     bits = marked.select(place().alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
     bits = materialize(bits, "filter")
     placed = rows.withColumn("__p", place()).withColumn("__bucket", F.bitmap_bucket_number("__p")).join(F.broadcast(bits), F.col("__bucket") == F.col("bucket"), "left")
@@ -370,19 +370,25 @@ def repeated_starts(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, th, lo, hi: runs of starts [lo, hi) whose `length` bytes also start elsewhere, of docs(doc_id, th, text)."""
     phrases = materialize(_parsed(docs, length), "phrases")
     keyed = phrases.where("key1 IS NOT NULL")
+    # A parse beginning that comes up once has nothing to repeat: only the others are shuffled with their keys.
+    seen = materialize(keyed.groupBy("context").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("context"), "seen")
+    keyed, _ = _split_by_filter(keyed, seen, "context")
     dictionary = keyed.groupBy("context", "key1", "key2").agg(((F.count(F.lit(1)) > 1) | F.max("many")).alias("full"), F.min(F.struct("doc_id", "th", "first", "n", "lead")).alias("rep"))
+    dictionary = materialize(dictionary, "dictionary")
     contexts = dictionary.groupBy("context").agg(F.count(F.lit(1)).alias("k"), F.max(~F.col("full")).alias("some_open")).where("k > 1 AND some_open").select("context", "k")
     wanted = dictionary.join(contexts, "context").select("context", "k", "rep.*", "full")
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("context", "k", "first", "n", "lead", "full")).alias("wanted"))
     wanted = materialize(wanted, "wanted")
-    text, _ = _split_by_filter(docs, wanted)
+    text, _ = _split_by_filter(docs, wanted, "doc_id", "th")
     asked = text.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.th") == F.col("w.th"))).select("t.doc_id", "t.th", "t.text", "w.wanted")
     kind = docs.schema["doc_id"].dataType.simpleString()
     entries = materialize(asked.mapInArrow(tidy(_cut(length)), f"doc_id {kind}, th long, context long, k long, first int, n int, lead int, full boolean, entry binary"), "entries")
     small, found = _small_groups(entries, length)
     small = small.repartition("context").sortWithinPartitions("context")
     ordered = small.mapInArrow(tidy(_ordered(length)), f"doc_id {kind}, th long, lo int, hi int")
-    full = keyed.where("NOT many").select("doc_id", "th", "first", "n", "key1", "key2").join(dictionary.where("full").select("key1", "key2").distinct(), ["key1", "key2"]).select("doc_id", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
+    twice = materialize(dictionary.where("full").select("key1", "key2").distinct(), "twice")
+    members, _ = _split_by_filter(keyed.where("NOT many").select("doc_id", "th", "first", "n", "key1", "key2"), twice, "key1", "key2")
+    full = members.join(twice, ["key1", "key2"]).select("doc_id", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
     local = phrases.where("key1 IS NULL").select("doc_id", "th", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
     for more in (local, ordered, *found):
         full = full.union(more)
@@ -437,7 +443,7 @@ def _removed(docs: DataFrame, length: int, text: str, doc_id: str, carried: list
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"), keep.alias("carried"))
     marks = repeated_starts(rows.select("doc_id", "th", "text"), length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     marks = materialize(marks, "marks")
-    some, none = _split_by_filter(rows, marks)
+    some, none = _split_by_filter(rows, marks, "doc_id", "th")
     joined = some.alias("t").join(marks.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.th") == F.col("m.th")), "left").select("t.doc_id", "t.text", "m.runs", "t.carried")
     kinds = rows.schema["doc_id"].dataType.simpleString(), rows.schema["carried"].dataType.simpleString()
     changed = joined.mapInArrow(tidy(_remover(length, whole)), f"doc_id {kinds[0]}, n_bytes long, n_removed long, spans array<struct<lo: long, hi: long>>, kept binary, carried {kinds[1]}")
