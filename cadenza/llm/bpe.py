@@ -16,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 #: Distinct chunks a task keeps between batches; beyond it the cache is emptied, results stay the same.
-CACHE = 200_000
+CACHE = 400_000
 #: Separators that str.split drops although the tokenizer keeps them as text.
 KEPT = "\x1c\x1d\x1e\x1f"
 
@@ -189,20 +190,6 @@ class Spaced:
         return [" ".join(every[a:b]) for a, b in zip(ends, ends[1:])]
 
 
-class Raw:
-    """The form of ids as little-endian numbers of `width` bytes."""
-
-    def __init__(self, width: int):
-        self.width, self.join = width, b"".join
-
-    def one(self, token: int) -> bytes:
-        return token.to_bytes(self.width, "little")
-
-    def words(self, ids: np.ndarray, ends: list[int]) -> list[bytes]:
-        raw, w = ids.astype(f"<u{self.width}").tobytes(), self.width
-        return [raw[a * w : b * w] for a, b in zip(ends, ends[1:])]
-
-
 class ChunkCache:
     """Forms of each chunk's ids, kept between batches. Beyond CACHE chunks only those that had come up before stay."""
 
@@ -250,6 +237,80 @@ class ChunkCache:
                 d.update((c, join([word[w] for w in p])) for c, p in mixed)
 
 
+class ChunkIds:
+    """Ids of texts by the distinct chunks between their white space. Chunks seen before keep their ids, in one array;
+    beyond CACHE of them the array begins anew. Texts are cut and numbered outside Python, chunk by chunk only where a
+    chunk is new."""
+
+    def __init__(self, bpe: WordBPE):
+        self.bpe = bpe
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def rows(self, chunks: list[str]) -> np.ndarray:
+        """The row of each distinct chunk; new ones are encoded together."""
+        if len(self.row) > CACHE:
+            self.forget()
+        new = [c for c in chunks if c not in self.row]
+        if new:
+            gc.disable()  # what is made here has no cycles
+            try:
+                self._learn(new)
+            finally:
+                gc.enable()
+        return np.fromiter(map(self.row.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+
+    def _learn(self, new: list[str]) -> None:
+        pieces = [[c] if c.isalpha() else self.bpe.pieces(c) for c in new]
+        distinct = {w: k for k, w in enumerate(dict.fromkeys(w for p in pieces for w in p if w not in self.bpe.special))}
+        ids, cut = self.bpe.encode_words([w.encode() for w in distinct])
+        # Special tokens are words of one id behind the others.
+        special = {t: len(distinct) + k for k, t in enumerate(self.bpe.special)}
+        ids = np.concatenate((ids, np.fromiter(self.bpe.special.values(), dtype=np.int32, count=len(special))))
+        cut = np.concatenate((cut, cut[-1] + 1 + np.arange(len(special))))
+        word = np.fromiter((special[w] if w in special else distinct[w] for p in pieces for w in p), dtype=np.int64)
+        count = np.array([len(p) for p in pieces])
+        size = np.diff(cut)[word]
+        gathered = ids[spread(cut[word], size)]
+        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
+        self.row.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
+        self.begin = np.concatenate((self.begin, len(self.ids) + ends[:-1]))
+        self.size = np.concatenate((self.size, np.diff(ends)))
+        self.ids = np.concatenate((self.ids, gathered))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and the offset at which each text's begin, with the end."""
+        # Chunks with special tokens keep their case and are few, so Python cuts their texts.
+        odd = [i for i, t in enumerate(texts) if "<|" in t and self.bpe.special_re.search(t)]
+        plain = [self.bpe.normal(t) for t in texts]
+        for i in odd:
+            plain[i] = ""
+        cut = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        number = cut.values.dictionary_encode()
+        rows = self.rows(number.dictionary.to_pylist())[number.indices.to_numpy()] if len(number) else np.zeros(0, dtype=np.int64)
+        size = self.size[rows]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        offsets = ends[cut.offsets.to_numpy()]
+        ids = self.ids[spread(self.begin[rows], size)]
+        if not odd:
+            return ids, offsets
+        parts = np.split(ids, offsets[1:-1])
+        for i in odd:
+            own = self.rows(chunks := list(dict.fromkeys(self.bpe.chunks(texts[i]))))
+            place = dict(zip(chunks, own.tolist(), strict=True))
+            parts[i] = np.concatenate([self.ids[self.begin[k] : self.begin[k] + self.size[k]] for k in map(place.__getitem__, self.bpe.chunks(texts[i]))])
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] places, then begin[1], ... and so on."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(int(size.sum()))
+
+
 _LOADED: dict = {}
 
 
@@ -266,7 +327,7 @@ def forget() -> None:
         cache.forget()
 
 
-def slices(texts: list[str], most: int = 2_000_000):
+def slices(texts: list[str], most: int = 4_000_000):
     """Runs of texts of at most `most` characters in all, one text at least."""
     lo, size = 0, 0
     for i, t in enumerate(texts):
@@ -295,17 +356,15 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
     """
 
     def run(batches):
-        cache = loaded(path, "both", lambda b: ChunkCache(b, [Raw(4), spaced_tokens(b)]))
+        cache = loaded(path, "ids", ChunkIds)
+        token = cache.bpe.token
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices(texts):
-                cache.learn(texts[lo:hi])
-                raw, shown = cache.kept
-                lists = [np.frombuffer(b"".join(map(raw.__getitem__, cache.bpe.chunks(t))), dtype="<i4") for t in texts[lo:hi]]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
-                values = pa.array(np.concatenate(lists), pa.int32())
-                decoded = [" ".join(filter(None, map(shown.__getitem__, cache.bpe.chunks(t)))) for t in texts[lo:hi]]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, values), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                ids, offsets = cache.encode(texts[lo:hi])
+                decoded = [" ".join([token[i] for i in part]) for part in map(np.ndarray.tolist, np.split(ids, offsets[1:-1]))]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run, forget), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkCache, Raw, forget, loaded, slices
+from .bpe import ChunkIds, forget, loaded, slices
 from .common import materialize, tidy
 
 #: Buckets of the hashed document vector, dimensions it is projected to, bits of the curve in each dimension.
@@ -66,19 +66,26 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_i
     """doc_id, curve long, tokens long, wide, ids binary (little-endian; 32-bit if wide, else 16-bit), one row per row."""
 
     def run(batches):
-        cache = loaded(path, "raw", lambda b: ChunkCache(b, [Raw(2 if len(b.token) <= 1 << 16 else 4)]))
-        wide = len(cache.bpe.token) > 1 << 16
+        cache = loaded(path, "ids", ChunkIds)
+        n = len(cache.bpe.token)
+        wide = n > 1 << 16
         kind = "<u4" if wide else "<u2"
-        bucket = (np.arange(len(cache.bpe.token), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
-        end, into = end_id.to_bytes(4 if wide else 2, "little"), projection()
+        bucket = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
+        into = projection()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for lo, hi in slices(texts):
-                cache.learn(texts[lo:hi])
-                raw = cache.kept[0]
-                ids = [b"".join(map(raw.__getitem__, cache.bpe.chunks(t))) + end for t in texts[lo:hi]]
-                counts = np.stack([np.bincount(bucket[np.frombuffer(x, dtype=kind)], minlength=BUCKETS) for x in ids])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(curve_position(counts, into), pa.int64()), pa.array([len(x) // (4 if wide else 2) for x in ids], pa.int64()), pa.array([wide] * len(ids)), pa.array(ids, pa.binary())], ["doc_id", "curve", "tokens", "wide", "ids"])
+                ids, offsets = cache.encode(texts[lo:hi])
+                ids = np.insert(ids, offsets[1:], end_id)
+                offsets = offsets + np.arange(len(offsets))
+                size = np.diff(offsets)
+                counts = np.bincount(np.repeat(np.arange(len(size)) * BUCKETS, size) + bucket[ids], minlength=len(size) * BUCKETS).reshape(-1, BUCKETS)
+                raw = pa.py_buffer(ids.astype(kind).tobytes())
+                at = pa.py_buffer((offsets * (4 if wide else 2)).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(curve_position(counts, into), pa.int64()), pa.array(size, pa.int64()), pa.array([wide] * len(size)), pa.Array.from_buffers(pa.binary(), len(size), [None, at, raw])],
+                    ["doc_id", "curve", "tokens", "wide", "ids"],
+                )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run, forget), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, curve long, tokens long, wide boolean, ids binary")
