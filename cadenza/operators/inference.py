@@ -36,11 +36,13 @@ def feature_pairs(df: DataFrame, key: str, features: list[str], least: int = 10)
 
 
 def correlation_matrix(pairs: DataFrame, features: list[str]) -> DataFrame:
-    """Both triangles and the diagonal of pair rows, one row a feature."""
+    """Both triangles and the diagonal of pair rows: row_feature and a column for each feature."""
+    if "row_feature" in features:
+        raise ValueError("a feature is called row_feature")
     spark = pairs.sparkSession
     both = pairs.select("feature_a", "feature_b", "rho").union(pairs.select("feature_b", "feature_a", "rho"))
     eye = spark.createDataFrame([(f, f, 1.0) for f in features], "feature_a string, feature_b string, rho double")
-    return both.union(eye).groupBy(F.col("feature_a").alias("feature")).pivot("feature_b", features).agg(F.first("rho"))
+    return both.union(eye).groupBy(F.col("feature_a").alias("row_feature")).pivot("feature_b", features).agg(F.first("rho"))
 
 
 def perceptual_links(df: DataFrame, labels: DataFrame, key: str, features: list[str], least: int = 5) -> DataFrame:

@@ -6,6 +6,9 @@ All operators are windows or equi-joins on the key; no interval set is gathered
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,15 +162,25 @@ def touched_frames(df: DataFrame, keys: list[str], length: int, frames: Column |
 
 def refractory_best(df: DataFrame, keys: list[str], distance: float, at: str = "t", score: str = "score") -> DataFrame:
     """Points merged in time order: one within `distance` of the last kept competes with it and the better score stays,
-    which moves the place that the next is measured from. A fold over each key's sorted points."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, score))).alias("__p"))
-    kind = "array<struct<%s:%s,%s:%s>>" % (at, df.schema[at].dataType.simpleString(), score, df.schema[score].dataType.simpleString())
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (x[at] - F.get(acc, F.size(acc) - 1)[at] <= distance)
-        swap = F.when(x[score] > last[score], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)
-        return F.when(near, swap).otherwise(F.concat(acc, F.array(x)))
-
-    kept = F.aggregate("__p", F.array().cast(kind), step)
-    return rows.select(*keys, F.explode(kept).alias("__k")).select(*keys, f"__k.{at}", f"__k.{score}")
+    which moves the place that the next is measured from. One pass over each key's points as Spark sorts them; a task
+    holds one point."""
+    rows = df.select(*keys, at, score).repartition(*keys).sortWithinPartitions(*keys, at, score)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = None, None
+        for batch in batches:
+            out, schema = [], batch.schema
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held is not None and held[:-2] == row[:-2] and row[-2] - held[-2] <= distance:
+                    if row[-1] > held[-1]:
+                        held = row
+                    continue
+                if held is not None:
+                    out.append(held)
+                held = row
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema.names)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(held, schema, strict=True)], schema.names)
+
+    return rows.mapInArrow(run, rows.schema)

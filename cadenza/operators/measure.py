@@ -45,39 +45,73 @@ def with_intervals(recordings: DataFrame, intervals: DataFrame) -> DataFrame:
     return recordings.join(per, "rec")
 
 
+#: Rows that a kernel's output gathers before it goes on.
+GATHERED = 50_000
+
+
 def _rows_of(kernel, names: list[str], types: list[pa.DataType]):
-    """A mapInArrow function that calls kernel(fs, samples, spans) for each row (rec, fs, samples, spans)."""
+    """A mapInArrow function that calls kernel(fs, samples, spans) for each row (rec, fs, samples, spans). A kernel gives
+    one array for each name, all of one length, or None; NaN and infinities become NULL."""
+
+    def packed(batch, held):
+        recs = batch.column(0).take(pa.array(np.repeat([i for i, _ in held], [len(c[0]) for _, c in held])))
+        out = []
+        for k, t in enumerate(types):
+            if pa.types.is_list(t):
+                out.append(pa.array([v for _, c in held for v in c[k]], t))
+            else:
+                v = np.concatenate([np.asarray(c[k]) for _, c in held])
+                out.append(pa.array(v, t, mask=~np.isfinite(v)) if pa.types.is_floating(t) else pa.array(v, t))
+        return pa.RecordBatch.from_arrays([recs, *out], ["rec", *names])
 
     def run(batches):
         for batch in batches:
-            recs, cols = [], [[] for _ in names]
-            for rec, fs, samples, spans in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                x = np.array([np.nan if v is None else v for v in samples or ()], dtype=np.float64)
-                for row in kernel(float(fs), x, spans or ()):
-                    recs.append(rec)
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(None if isinstance(v, float) and not np.isfinite(v) else v)
-            yield pa.RecordBatch.from_arrays([pa.array(recs, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["rec", *names])
+            samples = batch.column(2)
+            flat, cut = samples.values.to_numpy(zero_copy_only=False), samples.offsets.to_numpy()
+            held, n = [], 0
+            for i, (fs, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                x = flat[cut[i] : cut[i + 1]].astype(np.float64)
+                found = kernel(float(fs), x, spans or ())
+                if found is None or not len(found[0]):
+                    continue
+                held.append((i, found))
+                n += len(found[0])
+                if n > GATHERED:
+                    yield packed(batch, held)
+                    held, n = [], 0
+            if held:
+                yield packed(batch, held)
 
     return run
 
 
+def frames_within(fs: float, x: np.ndarray, spans, frame_ms: float, hop_ms: float):
+    """For each span that holds a whole frame: its idx, the first sample of each of its frames, the frames as rows.
+    Sample bounds round half to even."""
+    size, hop = round(frame_ms * fs / 1000), max(1, round(hop_ms * fs / 1000))
+    for s in spans:
+        lo, hi = max(0, round(s["start"] * fs)), min(len(x), round(s["end"] * fs))
+        if size >= 1 and hi - lo >= size:
+            yield s["idx"], np.arange(lo, hi - size + 1, hop), np.lib.stride_tricks.sliding_window_view(x[lo:hi], size)[::hop]
+
+
+def joined(parts: list[tuple]) -> tuple | None:
+    """Columns of several parts one below another."""
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else None
+
+
 def frame_ledger(recordings: DataFrame, intervals: DataFrame, p: Frames = Frames()) -> DataFrame:
     """rec, idx, frame, start, mid, rms, level, at_floor: frames that lie wholly within one interval, their mean
-    removed; frames of no more than the floor's amplitude are at the floor. Sample bounds round half to even."""
+    removed; frames of no more than the floor's amplitude are at the floor."""
 
     def kernel(fs, x, spans):
-        size, hop, floor = round(p.frame_ms * fs / 1000), round(p.hop_ms * fs / 1000), 10 ** (p.floor_db / 20)
-        for s in spans:
-            lo, hi = max(0, round(s["start"] * fs)), min(len(x), round(s["end"] * fs))
-            if size < 1 or hi - lo < size:
-                continue
-            cut = np.lib.stride_tricks.sliding_window_view(x[lo:hi], size)[::hop]
+        floor, parts = 10 ** (p.floor_db / 20), []
+        for idx, left, cut in frames_within(fs, x, spans, p.frame_ms, p.hop_ms):
             rms = np.sqrt(((cut - cut.mean(1, keepdims=True)) ** 2).mean(1))
-            for k, r in enumerate(rms.tolist()):
-                left = lo + k * hop
-                low = bool(r <= floor)
-                yield s["idx"], k, left / fs, (2 * left + size) / (2 * fs), r, float("nan") if np.isnan(r) else p.floor_db if low else float(20 * np.log10(r)), low
+            low = rms <= floor
+            level = np.where(low, p.floor_db, 20 * np.log10(np.where(low, 1.0, rms)))
+            parts.append((np.full(len(left), idx), np.arange(len(left)), left / fs, (2 * left + cut.shape[1]) / (2 * fs), rms, level, low))
+        return joined(parts)
 
     kind = recordings.schema["rec"].dataType.simpleString()
     rows = with_intervals(recordings, intervals).select("rec", "fs", "samples", "spans")
@@ -144,50 +178,53 @@ def drift_permutation(segments: DataFrame, iterations: int) -> DataFrame:
 
 
 def power_spectrum(x: np.ndarray, fs: float, n_fft: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """One-sided power density of the mean-removed, Hann-windowed samples."""
-    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(len(x)) / len(x))
-    n = n_fft or len(x)
-    power = np.abs(np.fft.rfft((x - x.mean()) * w, n)) ** 2 / (fs * (w**2).sum())
-    power[1 : len(power) - (1 if n % 2 == 0 else 0)] *= 2
+    """One-sided power density of mean-removed, Hann-windowed samples; rows of samples give rows of powers."""
+    size = x.shape[-1]
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    n = n_fft or size
+    power = np.abs(np.fft.rfft((x - x.mean(-1, keepdims=True)) * w, n)) ** 2 / (fs * (w**2).sum())
+    power[..., 1 : power.shape[-1] - (1 if n % 2 == 0 else 0)] *= 2
     return np.fft.rfftfreq(n, 1 / fs), power
 
 
-def flatness(freq: np.ndarray, power: np.ndarray, low: float = 80.0, high: float = 7000.0) -> float:
-    """Geometric over arithmetic mean of the band."""
-    band = power[(freq >= low) & (freq <= high)]
-    if not len(band) or band.max() <= 0:
-        return float("nan")
-    tiny = max(np.finfo(float).tiny, band.mean() * 1e-12)
-    return float(np.exp(np.log(np.maximum(band, tiny)).mean()) / np.maximum(band, tiny).mean())
-
-
-def hum_score(freq: np.ndarray, power: np.ndarray, fundamental: float, harmonics: int = 4, tone: float = 2.0, inner: float = 6.0, outer: float = 14.0, top: float = 1000.0) -> tuple[float, int]:
-    """Median contrast in dB of the harmonics to the median of their sidebands, and how many reach 6 dB."""
-    found = []
-    for k in range(1, harmonics + 1):
-        away = np.abs(freq - k * fundamental)
-        near, side = power[away <= tone], power[(away >= inner) & (away <= outer)]
-        if k * fundamental <= top and len(near) and len(side):
-            ground = float(np.median(side))
-            tiny = max(np.finfo(float).tiny, ground * 1e-12)
-            found.append(10 * np.log10((near.mean() + tiny) / (ground + tiny)))
-    return (float(np.median(found)), int(np.sum(np.array(found) >= 6.0))) if found else (float("nan"), 0)
+def flatness(freq: np.ndarray, power: np.ndarray, low: float = 80.0, high: float = 7000.0) -> np.ndarray:
+    """Geometric over arithmetic mean of the band, of each row; NaN below three bins or without power."""
+    band = power[..., (freq >= low) & (freq <= high)]
+    if band.shape[-1] < 3:
+        return np.full(power.shape[:-1], np.nan)
+    most = band.max(-1, keepdims=True)
+    band = band + np.maximum(most * 1e-15, np.finfo(float).tiny)
+    return np.where(most[..., 0] > 0, np.exp(np.log(band).mean(-1)) / band.mean(-1), np.nan)
+
+
+def hum_score(freq: np.ndarray, power: np.ndarray, fundamental: float, harmonics: int = 4, tone: float = 2.0, inner: float = 6.0, outer: float = 14.0, top: float = 1000.0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: the median over harmonics of their level above the median of the band beside them, in dB, and how many
+    harmonics rise 6 dB above it. Harmonics beyond `top`, or that no bin is near to, do not count."""
+    places = fundamental * np.arange(1, harmonics + 1)
+    distance = np.abs(freq[None, :] - places[places <= top][:, None])
+    near, beside = distance <= tone, (distance >= inner) & (distance <= outer)
+    usable = np.flatnonzero(near.any(1) & beside.any(1))
+    if not len(usable):
+        return np.full(power.shape[:-1], np.nan), np.zeros(power.shape[:-1], dtype=int)
+    ground = np.stack([np.median(power[..., beside[h]], axis=-1) for h in usable], axis=-1)
+    level = np.stack([power[..., near[h]].mean(-1) for h in usable], axis=-1)
+    eps = np.maximum(ground * 1e-12, np.finfo(float).tiny)
+    rise = 10 * (np.log10(level + eps) - np.log10(ground + eps))
+    return np.median(rise, axis=-1), (rise >= 6.0).sum(-1)
 
 
 def spectral_windows(recordings: DataFrame, intervals: DataFrame, window_ms: float, hop_ms: float, low: float = 80.0, high: float = 7000.0) -> DataFrame:
-    """rec, idx, window, start, flatness, hum50, hum60, supported50, supported60 of windows within intervals."""
+    """rec, idx, window, start, flatness, hum50, hum60, supported50, supported60 of windows within intervals; windows with
+    a sample that is no number are left out."""
 
     def kernel(fs, x, spans):
-        size, hop = round(window_ms * fs / 1000), max(1, round(hop_ms * fs / 1000))
-        for s in spans:
-            lo, hi = max(0, round(s["start"] * fs)), min(len(x), round(s["end"] * fs))
-            for k, left in enumerate(range(lo, hi - size + 1, hop)):
-                cut = x[left : left + size]
-                if not np.isfinite(cut).all():
-                    continue
-                f, p = power_spectrum(cut, fs)
-                (a, na), (b, nb) = hum_score(f, p, 50.0), hum_score(f, p, 60.0)
-                yield s["idx"], k, left / fs, flatness(f, p, low, high), a, b, na, nb
+        parts = []
+        for idx, left, cut in frames_within(fs, x, spans, window_ms, hop_ms):
+            whole = np.flatnonzero(np.isfinite(cut).all(1))
+            f, power = power_spectrum(cut[whole], fs)
+            (a, na), (b, nb) = hum_score(f, power, 50.0), hum_score(f, power, 60.0)
+            parts.append((np.full(len(whole), idx), whole, left[whole] / fs, flatness(f, power, low, high), a, b, na, nb))
+        return joined(parts)
 
     kind = recordings.schema["rec"].dataType.simpleString()
     types = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.int64()]
@@ -195,6 +232,42 @@ def spectral_windows(recordings: DataFrame, intervals: DataFrame, window_ms: flo
     return with_intervals(recordings, intervals).select("rec", "fs", "samples", "spans").mapInArrow(_rows_of(kernel, names, types), f"rec {kind}, idx long, window long, start double, flatness double, hum50 double, hum60 double, supported50 long, supported60 long")
 
 
+def window_shapes(recordings: DataFrame, intervals: DataFrame, window_ms: float, hop_ms: float, most_lag_ms: float, shortest: float = 500.0) -> DataFrame:
+    """rec, idx, window, start, entropy, similarity, lag of windows within intervals: entropy of the spectrum's shares over
+    its largest possible value; the largest cosine of the window and itself moved by up to most_lag_ms, and that lag in
+    seconds. Lags begin at one period of `shortest` hertz; NULL below 16 samples or without spread."""
+
+    def kernel(fs, x, spans):
+        parts = []
+        for idx, left, cut in frames_within(fs, x, spans, window_ms, hop_ms):
+            whole = np.flatnonzero(np.isfinite(cut).all(1))
+            c = cut[whole] - cut[whole].mean(1, keepdims=True)
+            n = c.shape[1]
+            power = np.abs(np.fft.rfft(c * np.hanning(n))) ** 2
+            total = power.sum(1, keepdims=True)
+            share = np.divide(power, total, out=np.zeros_like(power), where=total > 0)
+            entropy = -(share * np.log(share + 1e-20)).sum(1) / np.log(power.shape[1])
+            lags = np.arange(max(1, round(fs / shortest)), min(n // 2, round(most_lag_ms * fs / 1000)) + 1)
+            best, at = np.full(len(c), np.nan), np.full(len(c), np.nan)
+            if n >= 16 and len(lags):
+                cosines = np.stack([_cosines(c[:, k:], c[:, :-k]) for k in lags], axis=1)
+                some = np.flatnonzero(np.isfinite(cosines).any(1) & (c != 0).any(1))
+                first = np.nanargmax(cosines[some], axis=1)
+                best[some], at[some] = cosines[some, first], lags[first] / fs
+            parts.append((np.full(len(whole), idx), whole, left[whole] / fs, entropy if n >= 8 else np.full(len(c), np.nan), best, at))
+        return joined(parts)
+
+    kind = recordings.schema["rec"].dataType.simpleString()
+    names = ["idx", "window", "start", "entropy", "similarity", "lag"]
+    return with_intervals(recordings, intervals).select("rec", "fs", "samples", "spans").mapInArrow(_rows_of(kernel, names, [pa.int64(), pa.int64(), *[pa.float64()] * 4]), f"rec {kind}, idx long, window long, start double, entropy double, similarity double, lag double")
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each pair of rows, NaN where one has no length."""
+    size = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    return np.divide((a * b).sum(1), size, out=np.full(len(a), np.nan), where=size > 0)
+
+
 def additive_features(pauses: DataFrame, speech: DataFrame, spectral: DataFrame, least_frames: int = 20, least_windows: int = 3, floor_fraction: float = 0.02) -> DataFrame:
     """Per recording from frame ledgers of pauses and speech and a spectral ledger of pauses: pause level and IQR,
     speech-to-pause contrast, flatness, the stronger hum; each with its status."""
@@ -282,81 +355,171 @@ class Band:
     floor_db: float = -80.0
 
 
-def band_power(freq: np.ndarray, power: np.ndarray, low: float, high: float) -> float:
-    m = (freq >= low) & (freq <= high)
-    return float(np.trapezoid(power[m], freq[m])) if m.sum() > 1 else float("nan")
+def trapezoid_weights(freq: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Weights whose product with a density on freq is its integral over the bins of [low, high]; NaN below two bins."""
+    m = np.flatnonzero((freq >= low) & (freq <= high))
+    w = np.zeros(len(freq))
+    if len(m) < 2:
+        return np.full(len(freq), np.nan)
+    half = np.diff(freq[m]) / 2
+    w[m[:-1]] += half
+    w[m[1:]] += half
+    return w
 
 
 def third_octaves(freq: np.ndarray, power: np.ndarray, b: Band = Band()) -> tuple[np.ndarray, np.ndarray]:
     """Centres and mean density in dB of third-octave bands, no lower than the floor below the band's peak."""
-    centres = b.low * 2.0 ** (np.arange(int(np.floor(3 * np.log2(b.high / b.low) + 1e-9)) + 1) / 3)
+    count = int(np.floor(3 * np.log2(b.high / b.low) + 1e-9)) + 1
+    centres = b.low * np.exp2(np.arange(count) / 3)
+    bands = np.stack([trapezoid_weights(freq, max(b.low, c * 2 ** (-1 / 6)), min(b.high, c * 2 ** (1 / 6))) for c in centres])
+    density = (bands @ power) / bands.sum(1)
     floor = power[(freq >= b.low) & (freq <= b.high)].max() * 10 ** (b.floor_db / 10)
-    out = []
-    for c in centres:
-        m = (freq >= max(b.low, c / 2 ** (1 / 6))) & (freq <= min(b.high, c * 2 ** (1 / 6)))
-        out.append(10 * np.log10(max(np.trapezoid(power[m], freq[m]) / np.ptp(freq[m]), floor)) if m.sum() > 1 else np.nan)
-    return centres, np.array(out)
+    return centres, 10 * np.log10(np.where(np.isnan(density), np.nan, np.maximum(density, floor)))
 
 
 def describe_spectrum(freq: np.ndarray, power: np.ndarray, b: Band = Band()) -> tuple[float, float, float]:
-    """95 % roll-off in Hz, share of the high band, tilt in dB an octave (median of pairwise slopes)."""
-    m = (freq >= b.low) & (freq <= b.high)
-    f, p = freq[m], power[m]
-    steps = (p[1:] + p[:-1]) / 2 * np.diff(f)
-    total = np.concatenate(([0.0], np.cumsum(steps)))
-    if len(f) < 2 or total[-1] <= np.finfo(float).tiny:
-        return (float("nan"),) * 3
+    """95 % roll-off in Hz, share of the high band, tilt in dB an octave (median of pairwise slopes of six bands or more)."""
+    none = (float("nan"),) * 3
+    whole, upper = trapezoid_weights(freq, b.low, b.high) @ power, trapezoid_weights(freq, b.high_from, b.high) @ power
+    if not whole > np.finfo(float).tiny:
+        return none
+    f = freq[(freq >= b.low) & (freq <= b.high)]
+    reached = np.array([trapezoid_weights(freq, b.low, x) @ power if k else 0.0 for k, x in enumerate(f)])
+    k = int(np.searchsorted(reached, 0.95 * whole))
+    rolloff = f[k - 1] + (f[k] - f[k - 1]) * (0.95 * whole - reached[k - 1]) / (reached[k] - reached[k - 1])
     centres, levels = third_octaves(freq, power, b)
     use = (centres <= b.tilt_to) & np.isfinite(levels)
-    x, y = np.log2(centres[use]), levels[use]
-    i, j = np.triu_indices(len(x), 1)
-    tilt = float(np.median((y[j] - y[i]) / (x[j] - x[i]))) if use.sum() >= 6 else float("nan")
-    return float(np.interp(0.95 * total[-1], total, f)), band_power(freq, power, b.high_from, b.high) / total[-1], tilt
+    rise, run = np.subtract.outer(levels[use], levels[use]), np.subtract.outer(np.log2(centres[use]), np.log2(centres[use]))
+    tilt = float(np.median(rise[run > 0] / run[run > 0])) if use.sum() >= 6 else float("nan")
+    return float(rolloff), float(upper / whole), tilt
 
 
 def channel_spectra(recordings: DataFrame, intervals: DataFrame, p: Frames = Frames(), b: Band = Band()) -> DataFrame:
-    """rec, frames, freq, psd (unit area in the band), rolloff, highband, tilt over all frames within intervals."""
+    """rec, frames, freq, psd (unit area in the band), rolloff, highband, tilt over all frames within intervals; those with a
+    sample that is no number are left out. Without power psd and what follows from it are NULL."""
 
     def kernel(fs, x, spans):
-        size, hop, total, n = round(p.frame_ms * fs / 1000), round(p.hop_ms * fs / 1000), None, 0
-        freq = None
-        for s in spans:
-            lo, hi = max(0, round(s["start"] * fs)), min(len(x), round(s["end"] * fs))
-            for left in range(lo, hi - size + 1, hop):
-                freq, power = power_spectrum(x[left : left + size], fs, max(b.n_fft, size))
-                if np.isfinite(power).all():
-                    total, n = power if total is None else total + power, n + 1
-        if n:
-            area = band_power(freq, total, b.low, b.high)
-            psd = total / area if area and np.isfinite(area) and area > 0 else None
-            d = describe_spectrum(freq, psd, b) if psd is not None else (float("nan"),) * 3
-            yield n, freq.tolist(), psd.tolist() if psd is not None else None, *d
+        total, n, freq = 0.0, 0, None
+        for _, _, cut in frames_within(fs, x, spans, p.frame_ms, p.hop_ms):
+            cut = cut[np.isfinite(cut).all(1)]
+            for lo in range(0, len(cut), 2000):
+                freq, power = power_spectrum(cut[lo : lo + 2000], fs, max(b.n_fft, cut.shape[1]))
+                total, n = total + power.sum(0), n + len(power)
+        if not n:
+            return None
+        area = trapezoid_weights(freq, b.low, b.high) @ total
+        psd = total / area if area > 0 else None
+        described = describe_spectrum(freq, psd, b) if psd is not None else (float("nan"),) * 3
+        return [n], [freq.tolist()], [None if psd is None else psd.tolist()], *([v] for v in described)
 
     kind = recordings.schema["rec"].dataType.simpleString()
     types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
     return with_intervals(recordings, intervals).select("rec", "fs", "samples", "spans").mapInArrow(_rows_of(kernel, ["frames", "freq", "psd", "rolloff", "highband", "tilt"], types), f"rec {kind}, frames long, freq array<double>, psd array<double>, rolloff double, highband double, tilt double")
 
 
-# Distortion and discontinuities, from samples as rows
+# Distortion and discontinuities
 
 
-def sample_rows(recordings: DataFrame) -> DataFrame:
-    """rec, i, x: one row for each sample, i from 0."""
-    return recordings.select("rec", F.posexplode("samples").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+def sample_runs(joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run; joins tells of each place whether it belongs to the run of the one before."""
+    first = np.flatnonzero(~joins)
+    return first, np.append(first[1:], len(joins)) - 1
+
+
+def without_intervals(recordings: DataFrame) -> DataFrame:
+    return recordings.select("rec", "fs", "samples", F.expr("CAST(NULL AS array<struct<idx: int, start: double, end: double>>)").alias("spans"))
 
 
 def plateaus(recordings: DataFrame, tolerance: float = 1e-4, near: float = 0.98, least: int = 3) -> DataFrame:
     """Candidate clipping: runs of at least `least` samples of one sign, each within tolerance of the one before and at
-    least `near` of the recording's peak: rec, first, last, length, level."""
-    s = sample_rows(recordings)
-    peak = s.groupBy("rec").agg(F.max(F.abs("x")).alias("__peak"))
-    w = Window.partitionBy("rec").orderBy("i")
-    rows = s.join(peak, "rec").withColumn("__high", (F.abs("x") >= near * F.col("__peak")) & (F.col("__peak") > 0))
-    joined = F.col("__high") & F.lag("__high").over(w) & (F.abs(F.col("x") - F.lag("x").over(w)) <= tolerance * F.col("__peak"))
-    rows = rows.withColumn("__new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__high")
-    out = rows.groupBy("rec", "__run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("length"), F.percentile("x", 0.5).alias("level"))
-    return out.where(F.col("length") >= least).drop("__run")
+    least `near` of the recording's peak: rec, first, last, length, level (the median)."""
+
+    def kernel(fs, x, spans):
+        peak = np.nanmax(np.abs(x), initial=0.0) if len(x) else 0.0
+        if not peak > 0:
+            return None
+        high = np.abs(x) >= near * peak
+        joins = np.zeros(len(x), dtype=bool)
+        joins[1:] = high[1:] & high[:-1] & (np.abs(np.diff(x)) <= tolerance * peak)
+        first, last = sample_runs(joins)
+        use = high[first] & (last - first + 1 >= least)
+        first, last = first[use], last[use]
+        return first, last, last - first + 1, np.array([np.median(x[a : b + 1]) for a, b in zip(first, last, strict=True)])
+
+    kind = recordings.schema["rec"].dataType.simpleString()
+    rows = without_intervals(recordings).mapInArrow(_rows_of(kernel, ["first", "last", "length", "level"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()]), f"rec {kind}, first long, last long, length long, level double")
+    return rows.select("rec", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "length", "level")
+
+
+def channel_tolerances(recordings: DataFrame, step: Column, flat: float = 1e-6, relative: float = 1e-5, flat_steps: float = 0.5, cluster_steps: float = 2.0, cluster_share: float = 2e-3) -> DataFrame:
+    """rec, robust_peak (99.9 % quantile of absolute samples), flat_tolerance, cluster_tolerance. step: width of an integer
+    code, NULL where samples are floating; then tolerances follow the peak."""
+
+    def kernel(fs, x, spans):
+        x = np.abs(x[np.isfinite(x)])
+        return ([float(np.quantile(x, 0.999)) if len(x) else np.nan],)
+
+    kind = recordings.schema["rec"].dataType.simpleString()
+    peaks = without_intervals(recordings).mapInArrow(_rows_of(kernel, ["robust_peak"], [pa.float64()]), f"rec {kind}, robust_peak double")
+    out = recordings.select("rec", step.cast("double").alias("__step")).join(peaks, "rec")
+    known = F.col("__step") > 0
+    flat_tolerance = F.when(known, F.greatest(F.lit(flat), F.col("__step") * flat_steps)).otherwise(F.greatest(F.lit(flat), F.col("robust_peak") * relative))
+    out = out.withColumn("flat_tolerance", flat_tolerance)
+    cluster = F.greatest("flat_tolerance", F.when(known, F.col("__step") * cluster_steps).otherwise(F.col("robust_peak") * cluster_share))
+    return out.withColumn("cluster_tolerance", cluster).drop("__step")
+
+
+def edge_evidence(recordings: DataFrame, found: DataFrame, context: int, gap: int, zone: float, beyond_share: float = 0.001) -> DataFrame:
+    """Per recording and sign of its plateaus (rec, first, last, length, level): what lies around their common level, in
+    windows around them. Plateaus `gap` samples apart or less make one window from the first to the last of them, others
+    one of `context` samples on both sides. rec, sign, edge (mean level, weighted by length), edge_samples within `zone`
+    of it, interior_samples in the shell from two to four zones below, beyond_samples above it, ratio, excess, allowed."""
+    spans = F.array_sort(F.collect_list(F.struct(F.col("first").cast("long").alias("idx"), F.col("last").cast("double").alias("start"), F.col("level").alias("end"))))
+    signed = found.withColumn("sign", F.signum("level").cast("int"))
+    rows = recordings.join(signed.groupBy("rec", "sign").agg(spans.alias("spans")), "rec").select("rec", F.col("sign").cast("double").alias("fs"), "samples", "spans")
+
+    def kernel(sign, x, spans):
+        first, last, level = (np.array([s[k] for s in spans]) for k in ("idx", "start", "end"))
+        last = last.astype(np.int64)
+        apart = np.concatenate(([True], first[1:] - (last[:-1] + 1) > gap))
+        group = np.cumsum(apart) - 1
+        single = np.bincount(group)[group] == 1
+        inside = np.zeros(len(x) + 1, dtype=np.int64)
+        for g in range(group[-1] + 1):
+            on = np.flatnonzero(group == g)
+            pad = context if single[on[0]] else 0
+            inside[max(0, first[on[0]] - pad)] += 1
+            inside[min(len(x), last[on].max() + 1 + pad)] -= 1
+        v = sign * x[np.cumsum(inside[:-1]) > 0]
+        v = v[np.isfinite(v)]
+        edge = sign * float(np.average(level, weights=last - first + 1))
+        at, below, above = (np.abs(v - edge) <= zone).sum(), ((v >= edge - 4 * zone) & (v < edge - 2 * zone)).sum(), (v > edge + zone).sum()
+        allowed = max(1, int(np.ceil(beyond_share * len(v))))
+        return [int(sign)], [sign * edge], [at], [below], [above], [at / max(1, below)], [at - below], [allowed]
+
+    kind = recordings.schema["rec"].dataType.simpleString()
+    names = ["sign", "edge", "edge_samples", "interior_samples", "beyond_samples", "ratio", "excess", "allowed"]
+    types = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    return rows.mapInArrow(_rows_of(kernel, names, types), f"rec {kind}, sign long, edge double, edge_samples long, interior_samples long, beyond_samples long, ratio double, excess long, allowed long")
+
+
+def square_like(recordings: DataFrame, edges: DataFrame, zone: float, share: float, most_levels: int) -> DataFrame:
+    """rec, covered (share of samples within `zone` of an edge), levels (distinct ones, in steps of 1e-5 of the robust
+    peak), square_like: streams that sit on few levels by nature, whose plateaus prove nothing. No edges: not so."""
+    spans = F.array_sort(F.collect_list(F.struct(F.col("sign").cast("long").alias("idx"), F.col("edge").alias("start"), F.col("edge").alias("end"))))
+    rows = recordings.join(edges.groupBy("rec").agg(spans.alias("spans")), "rec", "left").select("rec", "fs", "samples", "spans")
+
+    def kernel(fs, x, spans):
+        x = x[np.isfinite(x)]
+        if not len(x) or not spans:
+            return [0.0], [0]
+        covered = np.any([np.abs(x - s["start"]) <= zone for s in spans], axis=0).mean()
+        step = max(float(np.quantile(np.abs(x), 0.999)), 1e-12) * 1e-5
+        return [covered], [len(np.unique(np.rint(x / max(step, 1e-12)).astype(np.int64)))]
+
+    kind = recordings.schema["rec"].dataType.simpleString()
+    out = rows.mapInArrow(_rows_of(kernel, ["covered", "levels"], [pa.float64(), pa.int64()]), f"rec {kind}, covered double, levels long")
+    return out.withColumn("square_like", (F.col("covered") >= share) & (F.col("levels") <= most_levels))
 
 
 def distortion_features(recordings: DataFrame, found: DataFrame, frame: int) -> DataFrame:
@@ -373,17 +536,28 @@ def distortion_features(recordings: DataFrame, found: DataFrame, frame: int) ->
 def dropouts(recordings: DataFrame, least: int, context: int, active: float, same: float = 0.0) -> DataFrame:
     """Runs of at least `least` samples that do not change (by more than `same`) between contexts that are active: rec,
     first, last, length, before_rms, after_rms, disposition accepted, unbracketed or edge."""
-    s = sample_rows(recordings)
-    w = Window.partitionBy("rec").orderBy("i")
-    rows = s.withColumn("__still", F.abs(F.col("x") - F.lag("x").over(w)) <= same)
-    rows = rows.withColumn("__run", F.sum(F.when(F.coalesce("__still", F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    found = rows.groupBy("rec", "__run").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("length")).where(F.col("length") >= least).drop("__run")
-    around = rows.select("rec", "i", F.avg(F.col("x") * F.col("x")).over(w.rowsBetween(-context, -1)).alias("__b"), F.count(F.lit(1)).over(w.rowsBetween(-context, -1)).alias("__nb"), F.avg(F.col("x") * F.col("x")).over(w.rowsBetween(1, context)).alias("__a"), F.count(F.lit(1)).over(w.rowsBetween(1, context)).alias("__na"))
-    left = around.select("rec", F.col("i").alias("first"), F.sqrt("__b").alias("before_rms"), "__nb")
-    right = around.select("rec", F.col("i").alias("last"), F.sqrt("__a").alias("after_rms"), "__na")
-    out = found.join(left, ["rec", "first"]).join(right, ["rec", "last"])
-    status = F.when((F.col("__nb") < context) | (F.col("__na") < context), "edge").when((F.col("before_rms") >= active) & (F.col("after_rms") >= active), "accepted").otherwise("unbracketed")
-    return out.select("rec", "first", "last", "length", "before_rms", "after_rms", status.alias("disposition"))
+
+    def kernel(fs, x, spans):
+        if not len(x):
+            return None
+        joins = np.zeros(len(x), dtype=bool)
+        joins[1:] = np.abs(np.diff(x)) <= same
+        first, last = sample_runs(joins)
+        use = last - first + 1 >= least
+        first, last = first[use], last[use]
+        squares = np.concatenate(([0.0], np.cumsum(x * x)))
+        lo, hi = np.maximum(first - context, 0), np.minimum(last + 1 + context, len(x))
+
+        def rms(a, b):
+            return np.sqrt(np.divide(np.maximum(squares[b] - squares[a], 0), b - a, out=np.full(len(a), np.nan), where=b > a))
+
+        return first, last, last - first + 1, rms(lo, first), rms(last + 1, hi), (first - lo < context) | (hi - last - 1 < context)
+
+    kind = recordings.schema["rec"].dataType.simpleString()
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+    rows = without_intervals(recordings).mapInArrow(_rows_of(kernel, ["first", "last", "length", "before_rms", "after_rms", "edge"], types), f"rec {kind}, first long, last long, length long, before_rms double, after_rms double, edge boolean")
+    status = F.when(F.col("edge"), "edge").when((F.col("before_rms") >= active) & (F.col("after_rms") >= active), "accepted").otherwise("unbracketed")
+    return rows.select("rec", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "length", "before_rms", "after_rms", status.alias("disposition"))
 
 
 def repeated_windows(recordings: DataFrame, size: int, hop: int, least_spread: float = 1e-6) -> DataFrame:
@@ -397,40 +571,62 @@ def repeated_windows(recordings: DataFrame, size: int, hop: int, least_spread: f
     return rows.withColumn("earlier", F.lag("start").over(w)).where("earlier IS NOT NULL").select("rec", "start", "earlier")
 
 
-def lpc(x: np.ndarray, order: int = 8, damp: float = 1e-6) -> np.ndarray:
-    """Coefficients a of x[t] ~ sum a[k] x[t - 1 - k] by the Yule-Walker equations, slightly damped."""
+def lpc(x: np.ndarray, order: int = 8, damp: float = 1e-6) -> np.ndarray | None:
+    """Coefficients a of x[t] ~ sum a[k] x[t - 1 - k] by the Yule-Walker equations, slightly damped; None where a fit means
+    little: few samples, no energy, or coefficients whose absolute sum exceeds 8."""
     c = x - x.mean()
-    r = np.array([c[: len(c) - k] @ c[k:] for k in range(order + 1)]) / max(1, len(c))
+    if len(c) < max(8 * order, order + 32) or c @ c <= 1e-20:
+        return None
+    r = np.array([c[: len(c) - k] @ c[k:] for k in range(order + 1)]) / len(c)
     toeplitz = r[np.abs(np.subtract.outer(np.arange(order), np.arange(order)))]
-    return np.linalg.solve(toeplitz + damp * (r[0] + 1e-300) * np.eye(order), r[1:])
+    a = np.linalg.solve(toeplitz + max(1e-12, damp * r[0]) * np.eye(order), r[1:])
+    return a if np.isfinite(a).all() and np.abs(a).sum() <= 8.0 else None
+
+
+def prediction_errors(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Errors of the prediction from the samples before, mean removed; NaN where there are too few before."""
+    c, n = x - x.mean(), len(a)
+    out = np.full(len(c), np.nan)
+    out[n:] = c[n:] - np.lib.stride_tricks.sliding_window_view(c, n)[:-1, ::-1] @ a
+    return out
 
 
-def continuity_scores(recordings: DataFrame, block: int = 256, order: int = 8, limit: float = 8.0) -> DataFrame:
-    """Samples whose error under linear prediction from before, robustly scaled over the block, exceeds limit both for
-    the series and for its reverse: rec, i, z. Splices show as such; a tone's onset does not."""
+def robust_z(e: np.ndarray) -> np.ndarray:
+    """Absolute values less their median, in units of their scaled median absolute deviation."""
+    x = np.abs(e)
+    m = np.nanmedian(x)
+    return (x - m) / max(1.4826 * np.nanmedian(np.abs(x - m)), 1e-15)
 
-    def residual(x, a):
-        out = np.zeros(len(x))
-        n = len(a)
-        past = np.lib.stride_tricks.sliding_window_view(x, n)[:-1, ::-1]
-        out[n:] = x[n:] - past @ a
-        return out
 
-    def scaled(e):
-        m = np.median(e)
-        return np.abs(e - m) / (1.4826 * np.median(np.abs(e - m)) + 1e-12)
+def predicted_next(x: np.ndarray, order: int = 8) -> tuple[float, float]:
+    """The sample that linear prediction expects after x, and the robust scale of its errors in x; NaN without a fit."""
+    a = lpc(x, order) if np.isfinite(x).all() else None
+    if a is None:
+        return float("nan"), float("nan")
+    e = prediction_errors(x, a)[order:]
+    return float((x - x.mean())[: -order - 1 : -1] @ a + x.mean()), float(1.4826 * np.median(np.abs(e - np.median(e))))
+
+
+def continuity_scores(recordings: DataFrame, block: int = 256, order: int = 8, limit: float = 8.0, overlap: float = 0.0) -> DataFrame:
+    """Samples whose error under linear prediction, robustly scaled over the block, exceeds limit both for the series and
+    for its reverse: rec, i, z, where blocks overlap the most of their scores. Splices show as such; a tone's onset does
+    not."""
 
     def kernel(fs, x, spans):
-        for lo in range(0, len(x) - 4 * order + 1, block):
+        z = np.full(len(x), -np.inf)
+        hop = max(1, round(block * (1 - overlap)))
+        for lo in range(0, max(1, len(x) - block + hop), hop):
             cut = x[lo : lo + block]
-            if len(cut) < 4 * order or not np.isfinite(cut).all() or np.ptp(cut) == 0:
+            if not len(cut) or not np.isfinite(cut).all():
+                continue
+            ahead, back = lpc(cut, order), lpc(cut[::-1], order)
+            if ahead is None or back is None:
                 continue
-            c = cut - cut.mean()
-            ahead, back = scaled(residual(c, lpc(c, order))), scaled(residual(c[::-1], lpc(c[::-1], order)))[::-1]
-            z = np.concatenate(([0.0], np.minimum(ahead[1:], back[:-1])))  # a break lies before a sample and after the last
-            for i in np.flatnonzero(z > limit).tolist():
-                yield lo + i, float(z[i])
+            f, b = robust_z(prediction_errors(cut, ahead)), robust_z(prediction_errors(cut[::-1], back))[::-1]
+            score = np.fmin(f[1:], b[:-1])  # a break lies before a sample and after the last
+            z[lo + 1 : lo + len(cut)] = np.fmax(z[lo + 1 : lo + len(cut)], np.where(np.isnan(f[1:] + b[:-1]), -np.inf, score))
+        at = np.flatnonzero(z > limit)
+        return at, z[at]
 
     kind = recordings.schema["rec"].dataType.simpleString()
-    rows = recordings.select("rec", "fs", "samples", F.expr("CAST(NULL AS array<struct<idx: int, start: double, end: double>>)").alias("spans"))
-    return rows.mapInArrow(_rows_of(kernel, ["i", "z"], [pa.int64(), pa.float64()]), f"rec {kind}, i long, z double")
+    return without_intervals(recordings).mapInArrow(_rows_of(kernel, ["i", "z"], [pa.int64(), pa.float64()]), f"rec {kind}, i long, z double")

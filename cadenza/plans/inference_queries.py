@@ -107,7 +107,7 @@ _PRF = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE END, 6) AS preci
 ORACLES = {
     "describe_features": _LONG + " SELECT f AS feature, count(*) AS recordings, count(DISTINCT CASE WHEN v IS NOT NULL THEN subject END) AS participants, count(v) AS n, count(*) - count(v) AS missing, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(avg((v = 0)::INT), 6) AS zero_fraction FROM lg GROUP BY f",
     "feature_pairs": _PAIRS + " SELECT * FROM rh",
-    "correlation_matrix": _PAIRS + ", b AS (SELECT feature_a AS a, feature_b AS b, rho FROM rh UNION ALL SELECT feature_b, feature_a, rho FROM rh UNION ALL SELECT DISTINCT f, f, 1.0 FROM lg) SELECT a AS feature, " + ", ".join(f"max(rho) FILTER (WHERE b = '{f}') AS {f}" for f in FEATURES) + " FROM b GROUP BY a",
+    "correlation_matrix": _PAIRS + ", b AS (SELECT feature_a AS a, feature_b AS b, rho FROM rh UNION ALL SELECT feature_b, feature_a, rho FROM rh UNION ALL SELECT DISTINCT f, f, 1.0 FROM lg) SELECT a AS row_feature, " + ", ".join(f"max(rho) FILTER (WHERE b = '{f}') AS {f}" for f in FEATURES) + " FROM b GROUP BY a",
     "perceptual_links": """WITH l AS (SELECT doc_id, 'quality' AS category, quality AS label FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels), f AS (SELECT doc_id, 'chars' AS feature, CAST(length(text) AS DOUBLE) AS v FROM documents UNION ALL SELECT doc_id, 'octets', CAST(strlen(text) AS DOUBLE) FROM documents),
         j AS (SELECT feature, category, label, rank() OVER (PARTITION BY feature, category ORDER BY v) + (count(*) OVER (PARTITION BY feature, category, v) - 1) / 2.0::DOUBLE AS r FROM f JOIN l ON f.doc_id = l.doc_id WHERE v IS NOT NULL AND label IN (0, 1)),
         c AS (SELECT feature, category, count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg, sum(r) FILTER (WHERE label = 1) AS s FROM j GROUP BY 1, 2)

@@ -28,6 +28,7 @@ def shown(v):
 def assert_same(df, sql: str, sf: str = SF) -> None:
     result = connection(sf).sql(sql)
     columns = sorted(df.columns)
+    assert len(set(columns)) == len(columns), f"columns repeat: {columns}"
     assert columns == sorted(result.columns)
     at = [result.columns.index(c) for c in columns]
     want = sorted(tuple(shown(row[i]) for i in at) for row in result.fetchall())
