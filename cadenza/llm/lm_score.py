@@ -1,22 +1,25 @@
-"""Scores of texts under a context-mixing language model learned from the corpus.
+"""Scores of texts under an online logistic context-mixing model learned from the corpus.
 
-A text is a sequence of lower-cased words and one end. Each token costs binary decisions, and each decision is mixed
-from several hashed-context predictors in the logistic domain; in spelling a gate selects the weights. Missing: sequences
-of words learned from the corpus, vocabulary words coded bit by bit, fitted or gated weights and refinement of decisions.
+A text is a sequence of lower-cased words and one end. Each token is coded by binary decisions. Each is predicted by several
+hashed contexts, whose stretched probabilities are mixed with weights that a gate selects, and refined by an adaptive map.
 
-1. Is it the token that followed the last place of the same two tokens in this text? The same for one token.
-2. Is it in the common vocabulary? If so it costs its share of the corpus. If not it costs what a mixture of its share of
-   the rarer training words and of its spelling gives it, so every training word has a cost of its own.
-3. A spelled word costs eight bits a byte, each mixed from predictors with the last one to five bytes as contexts, then
-   refined by an adaptive probability map.
+1. Is it the token that followed the last place of the same two tokens in this text? The same for one token. Contexts: the
+   run of right guesses, the place in the text, the token before.
+2. Is it in the common vocabulary? If so, the bits of its Huffman code follow. Contexts of a bit: its node in the code alone,
+   with the last very common word, with the word before, with the two words before, all counted over the corpus.
+3. A word outside the common vocabulary costs what a mixture of its share of the rarer training words and of its spelling
+   gives it. Spelling is eight bits a byte; contexts are the last one to five bytes.
 
-Counts behind all predictors come from every training document. Decision weights go on learning within each text, block
-by block, so a text that repeats itself becomes cheap; spelling weights learn online over the whole vocabulary.
+Learning is online: a task codes its training texts one portion after another with what it has counted so far, moves the
+weights along the error of each block, then counts the portion. Counts of all tasks are added up and weights averaged, so
+all training texts take part and no weight was learned from a text that its own tables had seen.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -25,21 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialize
+from .bpe import spread
+from .common import bucket_of, materialize, tidy
 
 #: The end of a text among tokens, which are never empty nor hold a line feed.
 END = b"\n"
 #: The most words of the common vocabulary, which every worker holds; rarer words get their counts and costs by joins.
 COMMON = 300_000
-#: Slots of the tables of the last one, two, three, four and five bytes (powers of two), slots of a decision table, tasks that count spelling contexts.
+#: Slots of the tables of the last one, two, three, four and five bytes (powers of two), slots of a decision table.
 ORDER_SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 20)
 DECISION_SLOTS = 1 << 12
-SPELL_TASKS = 8
+#: Slots of a table of code contexts: four for each training token, between these bounds. What a worker holds stays bounded.
+CODE_SLOTS = (1 << 14, 1 << 20)
+#: Distinct words that one task counts the spelling of; the most frequent words that tell what a text is about to be like.
+SPELLED, ANCHORS = 500_000, 64
 #: Slots of one block in which tables are added up.
 BLOCK = 1 << 16
-#: Tokens after which a text's decision weights are updated, learning rates of decisions and of spelling.
-STEP, RATE, SPELL_RATE = 32, 0.02, 0.02
-#: Distinct spelled words a worker keeps.
+#: Learning rate, bits after which weights are updated.
+RATE, STEP = 0.02, 1 << 14
+#: Distinct spelled words a task keeps.
 CACHE = 200_000
 LIMIT, BIAS = 12.0, 0.3
 
@@ -58,48 +65,34 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-# Spelling
+# Mixing
 
 
-def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of the words and their closing space: word number, table slots (order x bit), outcome."""
-    joined = np.frombuffer(b" " * 5 + b"".join(w + b"     " for w in words), dtype=np.uint8)
-    sizes = np.array([len(w) + 1 for w in words])
-    starts = 5 + np.cumsum(sizes + 4) - (sizes + 4)
-    owner = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
-    byte = joined[at].astype(np.uint32)
-    shift = np.arange(7, -1, -1, dtype=np.uint32)
-    bit = ((byte[:, None] >> shift) & np.uint32(1)).astype(np.uint8)
-    node = (np.uint32(1) << (np.uint32(7) - shift)) | (byte[:, None] >> (shift + np.uint32(1)))
-    spread = node * np.uint32(0x9E3779B1)
-    slots = np.empty((len(ORDER_SLOTS), len(at), 8), dtype=np.uint32)
-    context = np.zeros(len(at), dtype=np.uint64)
-    for k, size in enumerate(ORDER_SLOTS):
-        context = context << np.uint64(8) | joined[at - 1 - k]
-        mark = ((context + np.uint64(k)) * MIX >> np.uint64(32)).astype(np.uint32)
-        slots[k] = (mark[:, None] ^ spread) >> np.uint32(33 - int(size).bit_length())
-    return np.repeat(owner, 8), slots.reshape(len(ORDER_SLOTS), -1), bit.ravel()
+#: Steps of a stretched probability in the tables, buckets of the mixed one, points of the adaptive map.
+FINE, BUCKETS, POINTS = 64, 4096, 33
 
 
-#: Steps of a stretched probability in the tables, buckets of the mixed one.
-FINE, BUCKETS = 64, 4096
+def pack_tables(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Tables of a Mixer from counts (2 x slots) of zeros and ones."""
+    return [(np.rint(stretch_counts(t[1], t[0]) * FINE).astype(np.int16) << 2) | np.searchsorted([0.5, 3, 12], t.sum(0)).astype(np.int16) for t in counts]
 
 
 @dataclass
-class Speller:
+class Mixer:
     """Tables of predictors (stretched probability in steps of 1/FINE, times four, plus 0 to 3 for how often the slot was
     seen), mixing weights by gate, refinement by bucket of the mixed probability."""
 
     tables: list[np.ndarray]
-    weights: np.ndarray  # gate x (order + bias)
-    refined: np.ndarray | None = None  # probability of a one in each of 33 buckets
+    weights: np.ndarray  # gate x (fixed inputs + tables + bias)
+    refined: np.ndarray | None = None  # probability of a one at each of POINTS points
 
-    def mixed(self, slots: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Mixed stretched probability, the inputs, the gate: how often the three longest contexts were seen."""
+    def mixed(self, slots, weights: np.ndarray | None = None, fixed: tuple = (), gate: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Mixed stretched probability, the inputs, the gate: how often the last three tables' slots were seen, unless
+        it is given."""
         packed = [t[s] for t, s in zip(self.tables, slots, strict=True)]
-        gate = (packed[2] & 3) << 4 | (packed[3] & 3) << 2 | packed[4] & 3
-        x = [(v >> 2) * np.float32(1 / FINE) for v in packed]
+        if gate is None:
+            gate = (packed[-3] & 3) << 4 | (packed[-2] & 3) << 2 | packed[-1] & 3
+        x = [*fixed, *[(v >> 2) * np.float32(1 / FINE) for v in packed]]
         w = (self.weights if weights is None else weights).astype(np.float32).T.copy()
         z = w[-1][gate] * np.float32(BIAS)
         for v, wj in zip(x, w, strict=False):
@@ -118,107 +111,200 @@ class Speller:
     def bucket(self, z: np.ndarray) -> np.ndarray:
         return np.clip((z + np.float32(LIMIT)) * np.float32(BUCKETS / (2 * LIMIT)), 0, BUCKETS - 1).astype(np.int32)
 
-    def cost(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word, its closing space included."""
-        out = np.zeros(len(words))
+    def logs(self) -> np.ndarray:
+        """log10 probability of a zero by bucket, then of a one."""
         p = self.curve()
-        logs = np.concatenate((np.log10(1 - p), np.log10(p)))
+        return np.log10(np.concatenate((1 - p, p)))
+
+    def price(self, logs: np.ndarray, slots, bit: np.ndarray, fixed: tuple = (), gate: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each bit."""
+        return logs[self.bucket(self.mixed(slots, None, fixed, gate)[0]) + BUCKETS * bit.astype(np.int32)]
+
+    def cost(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of the spelling of each word, its closing space included."""
+        out, logs = np.zeros(len(words)), self.logs()
         for lo in range(0, len(words), 2000):
             part = words[lo : lo + 2000]
             owner, slots, bit = spelled_bits(part)
-            z, _, _ = self.mixed(slots)
-            out[lo : lo + len(part)] = np.bincount(owner, weights=logs[self.bucket(z) + BUCKETS * bit.astype(np.int32)], minlength=len(part))
+            out[lo : lo + len(part)] = np.bincount(owner, weights=self.price(logs, slots, bit), minlength=len(part))
         return out
 
 
-def pack_tables(counts: list[np.ndarray]) -> list[np.ndarray]:
-    """Tables of a Speller from weighted counts (2 x slots) of zeros and ones."""
-    return [(np.rint(stretch_counts(t[1], t[0]) * FINE).astype(np.int16) << 2) | np.searchsorted([0.5, 3, 12], t.sum(0)).astype(np.int16) for t in counts]
+Speller = Mixer
+
+
+class Learner:
+    """What one task learns for one mixer: counts of its contexts, weights, and the sums behind the adaptive map."""
+
+    def __init__(self, sizes: tuple[int, ...], start: np.ndarray):
+        self.counts = [np.zeros((2, n), dtype=np.float32) for n in sizes]
+        self.mixer = Mixer(pack_tables(self.counts), start.astype(np.float64))
+        self.bits, self.map = 0, np.zeros((2, POINTS))
+
+    def learn(self, slots, bit: np.ndarray, weight: np.ndarray | None = None, fixed: tuple = (), gate: np.ndarray | None = None) -> None:
+        """Predict the bits with what is known, move the weights block by block, then count the bits."""
+        w = self.mixer.weights
+        for lo in range(0, len(bit), STEP):
+            on = slice(lo, lo + STEP)
+            z, x, g = self.mixer.mixed([s[on] for s in slots], None, tuple(f[on] for f in fixed), None if gate is None else gate[on])
+            err = bit[on] - squash(z)
+            rate = RATE / np.sqrt(np.maximum(np.bincount(g, minlength=len(w)), 1))
+            for j, v in enumerate([*x, BIAS]):
+                w[:, j] += rate * np.bincount(g, weights=err * v, minlength=len(w))
+            at = np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) / (2 * LIMIT) * (POINTS - 1)).astype(int)
+            self.map[0] += np.bincount(at, weights=bit[on], minlength=POINTS)
+            self.map[1] += np.bincount(at, minlength=POINTS)
+        self.bits += len(bit)
+        for t, s in zip(self.counts, slots, strict=True):
+            t += np.bincount(s.astype(np.int64) + bit.astype(np.int64) * t.shape[1], weights=weight, minlength=2 * t.shape[1]).reshape(2, -1)
+
+    def refresh(self) -> None:
+        self.mixer.tables = pack_tables(self.counts)
+
+    def rows(self, name: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """(part, v, b, sums) rows that add up over tasks: blocks of tables, weights times bits, map sums."""
+        for k, t in enumerate(self.counts):
+            for v in (0, 1):
+                for b in range(0, t.shape[1], BLOCK):
+                    yield name + k, v, b, t[v, b : b + BLOCK].tobytes()
+        more = np.concatenate(([self.bits], (self.mixer.weights * self.bits).ravel(), self.map.ravel()))
+        yield name + 99, 0, 0, more.astype(np.float32).tobytes()
 
 
-def learn_weights(speller: Speller, words: list[bytes], w: np.ndarray, rate: float = SPELL_RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights w after one more online pass over the words in blocks; sums for the map: ones and visits by bucket."""
-    w = w.astype(np.float64)
-    ones, seen = np.zeros(33), np.zeros(33)
-    for lo in range(0, len(words), 256):
-        _, slots, bit = spelled_bits(words[lo : lo + 256])
-        z, x, gate = speller.mixed(slots, w)
-        err = bit - squash(z)
-        seen_by = np.sqrt(np.maximum(np.bincount(gate, minlength=len(w)), 1))
-        for j, v in enumerate([*x, BIAS]):
-            w[:, j] += rate * np.bincount(gate, weights=err * v, minlength=len(w)) / seen_by
-        at = np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) / (2 * LIMIT) * 32).astype(int)
-        ones += np.bincount(at, weights=bit, minlength=33)
-        seen += np.bincount(at, minlength=33)
-    return w, ones, seen
-
-
-def fit_speller(counts: DataFrame) -> Speller:
-    """Tables over all words of counts(token, c), each weighing 1 + log2 c; weights by an online pass of each task,
-    averaged. Tables are added up in blocks; what the driver gets has one size for any input."""
-    words = counts.where(F.col("token") != F.lit(END)).select("token", (1 + F.log2("c")).alias("weight"))
-    words = words.repartition(SPELL_TASKS, "token")
+ADDED = "part int, v int, b int, sums binary"
 
-    def count(batches):
-        tables = [np.zeros((2, n), dtype=np.float32) for n in ORDER_SLOTS]
-        for batch in batches:
-            tokens, weight = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            for lo in range(0, len(tokens), 50_000):
-                owner, slots, bit = spelled_bits(tokens[lo : lo + 50_000])
-                wt = weight[lo : lo + 50_000][owner]
-                for t, s in zip(tables, slots, strict=True):
-                    t += np.bincount(s + bit.astype(np.uint32) * np.uint32(t.shape[1]), weights=wt, minlength=2 * t.shape[1]).reshape(2, -1)
-        for k, t in enumerate(tables):
-            for v in (0, 1):
-                for b in range(0, t.shape[1], BLOCK):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v], pa.int32()), pa.array([b], pa.int32()), pa.array([t[v, b : b + BLOCK].tobytes()], pa.binary())], ["k", "v", "b", "sums"])
+
+def sum_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "v", "b", "sums"])
+
+
+def mixers_of(rows: DataFrame, made: dict[int, Learner]) -> dict[int, Mixer]:
+    """Mixers by name from the rows of all tasks, added up in blocks; what the driver gets has one size for any input."""
 
     def add(batches):
         total: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
             for k, v, b, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 total[k, v, b] = total.get((k, v, b), 0) + np.frombuffer(raw, dtype=np.float32)
-        for (k, v, b), t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v], pa.int32()), pa.array([b], pa.int32()), pa.array([t.astype(np.float32).tobytes()], pa.binary())], ["k", "v", "b", "sums"])
-
-    schema = "k int, v int, b int, sums binary"
-    tables = [np.zeros((2, n), dtype=np.float32) for n in ORDER_SLOTS]
-    for r in words.mapInArrow(count, schema).repartition("k", "v", "b").mapInArrow(add, schema).toLocalIterator():
-        tables[r["k"]][r["v"], r["b"] : r["b"] + BLOCK] = np.frombuffer(r["sums"], dtype=np.float32)
-    start = np.tile(np.array([0.1, 0.2, 0.3, 0.3, 0.3, 0.0]), (64, 1))
-    speller = Speller(pack_tables(tables), start)
-    shared = counts.sparkSession.sparkContext.broadcast(speller)
-
-    def train(batches):
-        w, n, total = shared.value.weights, 0, np.zeros((2, 33))
+        for key, t in total.items():
+            yield sum_batch([(*key, t.astype(np.float32).tobytes())])
+
+    for r in rows.repartition("part", "v", "b").mapInArrow(tidy(add), ADDED).toLocalIterator():
+        name = r["part"] // 100 * 100
+        learner, sums = made[name], np.frombuffer(r["sums"], dtype=np.float32)
+        if r["part"] == name + 99:
+            n = learner.mixer.weights.size
+            learner.bits = float(sums[0])
+            if learner.bits:
+                learner.mixer.weights = (sums[1 : n + 1] / sums[0]).reshape(learner.mixer.weights.shape)
+                ones, seen = sums[n + 1 :].reshape(2, -1)
+                grid = squash(np.linspace(-LIMIT, LIMIT, POINTS))
+                learner.mixer.refined = np.clip((ones + 20 * grid) / (seen + 20), 1e-6, 1 - 1e-6)
+        else:
+            learner.counts[r["part"] - name][r["v"], r["b"] : r["b"] + BLOCK] = sums
+    for learner in made.values():
+        learner.refresh()
+        learner.mixer.weights = learner.mixer.weights.astype(np.float32)
+    return {name: learner.mixer for name, learner in made.items()}
+
+
+# Spelling
+
+
+def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bit of the words and their closing space: word number, table slots (order x bit), outcome."""
+    joined = np.frombuffer(b" " * 5 + b"".join(w + b"     " for w in words), dtype=np.uint8)
+    sizes = np.array([len(w) + 1 for w in words])
+    starts = 5 + np.cumsum(sizes + 4) - (sizes + 4)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
+    byte = joined[at].astype(np.uint32)
+    shift = np.arange(7, -1, -1, dtype=np.uint32)
+    bit = ((byte[:, None] >> shift) & np.uint32(1)).astype(np.uint8)
+    node = (np.uint32(1) << (np.uint32(7) - shift)) | (byte[:, None] >> (shift + np.uint32(1)))
+    spread_ = node * np.uint32(0x9E3779B1)
+    slots = np.empty((len(ORDER_SLOTS), len(at), 8), dtype=np.uint32)
+    context = np.zeros(len(at), dtype=np.uint64)
+    for k, size in enumerate(ORDER_SLOTS):
+        context = context << np.uint64(8) | joined[at - 1 - k]
+        mark = ((context + np.uint64(k)) * MIX >> np.uint64(32)).astype(np.uint32)
+        slots[k] = (mark[:, None] ^ spread_) >> np.uint32(33 - int(size).bit_length())
+    return np.repeat(owner, 8), slots.reshape(len(ORDER_SLOTS), -1), bit.ravel()
+
+
+def spelling_learner() -> Learner:
+    return Learner(ORDER_SLOTS, np.tile(np.array([0.1, 0.2, 0.3, 0.3, 0.3, 0.0]), (64, 1)))
+
+
+def spelling_rows(counts: DataFrame, distinct: int) -> DataFrame:
+    """What tasks learn from the words of counts(token, c), all of them once, each weighing 1 + log2 c in the tables. Words
+    come in the order of a hash, so lost tasks learn the same again."""
+    words = counts.where(F.col("token") != F.lit(END)).select("token", (1 + F.log2("c")).alias("weight"))
+    words = words.repartition(max(1, -(-distinct // SPELLED)), "token").sortWithinPartitions(F.xxhash64("token"), "token")
+
+    def run(batches):
+        learner, since, most = spelling_learner(), 0, 500
         for batch in batches:
-            held = batch.column(0).to_pylist()
-            w, ones, seen = learn_weights(shared.value, held, w)
-            n, total = n + len(held), total + np.stack([ones, seen])
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.astype(np.float64).tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], ["n", "w", "map"])
+            tokens, weight = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for lo in range(0, len(tokens), 2000):
+                owner, slots, bit = spelled_bits(tokens[lo : lo + 2000])
+                learner.learn(slots, bit, weight[lo : lo + 2000][owner])
+                since += 2000
+                if since >= most:
+                    learner.refresh()
+                    since, most = 0, min(2 * most, 100_000)
+        for row in learner.rows(0):
+            yield sum_batch([row])
 
-    rows = [r for r in words.mapInArrow(train, "n long, w binary, map binary").collect() if r["n"]]
-    if rows:
-        n = sum(r["n"] for r in rows)
-        speller.weights = sum(np.frombuffer(r["w"]).reshape(64, -1) * (r["n"] / n) for r in rows).astype(np.float32)
-        ones, seen = sum(np.frombuffer(r["map"]).reshape(2, -1) for r in rows)
-        grid = squash(np.linspace(-LIMIT, LIMIT, 33))
-        speller.refined = np.clip((ones + 20 * grid) / (seen + 20), 1e-6, 1 - 1e-6)
-    return speller
+    return words.mapInArrow(tidy(run), ADDED)
 
 
-# Decisions
+# Words
 
 
 @dataclass
 class Vocabulary:
-    """Common words with their number; log10 of each one's share of common tokens."""
+    """Common words with their number, most frequent first, and their Huffman codes."""
 
     number: dict[bytes, int]
     count: np.ndarray
-    share: np.ndarray
     sums: tuple[int, int]  # training tokens, distinct training tokens
     tail: tuple[int, float]  # tokens of rarer words; share of words seen in training expected among words outside the vocabulary
+    begin: np.ndarray  # place at which each word's code begins in node and bit, and the end
+    node: np.ndarray
+    bit: np.ndarray
+    stretched: np.ndarray  # of each node: stretched share of its ones
+
+
+def huffman(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """begin, node, bit, stretched of a Vocabulary whose words have these counts."""
+    v = len(count)
+    if v < 2:
+        return np.zeros(v + 1, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.float32)
+    heap = [(c, i) for i, c in enumerate(count.tolist())]
+    heapq.heapify(heap)
+    parent, side, stretched = np.zeros(2 * v - 1, dtype=np.int64), np.zeros(2 * v - 1, dtype=np.uint8), np.zeros(v - 1, dtype=np.float32)
+    for k in range(v - 1):
+        a, i = heapq.heappop(heap)
+        b, j = heapq.heappop(heap)
+        parent[i] = parent[j] = v + k
+        side[j], stretched[k] = 1, np.log(max(b, 0.5) / max(a, 0.5))
+        heapq.heappush(heap, (a + b, v + k))
+    root, here, steps = 2 * v - 2, np.arange(v), []
+    depth = np.zeros(v, dtype=np.int64)
+    on = np.arange(v)
+    while len(on):
+        steps.append((on, parent[here[on]] - v, side[here[on]]))
+        here[on] = parent[here[on]]
+        depth[on] += 1
+        on = on[here[on] != root]
+    begin = np.concatenate(([0], np.cumsum(depth)))
+    node, bit = np.zeros(begin[-1], dtype=np.int32), np.zeros(begin[-1], dtype=np.uint8)
+    for k, (words, n, s) in enumerate(steps):
+        at = begin[words + 1] - 1 - k
+        node[at], bit[at] = n, s
+    return begin, node, bit, stretched
 
 
 def last_followers(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,118 +331,135 @@ def last_followers(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def decisions(ids: np.ndarray, doc: np.ndarray, common: np.ndarray, rare_rate: np.ndarray) -> dict[str, np.ndarray]:
-    """Binary decisions of tokens in coding order: owner (token), kind 0 to 2, outcome, slots (3 x decision), gate."""
-    two, one = last_followers(ids, doc)
+@dataclass
+class Portion:
+    """Texts with numbered tokens. Words outside the vocabulary have numbers past it, of this portion only."""
+
+    tokens: list[list[bytes]]
+    ids: np.ndarray
+    doc: np.ndarray
+    rare: list[bytes]
+    common: np.ndarray
+    begin: np.ndarray  # place at which the token's text begins
+
+
+def numbered(texts: list[str | None], vocabulary: Vocabulary) -> Portion:
+    tokens = [tokens_of(t) for t in texts]
+    flat = [t for ts in tokens for t in ts]
+    known = vocabulary.number
+    rare: dict[bytes, int] = {}
+    ids = np.fromiter(map(known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+    for i in np.flatnonzero(ids < 0).tolist():
+        ids[i] = len(known) + rare.setdefault(flat[i], len(rare))
+    sizes = np.array([len(t) for t in tokens])
+    begin = np.cumsum(sizes) - sizes
+    return Portion(tokens, ids, np.repeat(np.arange(len(tokens)), sizes), list(rare), ids < len(known), np.repeat(begin, sizes))
+
+
+def decisions(p: Portion, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Decisions of kinds 0 to 2: owner (token), outcome, slots (3 x decision), gate; last, the tokens that no guess has
+    given. v: words of the vocabulary."""
+    ids, n, at = p.ids, len(p.ids), np.arange(len(p.ids))
+    two, one = last_followers(ids, p.doc)
     hit2, hit1 = two == ids, one == ids
-    # Length of the run of right guesses before each token, up to 15, within its text.
+    first = at == p.begin
+
     def run_before(hit):
-        miss = np.flatnonzero(~hit | np.concatenate(([True], doc[1:] != doc[:-1])))
-        last = np.full(len(hit), 0)
-        last[miss] = miss
-        last = np.maximum.accumulate(last)
-        run = np.arange(len(hit)) - last
-        before = np.concatenate(([0], run[:-1]))
-        before[np.concatenate(([True], doc[1:] != doc[:-1]))] = 0
-        return np.minimum(before, 15)
-
-    if not len(ids):
-        z = np.zeros(0, dtype=np.int64)
-        return {"owner": z, "kind": z, "bit": z, "slots": np.zeros((3, 0), dtype=np.int64), "gate": z}
+        """Length of the run of right guesses before each token, up to 15, within its text."""
+        last = np.maximum.accumulate(np.where(hit & ~first, 0, at)) if n else at
+        before = np.concatenate(([0], (at - last)[:-1])) if n else at
+        return np.where(first, 0, np.minimum(before, 15))
+
     r2, r1 = run_before(hit2), run_before(hit1)
-    agree = (two == one).astype(np.int64)
-    place = np.minimum(np.log2(np.arange(len(ids)) - np.maximum.accumulate(np.where(np.concatenate(([True], doc[1:] != doc[:-1])), np.arange(len(ids)), 0)) + 1).astype(np.int64), 15)
-    prior = np.concatenate(([0], ids[:-1])) & 1023
-    rows = []
+    place = np.minimum(np.frexp((at - p.begin + 1).astype(np.float64))[1] - 1, 15)
+    prior = np.concatenate(([v], np.minimum(ids[:-1], v))) if n else ids
+    prior = np.where(first, v, prior) & 1023
+    sums = np.concatenate(([0], np.cumsum(~p.common)))
+    lo = np.maximum(p.begin, at - 64)
+    rate = np.minimum((sums[at] - sums[lo]) * 16 // np.maximum(at - lo, 1), 15)  # sixteenths of rare words just before
     ask2 = np.flatnonzero(two >= 0)
-    rows.append((ask2, 0, hit2[ask2], (r2[ask2], agree[ask2] * 16 + place[ask2], prior[ask2]), r2[ask2]))
     ask1 = np.flatnonzero((one >= 0) & (one != two) & ~hit2)
-    rows.append((ask1, 1, hit1[ask1], (r1[ask1], place[ask1] * 2 + (two[ask1] >= 0), prior[ask1]), r1[ask1]))
-    askv = np.flatnonzero(~hit2 & ~((one >= 0) & hit1))
-    rows.append((askv, 2, common[askv], (rare_rate[askv], place[askv], prior[askv]), rare_rate[askv]))
+    open_ = np.flatnonzero(~hit2 & ~((one >= 0) & hit1))
+    rows = [
+        (ask2, hit2, (r2, (two == one) * 16 + place, prior), r2), (ask1, hit1, (r1, place * 2 + (two >= 0), prior), r1), (open_, p.common, (rate, place, prior), rate),
+    ]
     owner = np.concatenate([r[0] for r in rows])
-    kind = np.concatenate([np.full(len(r[0]), r[1]) for r in rows])
-    bit = np.concatenate([r[2] for r in rows]).astype(np.int64)
-    slots = np.stack([((np.concatenate([r[3][j] for r in rows]) * 3 + kind) * 3 + j).astype(np.int64) % DECISION_SLOTS for j in range(3)])
-    gate = kind * 16 + np.concatenate([r[4] for r in rows])
-    order = np.lexsort((kind, owner))
-    return {"owner": owner[order], "kind": kind[order], "bit": bit[order], "slots": slots[:, order], "gate": gate[order]}
+    bit = np.concatenate([r[1][r[0]] for r in rows]).astype(np.int64)
+    slots = [np.concatenate([(r[2][j][r[0]] * 9 + kind * 3 + j) % DECISION_SLOTS for kind, r in enumerate(rows)]) for j in range(3)]
+    gate = np.concatenate([kind * 16 + r[3][r[0]] for kind, r in enumerate(rows)])
+    return owner, bit, slots, gate, open_
+
+
+def code_contexts(p: Portion, v: int) -> list[np.ndarray]:
+    """Hashes of each token's contexts: the last very common word, the word before, the two words before it."""
+    at, ids = np.arange(len(p.ids)), np.minimum(p.ids, v).astype(np.uint64)
+    pad = np.array([v + 1], dtype=np.uint64)
+    one = np.where(at > p.begin, np.concatenate((pad, ids[:-1])), pad)
+    two = np.where(at > p.begin + 1, np.concatenate((pad, pad, ids[:-2]))[: len(ids)], pad)
+    last = np.maximum.accumulate(np.where(p.ids < ANCHORS, at, -1)) if len(at) else at
+    last = np.concatenate(([-1], last[:-1])) if len(at) else at
+    anchor = np.where(last >= p.begin, ids[np.maximum(last, 0)], pad)
+    k = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+    return [((c + np.uint64(1)) * m >> np.uint64(32)).astype(np.uint32) for c, m in ((anchor, k[0]), (one, k[1]), ((one * k[2]) ^ two, k[1]))]
+
+
+def code_bits(p: Portion, which: np.ndarray, vocabulary: Vocabulary, slots: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Bits of the codes of the tokens `which`, all common: owner, outcome, slots (3 x bit), stretched share of the node."""
+    begin = vocabulary.begin
+    size = begin[p.ids[which] + 1] - begin[p.ids[which]]
+    at = spread(begin[p.ids[which]], size)
+    node, shift = vocabulary.node[at], np.uint32(33 - slots.bit_length())
+    mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
+    out = [((np.repeat(c[which], size) ^ mark) * np.uint32(0x85EBCA6B)) >> shift for c in code_contexts(p, len(vocabulary.number))]
+    return np.repeat(which, size), vocabulary.bit[at], out, vocabulary.stretched[node]
+
 
+def decision_learner() -> Learner:
+    return Learner((DECISION_SLOTS,) * 3, np.tile(np.array([0.4, 0.4, 0.4, 0.0]), (48, 1)))
 
-def portions(texts: list[str | None], most: int = 2_000_000):
-    """Runs of whole texts, of `most` characters or one text."""
-    lo, size = 0, 0
+
+def code_learner(slots: int) -> Learner:
+    return Learner((slots,) * 3, np.tile(np.array([0.8, 0.2, 0.1, 0.1, 0.0]), (64, 1)))
+
+
+def code_slots(tokens: int) -> int:
+    """Slots of a code table for so many training tokens."""
+    return min(CODE_SLOTS[1], max(CODE_SLOTS[0], 1 << (4 * tokens).bit_length()))
+
+
+def portions(texts: list[str | None], most: int = 2_000_000, least: int | None = None):
+    """Runs of whole texts, of `most` characters or one text; beginning with `least` and growing, if it is given."""
+    lo, size, limit = 0, 0, least or most
     for i, t in enumerate(texts):
-        if size and size + len(t or "") > most:
+        if size and size + len(t or "") > limit:
             yield lo, i
-            lo, size = i, 0
+            lo, size, limit = i, 0, min(most, 2 * limit)
         size += len(t or "")
     if lo < len(texts):
         yield lo, len(texts)
 
 
-def numbered(texts: list[str | None], vocabulary: Vocabulary) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """Tokens, their numbers (rare words get numbers past the vocabulary), text of each, common or not, the rare words,
-    and sixteenths of rare words among the 64 tokens before each."""
-    tokens = [tokens_of(t) for t in texts]
-    flat = [t for ts in tokens for t in ts]
-    known = vocabulary.number
-    rare: dict[bytes, int] = {}
-    ids = np.fromiter(map(known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-    for i in np.flatnonzero(ids < 0).tolist():
-        ids[i] = len(known) + rare.setdefault(flat[i], len(rare))
-    doc = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    common = ids < len(known)
-    sums = np.concatenate(([0], np.cumsum(~common)))
-    at = np.arange(len(ids))
-    begin = np.maximum.accumulate(np.where(np.concatenate(([True], doc[1:] != doc[:-1])), at, 0)) if len(ids) else at
-    lo = np.maximum(begin, at - 64)
-    rate = np.minimum(((sums[at] - sums[lo]) * 16 // np.maximum(at - lo, 1)), 15)
-    return tokens, ids, doc, common, list(rare), rate
-
-
-def score_decisions(d: dict[str, np.ndarray], doc: np.ndarray, place: np.ndarray, tables: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """log10 probability of each decision. All texts advance together, STEP tokens at a time; each has weights of its
-    own that start from `weights` and move along the gradient of the block just coded."""
-    x = np.stack([tables[j][d["slots"][j]] for j in range(3)], axis=1)
-    out = np.zeros(len(x))
-    text, block = doc[d["owner"]], place[d["owner"]] // STEP
-    n = int(doc[-1]) + 1 if len(doc) else 0
-    own = np.tile(weights, (n, 1, 1))  # text x kind x input
-    order = np.argsort(block, kind="stable")
-    bounds = np.searchsorted(block[order], np.arange(int(block.max()) + 2)) if len(block) else [0]
-    for lo, hi in zip(bounds, bounds[1:], strict=False):
-        at = order[lo:hi]
-        w = own[text[at], d["kind"][at]]
-        z = np.einsum("ij,ij->i", x[at], w)
-        p = squash(z)
-        bit = d["bit"][at]
-        out[at] = np.log10(np.maximum(np.where(bit == 1, p, 1 - p), 1e-9))
-        np.add.at(own, (text[at], d["kind"][at]), RATE * (bit - p)[:, None] * x[at])
-    return out
-
-
-def fit_decisions(train: DataFrame, vocabulary, sparse_rows: int = 8) -> np.ndarray:
-    """Stretched probabilities of the three decision tables, counted over train(text), all of it: each task sends one
-    sparse row a slot, Spark adds them, the driver gets 3 x DECISION_SLOTS figures at the most."""
+def word_rows(train: DataFrame, vocabulary, slots: int) -> DataFrame:
+    """What tasks learn from train(text), all of it, for decisions (100) and codes (200)."""
 
-    def count(batches):
-        total = np.zeros((3, 2, DECISION_SLOTS), dtype=np.int64)
+    def run(batches):
+        decided, coded, least = decision_learner(), code_learner(slots), 50_000
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for lo, hi in portions(texts):
-                _, ids, doc, common, _, rate = numbered(texts[lo:hi], vocabulary.value)
-                d = decisions(ids, doc, common, rate)
-                for j in range(3):
-                    total[j] += np.bincount(d["slots"][j] + DECISION_SLOTS * d["bit"], minlength=2 * DECISION_SLOTS).reshape(2, -1)
-        j, s = np.nonzero(total.sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(total[j, 0, s]), pa.array(total[j, 1, s])], ["j", "slot", "zeros", "ones"])
-
-    rows = train.mapInArrow(count, "j int, slot int, zeros long, ones long").groupBy("j", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).collect()
-    counts = np.zeros((3, 2, DECISION_SLOTS))
-    for r in rows:
-        counts[r["j"], :, r["slot"]] = r["zeros"], r["ones"]
-    return np.stack([stretch_counts(c[1], c[0]) for c in counts])
+            for lo, hi in portions(texts, least=least):
+                p = numbered(texts[lo:hi], vocabulary.value)
+                _, bit, at, gate, open_ = decisions(p, len(vocabulary.value.number))
+                decided.learn(at, bit, gate=gate)
+                _, bit, at, st = code_bits(p, open_[p.common[open_]], vocabulary.value, slots)
+                coded.learn(at, bit, fixed=(st,))
+                decided.refresh()
+                coded.refresh()
+            least = 2_000_000
+        for name, learner in ((100, decided), (200, coded)):
+            for row in learner.rows(name):
+                yield sum_batch([row])
+
+    return train.mapInArrow(tidy(run), ADDED)
 
 
 # Corpus
@@ -372,7 +475,7 @@ def token_counts(train: DataFrame) -> DataFrame:
                 total.update(tokens_of(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["token", "c"])
 
-    return train.mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return train.mapInArrow(tidy(run), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 def common_words(counts: DataFrame, most: int = COMMON) -> Vocabulary:
@@ -390,7 +493,7 @@ def common_words(counts: DataFrame, most: int = COMMON) -> Vocabulary:
     least = int(c.min()) if len(c) else 1 << 62
     once, rare, upto = counts.select(F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") < least, F.col("c"))), F.sum(F.when(F.col("c") <= least, F.col("c")))).first()
     seen = ((upto or 0) - (once or 0) + 0.5) / ((upto or 0) + 1.0) if rare else 0.0
-    return Vocabulary({bytes(r["token"]): i for i, r in enumerate(words)}, c, np.log10(np.maximum(c, 1) / max(1, c.sum())), (sum(s for _, s in sizes.values()), sum(n for n, _ in sizes.values())), (rare or 0, seen))
+    return Vocabulary({bytes(r["token"]): i for i, r in enumerate(words)}, c, (sum(s for _, s in sizes.values()), sum(n for n, _ in sizes.values())), (rare or 0, seen), *huffman(c))
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -399,63 +502,65 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
     Learns from rows whose crc32 of the id modulo `modulus` is not `held`. Null and empty texts are one token, the end.
     base_score is the add-one unigram score over training tokens; score the model's log10 probability. Common words are
     looked up in each worker; counts of the others come by a join on the word itself, for both scores, so any vocabulary
-    works. Rows may
-    repeat, each is scored on its own; with nothing to learn from, base_score is 0 a token (one token type, unseen) and
-    score is that of the untrained model. An empty table gives an empty result; other columns are not read.
+    works. Rows may repeat, each is scored on its own; rows with a null id are scored and learned from; with nothing to
+    learn from, base_score is 0 a token (one token type, unseen) and score is that of the untrained model. An empty table
+    gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     train = rows.where(bucket_of("doc_id", modulus) != held).select("text")
     counts = materialize(token_counts(train), "counts")
     words = common_words(counts)
-    speller = fit_speller(counts)
-    vocabulary = spark.sparkContext.broadcast(words)
-    tables = fit_decisions(train, vocabulary)
-    model = spark.sparkContext.broadcast((speller, tables))
     total, distinct = words.sums
-    start = np.full((3, 3), 0.4)
+    slots = code_slots(total)
+    speller = mixers_of(spelling_rows(counts, distinct), {0: spelling_learner()})[0]
+    vocabulary = spark.sparkContext.broadcast(words)
+    made = mixers_of(word_rows(train, vocabulary, slots), {100: decision_learner(), 200: code_learner(slots)})
+    model = spark.sparkContext.broadcast((speller, made[100], made[200]))
 
     def run(batches):
-        speller, tables = model.value
+        speller, decider, coder = model.value
         v = vocabulary.value
+        n = len(v.number)
+        decider_logs, coder_logs = decider.logs(), coder.logs()
+        share = np.log10(v.count + 1.0)
         kept: dict[bytes, float] = {}
         for batch in batches:
             ids_, every = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in portions(every):
                 part = every[lo:hi]
-                tokens, ids, doc, common, rare, rate = numbered(part, v)
-                begin = np.concatenate(([True], doc[1:] != doc[:-1]))
-                at = np.arange(len(ids))
-                place = at - np.maximum.accumulate(np.where(begin, at, 0))
-                d = decisions(ids, doc, common, rate)
-                cost = np.bincount(doc[d["owner"]], weights=score_decisions(d, doc, place, tables, start), minlength=len(part))
+                p = numbered(part, v)
+                owner, bit, at, gate, open_ = decisions(p, n)
+                cost = np.bincount(p.doc[owner], weights=decider.price(decider_logs, at, bit, gate=gate), minlength=len(part))
+                owner, bit, at, st = code_bits(p, open_[p.common[open_]], v, slots)
+                cost += np.bincount(p.doc[owner], weights=coder.price(coder_logs, at, bit, (st,)), minlength=len(part))
                 if len(kept) > CACHE:
                     kept.clear()
-                new = [w for w in rare if w not in kept]
+                new = [w for w in p.rare if w not in kept]
                 # Spelled as a word that training has not seen; the join adds what a rarer training word's count gives.
                 kept.update(zip(new, (speller.cost(new) + np.log10(1 - v.tail[1])).tolist(), strict=True))
-                price = np.concatenate((v.share, np.array([kept[w] for w in rare]))) if rare or len(v.share) else np.zeros(1)
-                asked = d["owner"][d["kind"] == 2]  # tokens no guess has given
-                cost += np.bincount(doc[asked], weights=price[ids[asked]], minlength=len(part))
-                logs = np.log10(v.count + 1.0) if len(v.count) else np.zeros(1)
-                base = np.bincount(doc[common], weights=logs[ids[common]], minlength=len(part))
-                known = np.bincount(doc[common], minlength=len(part))
-                sizes = np.array([len(t) for t in tokens])
+                unknown = open_[~p.common[open_]]  # rare words that no guess has given
+                price = np.array([kept[w] for w in p.rare]) if p.rare else np.zeros(1)
+                cost += np.bincount(p.doc[unknown], weights=price[p.ids[unknown] - n], minlength=len(part))
+                common = np.flatnonzero(p.common)
+                base = np.bincount(p.doc[common], weights=share[p.ids[common]], minlength=len(part)) if n else np.zeros(len(part))
+                known = np.bincount(p.doc[common], minlength=len(part))
+                sizes = np.array([len(t) for t in p.tokens])
                 n_bytes = np.array([max(1, len((t or "").encode())) for t in part])
-                paid = np.zeros(len(ids), dtype=bool)
-                paid[asked] = True
+                paid = np.zeros(len(p.ids), dtype=bool)
+                paid[unknown] = True
                 tail, spelled = [[] for _ in part], [[] for _ in part]
-                for i in np.flatnonzero(~common).tolist():
-                    word = rare[ids[i] - len(v.number)]
-                    tail[doc[i]].append(word)
-                    spelled[doc[i]].append(kept[word] if paid[i] else None)
+                for i in np.flatnonzero(~p.common).tolist():
+                    word = p.rare[p.ids[i] - n]
+                    tail[p.doc[i]].append(word)
+                    spelled[p.doc[i]].append(kept[word] if paid[i] else None)
                 yield pa.RecordBatch.from_arrays(
                     [ids_.slice(lo, len(part)), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(cost), pa.array(n_bytes, pa.int64()), pa.array(tail, pa.list_(pa.binary())), pa.array(spelled, pa.list_(pa.float64()))],
                     ["doc_id", "n_tokens", "common", "base", "score", "n_bytes", "tail", "spelled"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = materialize(rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, common long, base double, score double, n_bytes long, tail array<binary>, spelled array<double>").withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = materialize(rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, common long, base double, score double, n_bytes long, tail array<binary>, spelled array<double>").withColumn("row", F.monotonically_increasing_id()), "scored")
     low = counts.where(F.col("c") < (int(words.count.min()) if len(words.count) else 1 << 62))
     tokens, seen = words.tail
     # log10 of (unseen + seen) / unseen, the shares of the mixture; spelled is null where a guess has given the word.
