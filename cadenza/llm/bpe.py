@@ -290,7 +290,7 @@ class ChunkIds:
             plain[i] = ""
         cut = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
         number = cut.values.dictionary_encode()
-        rows = self.rows(number.dictionary.to_pylist())[number.indices.to_numpy()] if len(number) else np.zeros(0, dtype=np.int64)
+        rows = self.rows(number.dictionary.to_numpy(zero_copy_only=False).tolist())[number.indices.to_numpy()] if len(number) else np.zeros(0, dtype=np.int64)
         size = self.size[rows]
         ends = np.concatenate(([0], np.cumsum(size)))
         offsets = ends[cut.offsets.to_numpy()]

@@ -5,8 +5,10 @@ hashed contexts, whose stretched probabilities are mixed with weights that a gat
 
 1. Is it the token that followed the last place of the same two tokens in this text? The same for one token. Contexts: the
    run of right guesses, the place in the text, the token before.
-2. Is it in the common vocabulary? If so, the bits of its Huffman code follow. Contexts of a bit: its node in the code alone,
-   with the last very common word, with the word before, with the two words before, all counted over the corpus.
+2. Is it in the common vocabulary? If so, bits of its code follow. The code halves the sorted words by their counts, again
+   and again, so words that begin alike share nodes. Contexts of a bit: its node alone, with the last very common word, with
+   the word before, with the two words before, all counted over the corpus. After MIXED bits the word costs its share of
+   what they have left.
 3. A word outside the common vocabulary costs what a mixture of its share of the rarer training words and of its spelling
    gives it. Spelling is eight bits a byte; contexts are the last one to five bytes.
 
@@ -17,14 +19,13 @@ all training texts take part and no weight was learned from a text that its own
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +41,16 @@ ORDER_SLOTS = (1 << 16, 1 << 18, 1 << 20, 1 << 20, 1 << 20)
 DECISION_SLOTS = 1 << 12
 #: Slots of a table of code contexts: four for each training token, between these bounds. What a worker holds stays bounded.
 CODE_SLOTS = (1 << 14, 1 << 20)
+#: The most bits of a word's code that contexts predict; training tokens that one task learns from.
+MIXED, TASK_TOKENS = 10, 4_000_000
 #: Distinct words that one task counts the spelling of; the most frequent words that tell what a text is about to be like.
 SPELLED, ANCHORS = 500_000, 64
 #: Slots of one block in which tables are added up.
 BLOCK = 1 << 16
 #: Learning rate, bits after which weights are updated.
-RATE, STEP = 0.02, 1 << 14
+RATE, STEP = 0.02, 1 << 15
+#: Bits that a task holds before it counts them; bytes of texts worked on at a time, small enough for a processor's cache.
+HELD, PORTION = 1 << 22, 250_000
 #: Distinct spelled words a task keeps.
 CACHE = 200_000
 LIMIT, BIAS = 12.0, 0.3
@@ -61,8 +66,16 @@ def stretch_counts(ones: np.ndarray, zeros: np.ndarray, prior: float = 0.4) -> n
     return np.clip(np.log((ones + prior) / (zeros + prior)), -LIMIT, LIMIT).astype(np.float32)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of the texts, A to Z lower-cased; the number of each word of all texts among them; words of each text."""
+    # Taken as a copy: lower-casing a slice that has been cast reads past its offset.
+    whole = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    flat = lists.values
+    some = pc.binary_length(flat).to_numpy() > 0
+    before = np.concatenate(([0], np.cumsum(some)))
+    words = flat.filter(pa.array(some)).dictionary_encode()
+    return words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().astype(np.int64), np.diff(before[lists.offsets.to_numpy()])
 
 
 # Mixing
@@ -91,7 +104,7 @@ class Mixer:
         it is given."""
         packed = [t[s] for t, s in zip(self.tables, slots, strict=True)]
         if gate is None:
-            gate = (packed[-3] & 3) << 4 | (packed[-2] & 3) << 2 | packed[-1] & 3
+            gate = ((packed[-3] & 3) << 4 | (packed[-2] & 3) << 2 | packed[-1] & 3).astype(np.intp)
         x = [*fixed, *[(v >> 2) * np.float32(1 / FINE) for v in packed]]
         w = (self.weights if weights is None else weights).astype(np.float32).T.copy()
         z = w[-1][gate] * np.float32(BIAS)
@@ -139,30 +152,44 @@ class Learner:
     def __init__(self, sizes: tuple[int, ...], start: np.ndarray):
         self.counts = [np.zeros((2, n), dtype=np.float32) for n in sizes]
         self.mixer = Mixer(pack_tables(self.counts), start.astype(np.float64))
-        self.bits, self.map = 0, np.zeros((2, POINTS))
+        self.bits, self.map = 0, np.zeros((2, POINTS))  # ones and zeros at each point
+        self.held: list[tuple] = []
+        self.waiting = 0
 
     def learn(self, slots, bit: np.ndarray, weight: np.ndarray | None = None, fixed: tuple = (), gate: np.ndarray | None = None) -> None:
-        """Predict the bits with what is known, move the weights block by block, then count the bits."""
-        w = self.mixer.weights
+        """Predict the bits with what is known, move the weights block by block, then hold the bits to be counted."""
+        w, bit = self.mixer.weights, bit.astype(np.intp)
         for lo in range(0, len(bit), STEP):
             on = slice(lo, lo + STEP)
             z, x, g = self.mixer.mixed([s[on] for s in slots], None, tuple(f[on] for f in fixed), None if gate is None else gate[on])
             err = bit[on] - squash(z)
             rate = RATE / np.sqrt(np.maximum(np.bincount(g, minlength=len(w)), 1))
-            for j, v in enumerate([*x, BIAS]):
+            for j, v in enumerate(x):
                 w[:, j] += rate * np.bincount(g, weights=err * v, minlength=len(w))
-            at = np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) / (2 * LIMIT) * (POINTS - 1)).astype(int)
-            self.map[0] += np.bincount(at, weights=bit[on], minlength=POINTS)
-            self.map[1] += np.bincount(at, minlength=POINTS)
+            w[:, -1] += rate * BIAS * np.bincount(g, weights=err, minlength=len(w))
+            at = np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) * ((POINTS - 1) / (2 * LIMIT))).astype(np.intp)
+            self.map += np.bincount(at + POINTS * (1 - bit[on]), minlength=2 * POINTS).reshape(2, -1)
         self.bits += len(bit)
-        for t, s in zip(self.counts, slots, strict=True):
-            t += np.bincount(s.astype(np.int64) + bit.astype(np.int64) * t.shape[1], weights=weight, minlength=2 * t.shape[1]).reshape(2, -1)
+        self.held.append((slots, bit, weight))
+        self.waiting += len(bit)
+        if self.waiting > HELD:
+            self.count()
+
+    def count(self) -> None:
+        if self.held:
+            bit = np.concatenate([b for _, b, _ in self.held])
+            weight = None if self.held[0][2] is None else np.concatenate([w for _, _, w in self.held])
+            for k, t in enumerate(self.counts):
+                t += np.bincount(np.concatenate([s[k] for s, _, _ in self.held]) + bit * t.shape[1], weights=weight, minlength=2 * t.shape[1]).reshape(2, -1)
+        self.held, self.waiting = [], 0
 
     def refresh(self) -> None:
+        self.count()
         self.mixer.tables = pack_tables(self.counts)
 
     def rows(self, name: int) -> Iterator[tuple[int, int, int, bytes]]:
         """(part, v, b, sums) rows that add up over tasks: blocks of tables, weights times bits, map sums."""
+        self.count()
         for k, t in enumerate(self.counts):
             for v in (0, 1):
                 for b in range(0, t.shape[1], BLOCK):
@@ -198,9 +225,9 @@ def mixers_of(rows: DataFrame, made: dict[int, Learner]) -> dict[int, Mixer]:
             learner.bits = float(sums[0])
             if learner.bits:
                 learner.mixer.weights = (sums[1 : n + 1] / sums[0]).reshape(learner.mixer.weights.shape)
-                ones, seen = sums[n + 1 :].reshape(2, -1)
+                ones, zeros = sums[n + 1 :].reshape(2, -1)
                 grid = squash(np.linspace(-LIMIT, LIMIT, POINTS))
-                learner.mixer.refined = np.clip((ones + 20 * grid) / (seen + 20), 1e-6, 1 - 1e-6)
+                learner.mixer.refined = np.clip((ones + 20 * grid) / (ones + zeros + 20), 1e-6, 1 - 1e-6)
         else:
             learner.counts[r["part"] - name][r["v"], r["b"] : r["b"] + BLOCK] = sums
     for learner in made.values():
@@ -230,7 +257,7 @@ def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         context = context << np.uint64(8) | joined[at - 1 - k]
         mark = ((context + np.uint64(k)) * MIX >> np.uint64(32)).astype(np.uint32)
         slots[k] = (mark[:, None] ^ spread_) >> np.uint32(33 - int(size).bit_length())
-    return np.repeat(owner, 8), slots.reshape(len(ORDER_SLOTS), -1), bit.ravel()
+    return np.repeat(owner, 8), slots.reshape(len(ORDER_SLOTS), -1).astype(np.intp), bit.ravel()
 
 
 def spelling_learner() -> Learner:
@@ -244,7 +271,7 @@ def spelling_rows(counts: DataFrame, distinct: int) -> DataFrame:
     words = words.repartition(max(1, -(-distinct // SPELLED)), "token").sortWithinPartitions(F.xxhash64("token"), "token")
 
     def run(batches):
-        learner, since, most = spelling_learner(), 0, 500
+        learner, since, most = spelling_learner(), 0, 2000
         for batch in batches:
             tokens, weight = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             for lo in range(0, len(tokens), 2000):
@@ -275,36 +302,41 @@ class Vocabulary:
     node: np.ndarray
     bit: np.ndarray
     stretched: np.ndarray  # of each node: stretched share of its ones
-
-
-def huffman(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """begin, node, bit, stretched of a Vocabulary whose words have these counts."""
-    v = len(count)
-    if v < 2:
-        return np.zeros(v + 1, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.float32)
-    heap = [(c, i) for i, c in enumerate(count.tolist())]
-    heapq.heapify(heap)
-    parent, side, stretched = np.zeros(2 * v - 1, dtype=np.int64), np.zeros(2 * v - 1, dtype=np.uint8), np.zeros(v - 1, dtype=np.float32)
-    for k in range(v - 1):
-        a, i = heapq.heappop(heap)
-        b, j = heapq.heappop(heap)
-        parent[i] = parent[j] = v + k
-        side[j], stretched[k] = 1, np.log(max(b, 0.5) / max(a, 0.5))
-        heapq.heappush(heap, (a + b, v + k))
-    root, here, steps = 2 * v - 2, np.arange(v), []
-    depth = np.zeros(v, dtype=np.int64)
-    on = np.arange(v)
-    while len(on):
-        steps.append((on, parent[here[on]] - v, side[here[on]]))
-        here[on] = parent[here[on]]
+    rest: np.ndarray  # log10 of each word's share of the words that agree with it in all bits of the code
+
+
+def balanced_code(words: list[bytes], count: np.ndarray, most: int = MIXED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """begin, node, bit, stretched, rest of a Vocabulary: sorted words are cut where the counts on both sides are most
+    alike, and so are the parts, `most` times at the most. Shares of nodes and rest make up each word's share exactly."""
+    v = len(words)
+    order = np.array(sorted(range(v), key=words.__getitem__), dtype=np.int64)
+    total = np.concatenate(([0], np.cumsum(count[order]))).astype(np.float64)
+    lo, hi, depth = np.zeros(v, dtype=np.int64), np.full(v, v, dtype=np.int64), np.zeros(v, dtype=np.int64)
+    stretched, steps, on = np.zeros(max(0, v - 1), dtype=np.float32), [], np.arange(v)
+    for _ in range(most):
+        on = on[hi[on] - lo[on] > 1]
+        if not len(on):
+            break
+        a, b = lo[on], hi[on]
+        middle = (total[a] + total[b]) / 2
+        cut = np.searchsorted(total, middle)
+        cut -= (middle - total[cut - 1] < total[np.minimum(cut, v)] - middle) & (cut > 0)
+        cut = np.clip(cut, a + 1, b - 1)
+        one = on >= cut
+        stretched[cut - 1] = np.log((total[b] - total[cut]) / (total[cut] - total[a]))
+        steps.append((on, cut - 1, one))
+        lo[on], hi[on] = np.where(one, cut, a), np.where(one, b, cut)
         depth[on] += 1
-        on = on[here[on] != root]
-    begin = np.concatenate(([0], np.cumsum(depth)))
+    begin, rest = np.zeros(v + 1, dtype=np.int64), np.zeros(v)
+    sizes = np.zeros(v, dtype=np.int64)
+    sizes[order] = depth
+    np.cumsum(sizes, out=begin[1:])
+    rest[order] = np.log10(np.diff(total) / (total[hi] - total[lo]))
     node, bit = np.zeros(begin[-1], dtype=np.int32), np.zeros(begin[-1], dtype=np.uint8)
-    for k, (words, n, s) in enumerate(steps):
-        at = begin[words + 1] - 1 - k
-        node[at], bit[at] = n, s
-    return begin, node, bit, stretched
+    for k, (places, n, one) in enumerate(steps):
+        at = begin[order[places]] + k
+        node[at], bit[at] = n, one
+    return begin, node, bit, stretched, rest
 
 
 def last_followers(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -335,25 +367,28 @@ def last_followers(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
 class Portion:
     """Texts with numbered tokens. Words outside the vocabulary have numbers past it, of this portion only."""
 
-    tokens: list[list[bytes]]
     ids: np.ndarray
     doc: np.ndarray
+    sizes: np.ndarray
     rare: list[bytes]
     common: np.ndarray
     begin: np.ndarray  # place at which the token's text begins
 
 
-def numbered(texts: list[str | None], vocabulary: Vocabulary) -> Portion:
-    tokens = [tokens_of(t) for t in texts]
-    flat = [t for ts in tokens for t in ts]
-    known = vocabulary.number
-    rare: dict[bytes, int] = {}
-    ids = np.fromiter(map(known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
-    for i in np.flatnonzero(ids < 0).tolist():
-        ids[i] = len(known) + rare.setdefault(flat[i], len(rare))
-    sizes = np.array([len(t) for t in tokens])
+def numbered(texts: pa.Array, vocabulary: Vocabulary) -> Portion:
+    words, index, counts = split_words(texts)
+    known, v = vocabulary.number, len(vocabulary.number)
+    number = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+    new = np.flatnonzero(number < 0)
+    number[new] = v + np.arange(len(new))
+    rare = [words[i] for i in new.tolist()]
+    end = known.get(END, v + len(rare))
+    if end >= v:
+        rare.append(END)
+    ids = np.insert(number[index], np.cumsum(counts), end)
+    sizes = counts + 1
     begin = np.cumsum(sizes) - sizes
-    return Portion(tokens, ids, np.repeat(np.arange(len(tokens)), sizes), list(rare), ids < len(known), np.repeat(begin, sizes))
+    return Portion(ids, np.repeat(np.arange(len(sizes)), sizes), sizes, rare, ids < v, np.repeat(begin, sizes))
 
 
 def decisions(p: Portion, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -408,10 +443,11 @@ def code_bits(p: Portion, which: np.ndarray, vocabulary: Vocabulary, slots: int)
     begin = vocabulary.begin
     size = begin[p.ids[which] + 1] - begin[p.ids[which]]
     at = spread(begin[p.ids[which]], size)
+    owner = np.repeat(which, size)
     node, shift = vocabulary.node[at], np.uint32(33 - slots.bit_length())
     mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
-    out = [((np.repeat(c[which], size) ^ mark) * np.uint32(0x85EBCA6B)) >> shift for c in code_contexts(p, len(vocabulary.number))]
-    return np.repeat(which, size), vocabulary.bit[at], out, vocabulary.stretched[node]
+    out = [(((c[owner] ^ mark) * np.uint32(0x85EBCA6B)) >> shift).astype(np.intp) for c in code_contexts(p, len(vocabulary.number))]
+    return owner, vocabulary.bit[at], out, vocabulary.stretched[node]
 
 
 def decision_learner() -> Learner:
@@ -427,39 +463,39 @@ def code_slots(tokens: int) -> int:
     return min(CODE_SLOTS[1], max(CODE_SLOTS[0], 1 << (4 * tokens).bit_length()))
 
 
-def portions(texts: list[str | None], most: int = 2_000_000, least: int | None = None):
-    """Runs of whole texts, of `most` characters or one text; beginning with `least` and growing, if it is given."""
-    lo, size, limit = 0, 0, least or most
-    for i, t in enumerate(texts):
-        if size and size + len(t or "") > limit:
-            yield lo, i
-            lo, size, limit = i, 0, min(most, 2 * limit)
-        size += len(t or "")
-    if lo < len(texts):
-        yield lo, len(texts)
+def portions(texts: pa.Array, most: int = PORTION):
+    """Runs of whole texts, of `most` bytes or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
 
 
-def word_rows(train: DataFrame, vocabulary, slots: int) -> DataFrame:
+def word_rows(train: DataFrame, vocabulary, slots: int, tokens: int) -> DataFrame:
     """What tasks learn from train(text), all of it, for decisions (100) and codes (200)."""
 
     def run(batches):
-        decided, coded, least = decision_learner(), code_learner(slots), 50_000
+        decided, coded, since, most = decision_learner(), code_learner(slots), 0, 10_000
+        v = vocabulary.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in portions(texts, least=least):
-                p = numbered(texts[lo:hi], vocabulary.value)
-                _, bit, at, gate, open_ = decisions(p, len(vocabulary.value.number))
+            for lo, hi in portions(batch.column(0)):
+                p = numbered(batch.column(0).slice(lo, hi - lo), v)
+                _, bit, at, gate, open_ = decisions(p, len(v.number))
                 decided.learn(at, bit, gate=gate)
-                _, bit, at, st = code_bits(p, open_[p.common[open_]], vocabulary.value, slots)
+                _, bit, at, st = code_bits(p, open_[p.common[open_]], v, slots)
                 coded.learn(at, bit, fixed=(st,))
-                decided.refresh()
-                coded.refresh()
-            least = 2_000_000
+                since += len(p.ids)
+                if since >= most:
+                    decided.refresh()
+                    coded.refresh()
+                    since, most = 0, min(2 * most, 500_000)
         for name, learner in ((100, decided), (200, coded)):
             for row in learner.rows(name):
                 yield sum_batch([row])
 
-    return train.mapInArrow(tidy(run), ADDED)
+    return train.coalesce(max(1, -(-tokens // TASK_TOKENS))).mapInArrow(tidy(run), ADDED)
 
 
 # Corpus
@@ -470,10 +506,9 @@ def token_counts(train: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            total: Counter[bytes] = Counter()
-            for t in batch.column(0).to_pylist():
-                total.update(tokens_of(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["token", "c"])
+            words, index, counts = split_words(batch.column(0))
+            found = np.bincount(index, minlength=len(words))
+            yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(np.append(found, len(counts)), pa.int64())], ["token", "c"])
 
     return train.mapInArrow(tidy(run), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -493,7 +528,7 @@ def common_words(counts: DataFrame, most: int = COMMON) -> Vocabulary:
     least = int(c.min()) if len(c) else 1 << 62
     once, rare, upto = counts.select(F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") < least, F.col("c"))), F.sum(F.when(F.col("c") <= least, F.col("c")))).first()
     seen = ((upto or 0) - (once or 0) + 0.5) / ((upto or 0) + 1.0) if rare else 0.0
-    return Vocabulary({bytes(r["token"]): i for i, r in enumerate(words)}, c, (sum(s for _, s in sizes.values()), sum(n for n, _ in sizes.values())), (rare or 0, seen), *huffman(c))
+    return Vocabulary({bytes(r["token"]): i for i, r in enumerate(words)}, c, (sum(s for _, s in sizes.values()), sum(n for n, _ in sizes.values())), (rare or 0, seen), *balanced_code([bytes(r["token"]) for r in words], c))
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -515,7 +550,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
     slots = code_slots(total)
     speller = mixers_of(spelling_rows(counts, distinct), {0: spelling_learner()})[0]
     vocabulary = spark.sparkContext.broadcast(words)
-    made = mixers_of(word_rows(train, vocabulary, slots), {100: decision_learner(), 200: code_learner(slots)})
+    made = mixers_of(word_rows(train, vocabulary, slots, total), {100: decision_learner(), 200: code_learner(slots)})
     model = spark.sparkContext.broadcast((speller, made[100], made[200]))
 
     def run(batches):
@@ -523,39 +558,38 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
         v = vocabulary.value
         n = len(v.number)
         decider_logs, coder_logs = decider.logs(), coder.logs()
-        share = np.log10(v.count + 1.0)
+        share = np.log10(v.count + 1.0) if n else np.zeros(1)
         kept: dict[bytes, float] = {}
         for batch in batches:
-            ids_, every = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in portions(every):
-                part = every[lo:hi]
+            for lo, hi in portions(batch.column(1)):
+                part = batch.column(1).slice(lo, hi - lo)
+                m = hi - lo
                 p = numbered(part, v)
                 owner, bit, at, gate, open_ = decisions(p, n)
-                cost = np.bincount(p.doc[owner], weights=decider.price(decider_logs, at, bit, gate=gate), minlength=len(part))
-                owner, bit, at, st = code_bits(p, open_[p.common[open_]], v, slots)
-                cost += np.bincount(p.doc[owner], weights=coder.price(coder_logs, at, bit, (st,)), minlength=len(part))
+                cost = np.bincount(p.doc[owner], weights=decider.price(decider_logs, at, bit, gate=gate), minlength=m)
+                coded = open_[p.common[open_]]
+                owner, bit, at, st = code_bits(p, coded, v, slots)
+                cost += np.bincount(p.doc[owner], weights=coder.price(coder_logs, at, bit, (st,)), minlength=m)
+                cost += np.bincount(p.doc[coded], weights=v.rest[p.ids[coded]], minlength=m)
                 if len(kept) > CACHE:
                     kept.clear()
                 new = [w for w in p.rare if w not in kept]
                 # Spelled as a word that training has not seen; the join adds what a rarer training word's count gives.
                 kept.update(zip(new, (speller.cost(new) + np.log10(1 - v.tail[1])).tolist(), strict=True))
-                unknown = open_[~p.common[open_]]  # rare words that no guess has given
                 price = np.array([kept[w] for w in p.rare]) if p.rare else np.zeros(1)
-                cost += np.bincount(p.doc[unknown], weights=price[p.ids[unknown] - n], minlength=len(part))
-                common = np.flatnonzero(p.common)
-                base = np.bincount(p.doc[common], weights=share[p.ids[common]], minlength=len(part)) if n else np.zeros(len(part))
-                known = np.bincount(p.doc[common], minlength=len(part))
-                sizes = np.array([len(t) for t in p.tokens])
-                n_bytes = np.array([max(1, len((t or "").encode())) for t in part])
-                paid = np.zeros(len(p.ids), dtype=bool)
-                paid[unknown] = True
-                tail, spelled = [[] for _ in part], [[] for _ in part]
-                for i in np.flatnonzero(~p.common).tolist():
-                    word = p.rare[p.ids[i] - n]
-                    tail[p.doc[i]].append(word)
-                    spelled[p.doc[i]].append(kept[word] if paid[i] else None)
+                unknown = open_[~p.common[open_]]  # rare words that no guess has given
+                cost += np.bincount(p.doc[unknown], weights=price[p.ids[unknown] - n], minlength=m)
+                common, rare = np.flatnonzero(p.common), np.flatnonzero(~p.common)
+                base = np.bincount(p.doc[common], weights=share[p.ids[common]], minlength=m)
+                known = np.bincount(p.doc[common], minlength=m)
+                n_bytes = np.maximum(1, pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False))
+                free = np.ones(len(p.ids), dtype=bool)
+                free[unknown] = False
+                cuts = pa.array(np.concatenate(([0], np.cumsum(np.bincount(p.doc[rare], minlength=m)))).astype(np.int32))
+                tail = pa.ListArray.from_arrays(cuts, pa.array(p.rare, pa.binary()).take(pa.array(p.ids[rare] - n)))
+                spelled = pa.ListArray.from_arrays(cuts, pa.array(price[p.ids[rare] - n] if len(rare) else np.zeros(0), mask=free[rare]))
                 yield pa.RecordBatch.from_arrays(
-                    [ids_.slice(lo, len(part)), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(cost), pa.array(n_bytes, pa.int64()), pa.array(tail, pa.list_(pa.binary())), pa.array(spelled, pa.list_(pa.float64()))],
+                    [batch.column(0).slice(lo, m), pa.array(p.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(cost), pa.array(n_bytes, pa.int64()), tail, spelled],
                     ["doc_id", "n_tokens", "common", "base", "score", "n_bytes", "tail", "spelled"],
                 )
 
