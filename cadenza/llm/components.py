@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, temporary
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -28,13 +28,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     splits the joins of nodes with many neighbours. Each round is written to the shared folder, so lineage stays short.
     Stops when a round changes nothing, after a number of rounds that grows with the logarithm of the longest path.
     """
-    now = materialize(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1))).first()
-        if state == before or state[0] == 0:
-            break
-        before = state
-        now = materialize(_small(_large(now)), "edges")
+    now, before = edges.where("u <> v").select("u", "v").distinct(), None
+    with temporary(edges.sparkSession):
+        while True:
+            now = materialize(now, "edges")
+            state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1))).first()
+            if state == before or state[0] == 0:
+                break
+            before, now = state, _small(_large(now))
+        now = materialize(now, "components", outlive=True)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -49,8 +49,9 @@ SPELLED, ANCHORS = 500_000, 64
 BLOCK = 1 << 16
 #: Learning rate, bits after which weights are updated.
 RATE, STEP = 0.02, 1 << 15
-#: Bits that a task holds before it counts them; bytes of texts worked on at a time, small enough for a processor's cache.
-HELD, PORTION = 1 << 22, 250_000
+#: Bits that a task holds before it counts them; bytes of texts numbered at a time; tokens whose bits are made at a time,
+#: few enough for a processor's cache.
+HELD, PORTION, CODED = 1 << 22, 250_000, 20_000
 #: Distinct spelled words a task keeps.
 CACHE = 200_000
 LIMIT, BIAS = 12.0, 0.3
@@ -86,8 +87,14 @@ FINE, BUCKETS, POINTS = 64, 4096, 33
 
 
 def pack_tables(counts: list[np.ndarray]) -> list[np.ndarray]:
-    """Tables of a Mixer from counts (2 x slots) of zeros and ones."""
-    return [(np.rint(stretch_counts(t[1], t[0]) * FINE).astype(np.int16) << 2) | np.searchsorted([0.5, 3, 12], t.sum(0)).astype(np.int16) for t in counts]
+    """Tables of a Mixer from counts (2 x slots) of zeros and ones. The fuller a table, the more of a slot comes from
+    other contexts that share it: its average is taken for doubt, in the prior and in what counts as seen."""
+    out = []
+    for t in counts:
+        seen = t.sum(0)
+        doubt = float(seen.mean())
+        out.append((np.rint(stretch_counts(t[1], t[0], 0.4 + doubt / 2) * FINE).astype(np.int16) << 2) | np.searchsorted(np.array([0.5, 3, 12]) + doubt, seen).astype(np.int16))
+    return out
 
 
 @dataclass
@@ -131,13 +138,18 @@ class Mixer:
 
     def price(self, logs: np.ndarray, slots, bit: np.ndarray, fixed: tuple = (), gate: np.ndarray | None = None) -> np.ndarray:
         """log10 probability of each bit."""
-        return logs[self.bucket(self.mixed(slots, None, fixed, gate)[0]) + BUCKETS * bit.astype(np.int32)]
+        out = np.empty(len(bit))
+        for lo in range(0, len(bit), STEP):
+            on = slice(lo, lo + STEP)
+            z = self.mixed([s[on] for s in slots], None, tuple(f[on] for f in fixed), None if gate is None else gate[on])[0]
+            out[on] = logs[self.bucket(z) + BUCKETS * bit[on].astype(np.int32)]
+        return out
 
     def cost(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of the spelling of each word, its closing space included."""
         out, logs = np.zeros(len(words)), self.logs()
-        for lo in range(0, len(words), 2000):
-            part = words[lo : lo + 2000]
+        for lo in range(0, len(words), 500):
+            part = words[lo : lo + 500]
             owner, slots, bit = spelled_bits(part)
             out[lo : lo + len(part)] = np.bincount(owner, weights=self.price(logs, slots, bit), minlength=len(part))
         return out
@@ -153,6 +165,7 @@ class Learner:
         self.counts = [np.zeros((2, n), dtype=np.float32) for n in sizes]
         self.mixer = Mixer(pack_tables(self.counts), start.astype(np.float64))
         self.bits, self.map = 0, np.zeros((2, POINTS))  # ones and zeros at each point
+        self.path, self.length = np.zeros(start.shape), 0.0
         self.held: list[tuple] = []
         self.waiting = 0
 
@@ -169,7 +182,10 @@ class Learner:
             w[:, -1] += rate * BIAS * np.bincount(g, weights=err, minlength=len(w))
             at = np.rint((np.clip(z, -LIMIT, LIMIT) + LIMIT) * ((POINTS - 1) / (2 * LIMIT))).astype(np.intp)
             self.map += np.bincount(at + POINTS * (1 - bit[on]), minlength=2 * POINTS).reshape(2, -1)
-        self.bits += len(bit)
+            # Weights wander with each block; their average is kept, in which later blocks, which knew more, weigh more.
+            self.bits += len(g)
+            self.path += w * (len(g) * self.bits)
+            self.length += len(g) * self.bits
         self.held.append((slots, bit, weight))
         self.waiting += len(bit)
         if self.waiting > HELD:
@@ -194,7 +210,8 @@ class Learner:
             for v in (0, 1):
                 for b in range(0, t.shape[1], BLOCK):
                     yield name + k, v, b, t[v, b : b + BLOCK].tobytes()
-        more = np.concatenate(([self.bits], (self.mixer.weights * self.bits).ravel(), self.map.ravel()))
+        mean = self.path / self.length if self.length else self.mixer.weights
+        more = np.concatenate(([self.bits], (mean * self.bits).ravel(), self.map.ravel()))
         yield name + 99, 0, 0, more.astype(np.float32).tobytes()
 
 
@@ -438,16 +455,20 @@ def code_contexts(p: Portion, v: int) -> list[np.ndarray]:
     return [((c + np.uint64(1)) * m >> np.uint64(32)).astype(np.uint32) for c, m in ((anchor, k[0]), (one, k[1]), ((one * k[2]) ^ two, k[1]))]
 
 
-def code_bits(p: Portion, which: np.ndarray, vocabulary: Vocabulary, slots: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Bits of the codes of the tokens `which`, all common: owner, outcome, slots (3 x bit), stretched share of the node."""
-    begin = vocabulary.begin
-    size = begin[p.ids[which] + 1] - begin[p.ids[which]]
-    at = spread(begin[p.ids[which]], size)
-    owner = np.repeat(which, size)
-    node, shift = vocabulary.node[at], np.uint32(33 - slots.bit_length())
-    mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
-    out = [(((c[owner] ^ mark) * np.uint32(0x85EBCA6B)) >> shift).astype(np.intp) for c in code_contexts(p, len(vocabulary.number))]
-    return owner, vocabulary.bit[at], out, vocabulary.stretched[node]
+def code_bits(p: Portion, which: np.ndarray, vocabulary: Vocabulary, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Bits of the codes of the tokens `which`, all common, CODED tokens at a time: owner, outcome, slots (3 x bit),
+    stretched share of the node."""
+    begin, contexts = vocabulary.begin, code_contexts(p, len(vocabulary.number))
+    shift = np.uint32(33 - slots.bit_length())
+    for lo in range(0, len(which), CODED):
+        some = which[lo : lo + CODED]
+        size = begin[p.ids[some] + 1] - begin[p.ids[some]]
+        at = spread(begin[p.ids[some]], size)
+        owner = np.repeat(some, size)
+        node = vocabulary.node[at]
+        mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
+        out = [(((c[owner] ^ mark) * np.uint32(0x85EBCA6B)) >> shift).astype(np.intp) for c in contexts]
+        yield owner, vocabulary.bit[at], out, vocabulary.stretched[node]
 
 
 def decision_learner() -> Learner:
@@ -480,12 +501,13 @@ def word_rows(train: DataFrame, vocabulary, slots: int, tokens: int) -> DataFram
         decided, coded, since, most = decision_learner(), code_learner(slots), 0, 10_000
         v = vocabulary.value
         for batch in batches:
-            for lo, hi in portions(batch.column(0)):
+            # Tables are of use early: what a task sees first comes in small portions.
+            for lo, hi in portions(batch.column(0), min(PORTION, int(6 * most))):
                 p = numbered(batch.column(0).slice(lo, hi - lo), v)
                 _, bit, at, gate, open_ = decisions(p, len(v.number))
                 decided.learn(at, bit, gate=gate)
-                _, bit, at, st = code_bits(p, open_[p.common[open_]], v, slots)
-                coded.learn(at, bit, fixed=(st,))
+                for _, bit, at, st in code_bits(p, open_[p.common[open_]], v, slots):
+                    coded.learn(at, bit, fixed=(st,))
                 since += len(p.ids)
                 if since >= most:
                     decided.refresh()
@@ -568,8 +590,8 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
                 owner, bit, at, gate, open_ = decisions(p, n)
                 cost = np.bincount(p.doc[owner], weights=decider.price(decider_logs, at, bit, gate=gate), minlength=m)
                 coded = open_[p.common[open_]]
-                owner, bit, at, st = code_bits(p, coded, v, slots)
-                cost += np.bincount(p.doc[owner], weights=coder.price(coder_logs, at, bit, (st,)), minlength=m)
+                for owner, bit, at, st in code_bits(p, coded, v, slots):
+                    cost += np.bincount(p.doc[owner], weights=coder.price(coder_logs, at, bit, (st,)), minlength=m)
                 cost += np.bincount(p.doc[coded], weights=v.rest[p.ids[coded]], minlength=m)
                 if len(kept) > CACHE:
                     kept.clear()

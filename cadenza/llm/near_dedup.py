@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import materialize, temporary, tidy
 from .components import connected_components
 
 #: Minima per document, low bits of each kept in the signature, chance that a pair at the threshold shares no band.

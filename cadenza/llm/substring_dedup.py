@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import materialize, temporary, tidy
 
 #: The most starts of a phrase, bytes of the rolling hash, mean distance of triggers.
 WINDOW, GRAM, PERIOD = 256, 8, 160
@@ -441,8 +441,9 @@ def _removed(docs: DataFrame, length: int, text: str, doc_id: str, carried: list
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keep = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)], F.lit(0).alias("none"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("th"), body.alias("text"), keep.alias("carried"))
-    marks = repeated_starts(rows.select("doc_id", "th", "text"), length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    marks = materialize(marks, "marks")
+    with temporary(docs.sparkSession):
+        marks = repeated_starts(rows.select("doc_id", "th", "text"), length).groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+        marks = materialize(marks, "marks", outlive=True)
     some, none = _split_by_filter(rows, marks, "doc_id", "th")
     joined = some.alias("t").join(marks.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("t.th") == F.col("m.th")), "left").select("t.doc_id", "t.text", "m.runs", "t.carried")
     kinds = rows.schema["doc_id"].dataType.simpleString(), rows.schema["carried"].dataType.simpleString()

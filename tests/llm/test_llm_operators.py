@@ -561,3 +561,97 @@ def test_pipeline(spark):
     assert set(cut) == set(near) and all(len(cut[i].encode()) - (want[i][0] - want[i][1]) in range(0, 7 * max(1, want[i][2])) for i in cut)
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in pieces} == set(cut)
+
+
+# Model of whole words and shared tables
+
+
+def test_words_agree_with_bytes_split():
+    """Arrow's words are those of bytes, also of slices of a longer column."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [None, "", " a\tB\x0bC\x0c\r\n", "É É x \x1c y"] + ["".join(rng.choice("abC é\t\n ") for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    column = pa.array(["front"] * 7 + texts + ["back"] * 3).slice(7, len(texts))
+    words, index, counts = lm_score.split_words(column)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    got = [[words[k] for k in index[a:b]] for a, b in zip(at, at[1:])]
+    assert got == [(t or "").encode().lower().split() for t in texts]
+
+
+def test_balanced_code_makes_up_the_share():
+    """Shares of the nodes on a word's way and what they leave multiply to its share, whatever the number of bits."""
+    rng = random.Random(4)
+    words = sorted({words_of(rng, 2).encode() for _ in range(300)}, key=lambda w: hashlib.md5(w).digest())
+    count = np.array([rng.randint(1, 1000) for _ in words])
+    for most in (0, 3, 8, 40):
+        begin, node, bit, stretched, rest = lm_score.balanced_code(words, count, most)
+        total = rest.copy()
+        for w in range(len(words)):
+            p = 1 / (1 + np.exp(-stretched[node[begin[w] : begin[w + 1]]].astype(float)))
+            total[w] += np.log10(np.where(bit[begin[w] : begin[w + 1]] == 1, p, 1 - p)).sum()
+        assert np.allclose(total, np.log10(count / count.sum()), atol=1e-5) and np.diff(begin).max(initial=0) <= most
+    assert len(lm_score.balanced_code([], np.zeros(0, dtype=int))[0]) == 1 and lm_score.balanced_code([b"a"], np.array([3]))[4].tolist() == [0.0]
+
+
+def words_of(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+def test_lm_knows_what_it_has_learned(spark):
+    """A held-out copy of a training text scores above a held-out text of the same words in other order, and whole held-out
+    documents of the test tables above the unigram score where most words are known."""
+    rng = random.Random(12)
+    vocabulary = [words_of(rng, 1) for _ in range(200)]
+    text = lambda: " ".join(rng.choice(vocabulary) for _ in range(120))
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, text()) for i in range(500) if i not in held]
+    copy, mixed = rows[0][1], rows[0][1].split()
+    rng.shuffle(mixed)
+    got = by_id(lm_score.score_texts(frame(spark, [*rows, (held[0], copy), (held[1], " ".join(mixed))])))
+    assert got[held[0]].score > got[held[1]].score + 5, (got[held[0]].score, got[held[1]].score)
+
+
+def test_temporary_tables_are_deleted(spark):
+    import os
+
+    from cadenza.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with common.temporary(spark):
+        common.materialize(spark.range(3), "gone")
+        kept = common.materialize(spark.range(5), "kept", outlive=True)
+    assert kept.count() == 5 and {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"kept"}
+    with common.temporary(spark), common.temporary(spark):
+        common.materialize(spark.range(2), "kept2", outlive=True)
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} == {"kept"}
+
+
+def test_shared_folder_must_be_named_on_several_machines(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from cadenza.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session)
+
+
+def test_workers_keep_nothing_between_tasks():
+    """A task's caches are empty and its memory given back when it ends, also when it fails."""
+    from cadenza.llm.common import tidy
+
+    kept = {"a": 1}
+
+    def run(batches):
+        yield from batches
+        raise KeyError("task fails")
+
+    with pytest.raises(KeyError):
+        list(tidy(run, kept.clear)([1, 2]))
+    assert not kept
+    near_dedup.shingles("some words here", 2)
+    assert near_dedup.HASHES
+    near_dedup.forget()
+    assert not near_dedup.HASHES
