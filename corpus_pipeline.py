@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
-from cadenza.llm.common import materialize, table
+from cadenza.llm.common import materialize, table, temporary
 from cadenza.llm.queries import vocabulary
 
 #: Bytes of a passage that counts as repeated: fewer than fifty words of any of the corpus's languages take.
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialize(docs, name)
+            with temporary(spark):
+                docs = materialize(stage(spark, docs, sf_dir), name, outlive=True)
+        else:
+            docs = stage(spark, docs, sf_dir)
     return docs
