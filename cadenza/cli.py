@@ -9,10 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import agreement, audit, cohort, inference, intervals, joins, measure, sensitivity
+from .operators import agreement, audit, cohort, contracts, inference, intervals, joins, measure, ranks, robust, sensitivity, summaries
 from .plans import QUERIES
 from .session import build_session
-from .sources import readers, release
+from .sources import project, readers, release
 
 
 def _rules(spec: list[dict]) -> list[audit.Rule]:
@@ -44,12 +44,75 @@ def run_freeze(spark: SparkSession, a) -> dict[str, DataFrame]:
     return {"cohort": audit.gates(df, a.key, ledger), "issues": ledger}
 
 
+def run_freeze_template(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """The sheet of subjects whose group a person has to decide."""
+    df = project.read_any(spark, a.table)
+    return {"adjudication": audit.adjudication_template(df, a.subject, a.reported, a.confirmed, a.suffix)}
+
+
 def run_segment(spark: SparkSession, a) -> dict[str, DataFrame]:
     rows = readers.read_table(spark, a.intervals)
     views = intervals.segmentation_views(rows.select("rec", "start", "end"), ["rec"], a.bridge, a.least, a.speech_edge, a.pause_edge)
     return {"intervals": views, "pauses": intervals.pause_boundaries(views.where("view = 'primary_speech'"), ["rec"])}
 
 
+def run_segment_template(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """Summaries of a segmentation, their triage, and the review sheet with decisions open where something was flagged."""
+    views, durations, frames = (readers.read_table(spark, t) for t in (a.intervals, a.durations, a.frames))
+    primary = views.where("view = 'primary_speech'").select("rec", "start", "end")
+    judged = summaries.reading_triage(summaries.segmentation_summary(primary, durations, frames, ["rec"]))
+    sheet = cohort.adjudication_sheet(judged, "rec", {"excluded": F.col("qc_status") == "excluded", "flagged": F.col("qc_status") == "flagged"})
+    return {"summary": judged, "flags": summaries.flag_counts(judged, "qc_flags"), "sheet": sheet}
+
+
+def run_reviewed_release(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """One table of all families' features from FAMILY=TABLE arguments; features are columns with a status beside them."""
+    families = {name: readers.read_table(spark, path) for name, path in (f.split("=", 1) for f in a.families)}
+    features = {n: [c for c in df.columns if f"{c}_status" in df.columns] for n, df in families.items()}
+    rows = [{"feature": f, "family": n} for n, fs in features.items() for f in fs]
+    return {"release": release.build_release(families, a.key, features), "registry": release.registry(spark, rows)}
+
+
+def run_assemble(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """Metadata, segmentation and released features in one row a recording, with the sets they agree on."""
+    meta, seg, features = (readers.read_table(spark, t) for t in (a.metadata, a.segmentation, a.features))
+    return {"dataset": cohort.assembled(meta, seg, features, a.key), "coverage": contracts.set_difference(meta, features, [a.key])}
+
+
+def run_sensitivity(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """Features of a primary table and of a variant over the recordings of either, feature by feature."""
+    long = lambda t, n: inference.long_features(readers.read_table(spark, t), [a.key], a.features).withColumnRenamed("value", n)
+    both = long(a.primary, "primary").join(long(a.variant, "variant"), [a.key, "feature"], "full_outer")
+    return {"sensitivity": sensitivity.compare_variants(both, ["feature"], "primary", "variant"), "correlation": ranks.spearman(both, ["feature"], "primary", "variant", 10)}
+
+
+def run_encoding_sensitivity(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """The same features of two encodings of a recording, which never count as two recordings."""
+    df = readers.read_table(spark, a.table)
+    pick = lambda e, n: inference.long_features(df.where(F.col(a.encoding) == e), [a.key], a.features).withColumnRenamed("value", n)
+    both = joins.checked_join(pick(a.first, "first"), pick(a.second, "second"), [a.key, "feature"], "inner", "one_to_one")
+    return {"pairs": both, "sensitivity": sensitivity.compare_variants(both, ["feature"], "first", "second")}
+
+
+def run_rest_reference(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """Level, spread, transients and spectrum of recordings at rest, half a second at both ends left out where there is room."""
+    rec = readers.mono(readers.recordings(spark, a.folder))
+    whole = rec.select("rec", F.lit(0).alias("idx"), (F.size("samples") / F.col("fs")).alias("__d"))
+    spans = whole.select("rec", "idx", F.when(F.col("__d") >= 2, 0.5).otherwise(0.0).alias("start"), F.when(F.col("__d") >= 2, F.col("__d") - 0.5).otherwise(F.col("__d")).alias("end"))
+    return {"rest": measure.rest_reference(measure.frame_ledger(rec, spans), measure.spectral_windows(rec, spans, 250.0, 125.0, 20.0, 1000.0), spans)}
+
+
+def run_broad(spark: SparkSession, a) -> dict[str, DataFrame]:
+    """Yes/no metadata columns as labels against family scores, and the raters' design."""
+    df, scores = project.read_any(spark, a.table), readers.read_table(spark, a.scores)
+    labels = audit.broad_labels(df, a.key, {c: c.startswith("without_") for c in a.columns})
+    long = labels.where("present IS NOT NULL").select(a.key, F.col("label").alias("human"), F.col("present").cast("int").alias("label"))
+    out = {"labels": labels, "alignment": robust.family_alignment(scores, long, a.key, a.subject)}
+    if a.rater:
+        out["design"] = audit.one_rater_each(df, a.key, a.rater, a.expected)
+    return out
+
+
 def run_adjudicate(spark: SparkSession, a) -> dict[str, DataFrame]:
     return {"decided": cohort.apply_adjudication(readers.read_table(spark, a.summary), readers.read_sheet(spark, a.sheet, [a.key, "decision"]), a.key)}
 
@@ -113,6 +176,14 @@ def parser() -> argparse.ArgumentParser:
     command("audit", run_audit, ("--table", need), ("--key", need), ("--rules", need))
     command("inventory", run_inventory, ("--folder", need), ("--metadata", {}), ("--column", {"default": "file_name"}))
     command("freeze", run_freeze, ("--table", need), ("--key", need), ("--order", many), ("--rules", need), ("--dispositions", {"default": "{}"}))
+    command("freeze-template", run_freeze_template, ("--table", need), ("--subject", need), ("--reported", need), ("--confirmed", {"nargs": "*", "default": []}), ("--suffix", {"default": r".*-\d+"}))
+    command("segment-template", run_segment_template, ("--intervals", need), ("--durations", need), ("--frames", need))
+    command("reviewed-release", run_reviewed_release, ("--families", many), ("--key", {"default": "rec"}))
+    command("assemble", run_assemble, ("--metadata", need), ("--segmentation", need), ("--features", need), ("--key", {"default": "rec"}))
+    command("sensitivity", run_sensitivity, ("--primary", need), ("--variant", need), ("--key", {"default": "rec"}), ("--features", many))
+    command("encoding-sensitivity", run_encoding_sensitivity, ("--table", need), ("--key", {"default": "rec"}), ("--encoding", {"default": "suffix"}), ("--first", {"default": "wav"}), ("--second", {"default": "webm"}), ("--features", many))
+    command("rest-reference", run_rest_reference, ("--folder", need))
+    command("broad-qc", run_broad, ("--table", need), ("--scores", need), ("--key", need), ("--subject", need), ("--columns", many), ("--rater", {}), ("--expected", {"nargs": "*", "default": []}))
     command("segment", run_segment, ("--intervals", need), *((f"--{n}", {"type": float, "default": d}) for n, d in (("bridge", 0.2), ("least", 0.1), ("speech_edge", 0.05), ("pause_edge", 0.1))))
     command("adjudicate", run_adjudicate, ("--summary", need), ("--sheet", need), ("--key", {"default": "rec"}))
     command("extract", run_extract, ("--folder", need), ("--intervals", need))

@@ -63,9 +63,11 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def static_conflicts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """key, column, distinct non-null values, where a column that should be constant within the key is not."""
-    counts = df.groupBy(*keys).agg(*[F.countDistinct(c).alias(c) for c in columns])
-    return counts.unpivot(keys, columns, "column", "distinct_values").where("distinct_values > 1")
+    """key, column, distinct non-null values, where a column that should be constant within the key is not. Cells are
+    unpivoted once and each distinct value is one row before it is counted."""
+    cells = df.select(*keys, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(keys, columns, "column", "value")
+    distinct = cells.where("value IS NOT NULL").groupBy(*keys, "column", "value").agg(F.lit(1).alias("one"))
+    return distinct.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("distinct_values")).where("distinct_values > 1")
 
 
 def spread_conflicts(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
@@ -74,12 +76,17 @@ def spread_conflicts(df: DataFrame, keys: list[str], value: str, tolerance: floa
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: rows, nulls, distinct values, share that is numeric, smallest and largest as text."""
+    """Per column: rows, nulls, distinct values, share that is numeric, smallest and largest as text. Plain figures come
+    from one scan; values are unpivoted and counted once for the distinct ones."""
     parts = []
     for c in columns:
         x = F.col(c)
-        parts.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(x.isNull()).alias("nulls"), F.countDistinct(x).alias("distinct_values"), F.avg(F.when(x.isNotNull(), x.cast("string").try_cast("double").isNotNull().cast("double"))).alias("numeric_fraction"), F.min(x).cast("string").alias("smallest"), F.max(x).cast("string").alias("largest")))
-    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("x")).select("x.*")
+        parts.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(x.isNull()).alias("nulls"), F.avg(F.when(x.isNotNull(), x.cast("string").try_cast("double").isNotNull().cast("double"))).alias("numeric_fraction"), F.min(x).cast("string").alias("smallest"), F.max(x).cast("string").alias("largest")))
+    plain = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("x")).select("x.*")
+    cells = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value").where("value IS NOT NULL")
+    distinct = cells.groupBy("column", "value").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"))
+    out = plain.join(distinct, "column", "left").fillna(0, ["distinct_values"])
+    return out.select("column", "rows", "nulls", "distinct_values", "numeric_fraction", "smallest", "largest")
 
 
 def canonical(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

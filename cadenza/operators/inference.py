@@ -63,7 +63,7 @@ def matched_specificity(effects: DataFrame, human: str, objective: str, effect:
 
 def rank_normal(df: DataFrame, keys: list[str], value: str, name: str = "score") -> DataFrame:
     """Normal quantile of (average rank - 1/2) / n within keys; NULL values are left out."""
-    rows = df.where(F.col(value).isNotNull()).withColumns({"__r": ranks.average_rank(value, keys), "__n": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    rows = ranks.with_rank(df, keys, value, "__r", "__n")
     return rows.withColumn(name, norm_ppf((F.col("__r") - 0.5) / F.col("__n"))).drop("__r", "__n")
 
 
@@ -107,10 +107,13 @@ def persistence(df: DataFrame, cluster: str, features: list[str], least_clusters
 def extremes(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
     """The k lowest and highest recordings of each feature, ties by key."""
     cells = long_features(df, [key], features).where("value IS NOT NULL")
-    w = Window.partitionBy("feature")
-    both = cells.withColumns({"__lo": F.row_number().over(w.orderBy("value", key)), "__hi": F.row_number().over(w.orderBy(F.desc("value"), key))})
-    low = both.where(F.col("__lo") <= k).select("feature", key, "value", F.lit("low").alias("side"), F.col("__lo").alias("place"))
-    return low.unionByName(both.where(F.col("__hi") <= k).select("feature", key, "value", F.lit("high").alias("side"), F.col("__hi").alias("place")))
+
+    def first(side: str, *order: Column | str) -> DataFrame:
+        # One window alone lets each task keep its k best before the shuffle.
+        placed = cells.withColumn("place", F.row_number().over(Window.partitionBy("feature").orderBy(*order))).where(F.col("place") <= k)
+        return placed.select("feature", key, "value", F.lit(side).alias("side"), "place")
+
+    return first("low", "value", key).unionByName(first("high", F.desc("value"), key))
 
 
 def gallery(df: DataFrame, key: str, features: list[str], strata: list[str], most: int, k: int = 2) -> DataFrame:

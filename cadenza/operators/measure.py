@@ -285,6 +285,22 @@ def additive_features(pauses: DataFrame, speech: DataFrame, spectral: DataFrame,
     return rows.drop("__speech", "__h50", "__h60")
 
 
+def rest_reference(frames: DataFrame, windows: DataFrame, spans: DataFrame, least_sec: float = 1.0, least_frames: int = 20) -> DataFrame:
+    """Per recording at rest, from its frame and spectral ledgers over spans(rec, start, end): seconds, level, IQR,
+    transients a minute (runs of frames 12 dB or six scaled deviations above the median), flatness, the stronger hum and
+    status. Context of a session, not a calibrated floor."""
+    support = spans.groupBy("rec").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
+    spread = ranks.robust_spread(frames, ["rec"], "level").select("rec", F.col("n").alias("frames"), F.col("median").alias("level_raw"), F.col("iqr").alias("iqr_raw"), "mad")
+    loud = frames.join(spread.select("rec", (F.col("level_raw") + F.greatest(F.lit(12.0), 6 * F.col("mad"))).alias("__limit")), "rec")
+    found = runs.runs(loud, ["rec"], ["idx", "frame"], F.col("level") >= F.col("__limit")).groupBy("rec").agg(F.count(F.lit(1)).alias("__t"))
+    seen = windows.groupBy("rec").agg(F.percentile("flatness", 0.5).alias("__f"), F.percentile("hum50", 0.5).alias("__h50"), F.percentile("hum60", 0.5).alias("__h60"))
+    rows = support.join(spread, "rec", "left").join(found, "rec", "left").join(seen, "rec", "left").fillna(0, ["__t"])
+    raw = {"level": F.col("level_raw"), "iqr": F.col("iqr_raw"), "transients_per_min": F.col("__t") / F.col("seconds") * 60, "flatness": F.col("__f"), "hum": F.greatest("__h50", "__h60")}
+    why = {"insufficient_support": (F.col("seconds") < least_sec) | (F.coalesce("frames", F.lit(0)) < least_frames)}
+    _, status = gated(F.lit(1), why)
+    return rows.select("rec", "seconds", *[gated(v, why)[0].alias(n) for n, v in raw.items()], status.alias("status"))
+
+
 def hum_excess(recordings: DataFrame, calibration: DataFrame) -> DataFrame:
     """recordings(rec, hum, windows) with the null threshold of the largest calibrated window count not above their own
     (the smallest if none is) and the excess over it; calibration(windows, p95) is a table of a few counts."""

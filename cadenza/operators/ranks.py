@@ -1,48 +1,82 @@
 """Rank statistics: average ranks, percentiles, AUC, average precision, Spearman, Cliff's delta, Theil-Sen, robust spread.
 
-Windows are partitioned by the caller's keys; a rank over a whole feature needs its rows in order, which a window without
-keys would put in one task. Such callers pass a constant key knowingly, at participant grain.
+A rank is not taken from one window over all rows of a key: values are counted first, each count falls in a bin of its
+value, and a rank is what the bins below hold, what the bin holds below, and half of the ties. So a feature of any number
+of rows is ranked by as many tasks as there are, and a value that many rows share is one row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bins of each octave of values.
+PARTS = 4096
+
+
+def value_bin(x: Column) -> Column:
+    """A number that never falls as x rises: PARTS bins for each doubling, negative below zero; NaN is above all."""
+    size = F.abs(x)
+    octave = F.floor(F.log2(size))
+    place = (octave + 1100) * PARTS + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * PARTS)
+    return F.when(F.isnan(x), 1 << 40).when(x == 0, 0).when(size == float("inf"), F.signum(x).cast("long") * (1 << 39)).otherwise(F.signum(x).cast("long") * place.cast("long"))
+
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank from 1 with ties averaged; NULL values must be filtered before."""
+def same_keys(a: str, b: str, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+
+
+def with_rank(df: DataFrame, keys: list[str], value: str, name: str, total: str | None = None, kind: str = "average") -> DataFrame:
+    """Rows with a value, its rank from 1 on within the keys, and, if asked, the rows of the key. Ties share the average of
+    their places, or with kind "last" the last of them."""
+    rows = df.where(F.col(value).isNotNull())
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__b", value_bin(F.col(value).cast("double")))
+    inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__in", F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+    bins = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__s"))
     w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)
+    bins = bins.withColumns({"__below": F.coalesce(F.sum("__s").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__n": F.sum("__s").over(w)})
+    before = F.col("__in") + F.col("__below")
+    rank = before + (F.col("__c") + 1) / F.lit(2.0) if kind == "average" else before + F.col("__c")
+    placed = counts.alias("c").join(bins.alias("b"), same_keys("c", "b", [*keys, "__b"])).select(*[F.col(f"c.{k}") for k in keys], F.col(f"c.{value}"), rank.alias(name), *([F.col("__n").alias(total)] if total else []))
+    both = rows.alias("r").join(placed.alias("p"), same_keys("r", "p", [*keys, value]))
+    return both.select("r.*", f"p.{name}", *([f"p.{total}"] if total else []))
 
 
 def percent_score(df: DataFrame, keys: list[str], value: str, name: str = "score") -> DataFrame:
     """(rank - 1) / (n - 1), 0.5 for a single value, NULL for NULL."""
-    ranked = df.where(F.col(value).isNotNull()).withColumn("__r", average_rank(value, keys)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    ranked = with_rank(df, keys, value, "__r", "__n")
     ranked = ranked.withColumn(name, F.when(F.col("__n") == 1, 0.5).otherwise((F.col("__r") - 1) / (F.col("__n") - 1))).drop("__r", "__n")
     return ranked.unionByName(df.where(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Mann-Whitney AUC of label 1 over label 0 for each key, ties half; NULL unless both labels occur."""
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).withColumn("__r", average_rank(score, keys))
+    rows = with_rank(df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)), keys, score, "__r")
     out = rows.groupBy(*keys).agg(F.count_if(F.col(label) == 1).alias("n_pos"), F.count_if(F.col(label) == 0).alias("n_neg"), F.sum(F.when(F.col(label) == 1, F.col("__r"))).alias("__s"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return out.withColumn("auc", F.when(ok, (F.col("__s") - F.col("n_pos") * (F.col("n_pos") + 1) / F.lit(2.0)) / (F.col("n_pos") * F.col("n_neg")))).drop("__s")
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str, tie: str) -> DataFrame:
-    """Mean precision at each positive by falling score, ties in order of `tie`; NULL without positives."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    rows = rows.withColumn("__p", F.sum(F.col(label).cast("double")).over(w) / F.count(F.lit(1)).over(w))
-    return rows.groupBy(*keys).agg(F.avg(F.when(F.col(label) == 1, F.col("__p"))).alias("average_precision"))
+    """Mean precision at each positive by falling score, ties in order of `tie`; NULL without positives. Rows of one bin of
+    scores are put in order together, bins are added up."""
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumns({"__b": value_bin(F.col(score).cast("double")), "__y": F.col(label).cast("double")})
+    inside = Window.partitionBy(*keys, "__b").orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__k": F.count(F.lit(1)).over(inside), "__p": F.sum("__y").over(inside)})
+    bins = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__bn"), F.sum("__y").alias("__bp"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumns({"__an": F.coalesce(F.sum("__bn").over(above), F.lit(0)), "__ap": F.coalesce(F.sum("__bp").over(above), F.lit(0.0))})
+    both = rows.alias("r").join(bins.alias("b"), same_keys("r", "b", [*keys, "__b"])).select("r.*", "b.__an", "b.__ap")
+    return both.groupBy(*keys).agg(F.avg(F.when(F.col(label) == 1, (F.col("__p") + F.col("__ap")) / (F.col("__k") + F.col("__an")))).alias("average_precision"))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """Correlation of average ranks over complete pairs; NULL below `least` pairs or where a side is constant."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = rows.withColumns({"__x": average_rank(x, keys), "__y": average_rank(y, keys)})
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    rows = with_rank(with_rank(rows, keys, x, "__x"), keys, y, "__y")
     out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("__rho"), F.min("__x").alias("__x0"), F.max("__x").alias("__x1"), F.min("__y").alias("__y0"), F.max("__y").alias("__y1"))
     ok = (F.col("n") >= least) & (F.col("__x0") < F.col("__x1")) & (F.col("__y0") < F.col("__y1"))
     return out.select(*keys, "n", F.when(ok, F.col("__rho")).alias("rho"))
@@ -84,10 +118,13 @@ def robust_outliers(df: DataFrame, keys: list[str], value: str, limit: float) ->
 
 
 def false_discovery(df: DataFrame, keys: list[str], p: str) -> DataFrame:
-    """Benjamini-Hochberg q values within each key; NULL p stays NULL and does not count."""
-    given = df.where(F.col(p).isNotNull())
-    w = Window.partitionBy(*keys)
-    rows = given.withColumns({"__k": F.rank().over(w.orderBy(p)) + F.count(F.lit(1)).over(Window.partitionBy(*keys, p)) - 1, "__n": F.count(F.lit(1)).over(w)})
-    rows = rows.withColumn("__q", F.col(p) * F.col("__n") / F.col("__k"))
-    rows = rows.withColumn("q", F.least(F.lit(1.0), F.min("__q").over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)))).drop("__k", "__n", "__q")
-    return rows.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+    """Benjamini-Hochberg q values within each key; NULL p stays NULL and does not count. The least ratio at or above a
+    value is taken bin by bin."""
+    rows = with_rank(df, keys, p, "__k", "__n", "last").withColumns({"__q": F.col(p) * F.col("__n") / F.col("__k"), "__b": value_bin(F.col(p).cast("double"))})
+    inside = Window.partitionBy(*keys, "__b").orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__here", F.min("__q").over(inside))
+    bins = rows.groupBy(*keys, "__b").agg(F.min("__q").alias("__m"))
+    bins = bins.withColumn("__above", F.min("__m").over(Window.partitionBy(*keys).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)))
+    both = rows.alias("r").join(bins.alias("b"), same_keys("r", "b", [*keys, "__b"])).select("r.*", "b.__above")
+    both = both.withColumn("q", F.least(F.lit(1.0), "__here", "__above")).drop("__k", "__n", "__q", "__b", "__here", "__above")
+    return both.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))

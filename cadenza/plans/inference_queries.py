@@ -115,6 +115,9 @@ ORACLES = {
     "matched_specificity": f"""WITH {FRAMES}, e AS (SELECT kind, CASE id % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'error' END AS other, avg(level) AS effect FROM fr GROUP BY 1, 2)
         SELECT round(avg(effect) FILTER (WHERE kind = other), 6) AS matched, round(avg(effect) FILTER (WHERE kind <> other), 6) AS unmatched, round(avg(effect) FILTER (WHERE kind = other) - avg(effect) FILTER (WHERE kind <> other), 6) AS specificity FROM e""",
     "extreme_recordings": _LONG + ", k AS (SELECT f AS feature, id, row_number() OVER (PARTITION BY f ORDER BY v, id) AS lo, row_number() OVER (PARTITION BY f ORDER BY v DESC, id) AS hi FROM lg WHERE v IS NOT NULL) SELECT feature, id, 'low' AS side, lo AS place FROM k WHERE lo <= 3 UNION ALL SELECT feature, id, 'high', hi FROM k WHERE hi <= 3",
+    "gallery": f"""{_LONG}, k AS (SELECT f, id, row_number() OVER (PARTITION BY f ORDER BY v, id) AS lo, row_number() OVER (PARTITION BY f ORDER BY v DESC, id) AS hi FROM lg WHERE v IS NOT NULL), en AS (SELECT id, f || '_low' AS reason, lo AS turn FROM k WHERE lo <= 2 UNION ALL SELECT id, f || '_high', hi FROM k WHERE hi <= 2),
+        al AS (SELECT id, 0 AS cl, turn, reason FROM en UNION ALL SELECT id, 1, row_number() OVER (PARTITION BY grp ORDER BY sha256('20260713|' || id), id), 'stratum_' || grp FROM rp), g AS (SELECT id, min(cl * 1000000000 + turn) AS o, string_agg(DISTINCT reason, '|' ORDER BY reason) FILTER (WHERE cl = 0) AS ends, min(reason) FILTER (WHERE cl = 1) AS st FROM al GROUP BY 1)
+        SELECT id, CASE WHEN o < 1000000000 THEN ends ELSE st END AS reason FROM g ORDER BY o, sha256('20260713|' || id), id LIMIT 40""",
     "blind_review": f"""WITH {LABELLED}, r AS (SELECT CASE WHEN quality = 1 THEN 'clean' WHEN toxic = 1 THEN 'rude' ELSE 'noise' END AS a, CASE WHEN score > 800 THEN 'clean' WHEN toxic = 1 THEN 'rude' ELSE 'noise' END AS b FROM lb),
         s AS (SELECT count(*) AS items, count(*) FILTER (WHERE a <> b) AS to_adjudicate, avg((a = b)::INT) AS ex, avg(((a <> 'clean') = (b <> 'clean'))::INT) AS bi, avg((a <> 'clean')::INT) AS ma, avg((b <> 'clean')::INT) AS mb FROM r)
         SELECT items, to_adjudicate, round(ex, 6) AS exact, round(bi, 6) AS binary, round((bi - (ma * mb + (1 - ma) * (1 - mb))) / (1 - (ma * mb + (1 - ma) * (1 - mb))), 6) AS kappa FROM s""",

@@ -211,6 +211,10 @@ ORACLES = {
         SELECT rec, cluster, count(*) AS n, min(level) AS low, max(level) AS high FROM c GROUP BY 1, 2""",
     "segment_roles": _FLAG_RUNS + """, b AS (SELECT rec, CASE WHEN level > 100 THEN 'speech' WHEN i = 0 THEN 'leading' WHEN i = count(*) OVER (PARTITION BY rec) - 1 THEN 'trailing' ELSE 'internal' END AS role FROM a)
         SELECT rec, role, count(*) AS n FROM b GROUP BY 1, 2""",
+    "refractory_events": f"""WITH RECURSIVE {FRAMES}, r AS (SELECT rec, t, level AS score, row_number() OVER (PARTITION BY rec ORDER BY t, level) AS k FROM fr),
+        p AS (SELECT rec, k, t, score, CAST([] AS STRUCT(t BIGINT, score DOUBLE)[]) AS done FROM r WHERE k = 1
+              UNION ALL SELECT p.rec, r.k, CASE WHEN r.t - p.t <= {24 * HOUR} AND r.score <= p.score THEN p.t ELSE r.t END, CASE WHEN r.t - p.t <= {24 * HOUR} AND r.score <= p.score THEN p.score ELSE r.score END, CASE WHEN r.t - p.t <= {24 * HOUR} THEN done ELSE list_append(done, struct_pack(t := p.t, score := p.score)) END FROM p JOIN r ON p.rec = r.rec AND r.k = p.k + 1),
+        e AS (SELECT rec, arg_max(list_append(done, struct_pack(t := t, score := score)), k) AS l FROM p GROUP BY rec), u AS (SELECT rec, unnest(l) AS x FROM e) SELECT rec, x.t AS t, x.score AS score FROM u""",
     "nearest_event": f"""WITH {FRAMES}, p AS (SELECT a.rec, a.id, a.t, b.t AS bt, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.t - b.t), b.t) AS k FROM fr a JOIN fr b ON a.rec = b.rec AND b.kind = 'view' WHERE a.kind = 'click')
         SELECT a.rec, a.id, CASE WHEN abs(p.bt - a.t) <= {72 * HOUR} THEN p.bt END AS near_t FROM fr a LEFT JOIN p ON a.id = p.id AND p.k = 1 WHERE a.kind = 'click'""",
     "as_of_level": f"""WITH {FRAMES}, o AS (SELECT rec, t, max(level) AS level FROM fr WHERE kind <> 'click' GROUP BY 1, 2)

@@ -192,7 +192,7 @@ def event_rates(spark, sf):
 
 def local_transitions(spark, sf):
     out = events.local_transitions(frames(spark, sf), REC, ["t", "id"], 4, 60.0, 1.0)
-    return out.select("id", *[F.round(c, 6).alias(c) for c in ("pre_level", "post_level", "step", "spread")])
+    return out.select("id", *[F.round(c, 4).alias(c) for c in ("pre_level", "post_level", "step", "spread")])
 
 
 def _annotations(spark, sf):
@@ -318,7 +318,7 @@ ORACLES = {
     "event_rates": f"""WITH {_EVENTS}, x AS (SELECT rec, CASE WHEN rec % 10 > 0 THEN max(e) - min(s) ELSE 0 END AS el FROM iv GROUP BY rec), k AS (SELECT unnest(['dropout', 'frozen', 'glitch']) AS kind), c AS (SELECT re.rec, re.kind, count(*) AS n, sum(support) AS su FROM re JOIN su ON re.rec = su.rec AND re.kind = su.kind AND re.ev = su.ev GROUP BY 1, 2)
         SELECT x.rec, k.kind, coalesce(n, 0) AS events, round(CASE WHEN el > 0 THEN coalesce(n, 0) * {HOUR}::DOUBLE / el END, 9) AS rate, round(CASE WHEN el > 0 THEN coalesce(su, 0)::DOUBLE / el END, 9) AS fraction FROM x CROSS JOIN k LEFT JOIN c ON x.rec = c.rec AND k.kind = c.kind""",
     "local_transitions": f"""WITH {FRAMES}, w AS (SELECT id, list(level) OVER (PARTITION BY rec ORDER BY t, id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS a, list(level) OVER (PARTITION BY rec ORDER BY t, id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS b FROM fr), m AS (SELECT *, list_median(a) AS x, list_median(b) AS y FROM w WHERE len(a) = 4 AND len(b) = 4),
-        d AS (SELECT *, greatest(0.25, 1.4826 * list_median(list_concat(list_transform(a, lambda v: abs(v - x)), list_transform(b, lambda v: abs(v - y))))) AS sp FROM m) SELECT id, round(x, 6) AS pre_level, round(y, 6) AS post_level, round(y - x, 6) AS step, round(sp, 6) AS spread FROM d WHERE abs(y - x) >= greatest(60, sp)""",
+        d AS (SELECT *, greatest(0.25, 1.4826 * list_median(list_concat(list_transform(a, lambda v: abs(v - x)), list_transform(b, lambda v: abs(v - y))))) AS sp FROM m) SELECT id, round(x, 4) AS pre_level, round(y, 4) AS post_level, round(y - x, 4) AS step, round(sp, 4) AS spread FROM d WHERE abs(y - x) >= greatest(60, sp)""",
     "interval_coverage": f"""WITH {INTERVALS}, v AS (SELECT * FROM iv WHERE kind = 'view'), {_islands("v", "q")} SELECT iv.id, coalesce(sum(CASE WHEN q.s IS NOT NULL THEN least(iv.e, q.e) - greatest(iv.s, q.s) END), 0)::BIGINT AS covered FROM iv LEFT JOIN q ON iv.rec = q.rec AND q.s < iv.e AND iv.s < q.e WHERE kind = 'click' GROUP BY 1""",
     "eligible_support": f"WITH {INTERVALS} SELECT rec, count_if(e - s >= {10 * HOUR}) AS intervals, coalesce(sum(e - s) FILTER (WHERE e - s >= {10 * HOUR}), 0)::BIGINT AS exposure FROM iv GROUP BY 1",
     "redundancy": f"WITH {_FEATURES} " + _RHO("all", "true") + " UNION ALL " + _RHO("positive", "second > 0"),
