@@ -103,6 +103,25 @@ def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.percentile("__slope", 0.5).alias("slope"))
 
 
+def theil_sen_interval(df: DataFrame, keys: list[str], x: str, y: str, z: float) -> DataFrame:
+    """keys, pairs, slope, low, high: the median of all slopes of a key and the slopes whose ranks lie z standard deviations
+    of Kendall's statistic, ties allowed for, on both sides. Work as theil_sen."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    term = lambda n: n * (n - 1) * (2 * n + 5)
+    ties = [rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__t")).where("__t > 1").groupBy(*keys).agg(F.sum(term(F.col("__t"))).alias(f"__s{c}")) for c in ("__x", "__y")]
+    spread = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    for t in ties:
+        spread = spread.join(t, keys, "left").fillna(0)
+    spread = spread.select(*keys, (F.lit(z) * F.sqrt((term(F.col("__n")) - F.col("__s__x") - F.col("__s__y")) / 18.0)).alias("__w"))
+    a, b = rows, rows.select(*keys, F.col("__x").alias("__u"), F.col("__y").alias("__v"))
+    slopes = a.join(b, keys).where("__x < __u").select(*keys, ((F.col("__v") - F.col("__y")) / (F.col("__u") - F.col("__x"))).alias("__slope"))
+    w = Window.partitionBy(*keys)
+    placed = slopes.withColumns({"__k": F.row_number().over(w.orderBy("__slope")) - 1, "__m": F.count(F.lit(1)).over(w)}).join(spread, keys)
+    low = F.greatest(F.bround((F.col("__m") - F.col("__w")) / 2) - 1, F.lit(0))
+    high = F.least(F.bround((F.col("__m") + F.col("__w")) / 2), F.col("__m") - 1)
+    return placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.percentile("__slope", 0.5).alias("slope"), F.max(F.when(F.col("__k") == low, F.col("__slope"))).alias("low"), F.max(F.when(F.col("__k") == high, F.col("__slope"))).alias("high"))
+
+
 def robust_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, median, IQR and scaled median absolute deviation."""
     mid = df.groupBy(*keys).agg(F.percentile(value, 0.5).alias("__mid"), (F.percentile(value, 0.75) - F.percentile(value, 0.25)).alias("__iqr"))

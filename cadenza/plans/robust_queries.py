@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import PPND16
-from ..operators import inference, robust, sensitivity
+from ..functions.values import Z95
+from ..operators import inference, ranks, robust, sensitivity
 from .base import FRAMES, RATINGS, REPEATS, frames, labelled, ratings, repeats, table
 
 REPLICATES = 200
@@ -132,12 +133,18 @@ def many_to_one(spark, sf):
     return o.join(media, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.col("n_name").alias("nation"), F.col("c_custkey").isNotNull().alias("matched"))
 
 
+def theil_sen_interval(spark, sf):
+    f = frames(spark, sf).withColumn("hours", F.floor(F.col("t") / 3.6e9).cast("double"))
+    out = ranks.theil_sen_interval(f, ["rec"], "hours", "level", Z95)
+    return out.select("rec", "pairs", *[F.round(c, 6).alias(c) for c in ("slope", "low", "high")])
+
+
 def human_rank_scores(spark, sf):
     r = ratings(spark, sf)
     return inference.rank_normal(r, ["rater"], "score", "z").select("item", "rater", F.round("z", 6).alias("z"))
 
 
-QUERIES = {f.__name__: f for f in (bootstrap_spearman, bootstrap_auc, bootstrap_icc, bootstrap_kappa, bootstrap_ac1, first_second_pairs, cluster_deletion, interval_ledger, null_grid, vintage_hashes, eligible_members, reference_robustness, reference_robustness_summary, reference_rank_stability, family_alignment, gain_tiers, recording_roles, role_features, profile_sensitivity, many_to_one, human_rank_scores)}
+QUERIES = {f.__name__: f for f in (bootstrap_spearman, bootstrap_auc, bootstrap_icc, bootstrap_kappa, bootstrap_ac1, first_second_pairs, cluster_deletion, interval_ledger, null_grid, vintage_hashes, eligible_members, reference_robustness, reference_robustness_summary, reference_rank_stability, family_alignment, gain_tiers, recording_roles, role_features, profile_sensitivity, many_to_one, theil_sen_interval, human_rank_scores)}
 
 SEED = "20260713"
 
@@ -213,5 +220,9 @@ ORACLES = {
     "role_features": f"WITH {REPEATS} SELECT id, 'feature' AS feature, 'primary' AS role, feature AS value FROM rp UNION ALL SELECT id, 'balance', 'secondary', balance FROM rp",
     "profile_sensitivity": f"""WITH {REPEATS}, v AS (SELECT CASE WHEN id % 10 > 0 THEN feature END AS a, CASE WHEN id % 7 > 0 THEN feature + balance END AS b FROM rp WHERE id % 10 > 0 OR id % 7 > 0)
         SELECT count(*) AS rows, count(a + b) AS pairs, round(avg(((a IS NULL) = (b IS NULL))::INT), 6) AS availability_agreement, round(quantile_cont(b - a, 0.5), 6) AS median_difference, round(quantile_cont(abs(b - a), 0.95), 6) AS p95_abs_difference FROM v""",
+    "theil_sen_interval": f"""WITH {FRAMES}, a AS (SELECT rec, floor(t / 3.6e9::DOUBLE) AS x, level AS y FROM fr), tx AS (SELECT rec, sum(k * (k - 1) * (2 * k + 5)) AS s FROM (SELECT rec, count(*) AS k FROM a GROUP BY rec, x HAVING count(*) > 1) GROUP BY 1), ty AS (SELECT rec, sum(k * (k - 1) * (2 * k + 5)) AS s FROM (SELECT rec, count(*) AS k FROM a GROUP BY rec, y HAVING count(*) > 1) GROUP BY 1),
+        w AS (SELECT c.rec, {Z95}::DOUBLE * sqrt((n * (n - 1) * (2 * n + 5) - coalesce(tx.s, 0) - coalesce(ty.s, 0)) / 18.0::DOUBLE) AS w FROM (SELECT rec, count(*) AS n FROM a GROUP BY 1) c LEFT JOIN tx ON c.rec = tx.rec LEFT JOIN ty ON c.rec = ty.rec),
+        s AS (SELECT p.rec, (q.y - p.y) / (q.x - p.x) AS sl FROM a p JOIN a q ON p.rec = q.rec AND p.x < q.x), k AS (SELECT rec, sl, row_number() OVER (PARTITION BY rec ORDER BY sl) - 1 AS k, count(*) OVER (PARTITION BY rec) AS m FROM s)
+        SELECT k.rec, count(*) AS pairs, round(quantile_cont(sl, 0.5), 6) AS slope, round(max(sl) FILTER (WHERE k = greatest(round_even((m - w) / 2, 0) - 1, 0)), 6) AS low, round(max(sl) FILTER (WHERE k = least(round_even((m + w) / 2, 0), m - 1)), 6) AS high FROM k JOIN w ON k.rec = w.rec GROUP BY 1""",
     "many_to_one": """SELECT o_orderkey, n_name AS nation, c_custkey IS NOT NULL AS matched FROM orders LEFT JOIN (SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey WHERE c_custkey % 4 > 0) ON o_custkey = c_custkey""",
 }
