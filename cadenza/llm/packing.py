@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkIds, forget, loaded, slices
-from .common import materialize, tidy
+from .common import batches_of, materialize, tidy
 
 #: Buckets of the hashed document vector, dimensions it is projected to, bits of the curve in each dimension.
 BUCKETS, DIMS, BITS = 256, 4, 12
 #: Tokens of one range of the curve, which one task packs; the most ranges; tokens that weigh as one when ranges are cut.
 RANGE_TOKENS, MOST_RANGES, WEIGHED = 4_000_000, 20_000, 512
+#: Bytes of text that a worker tokenises at a time, one document at least.
+BATCH_BYTES = 2_000_000
 #: Bits that part documents of one curve position.
 TIE_BITS = 63 - DIMS * BITS
 
@@ -128,7 +130,8 @@ def pack_documents(docs: DataFrame, path: str, length: int = 4096, end_id: int =
     Null and empty texts are one id, the end. Rows may repeat and ids may be null: each row is packed on its own. An
     empty table gives an empty result. Other columns are not read.
     """
-    done = materialize(tokenized(docs, path, end_id, text, doc_id), "tokens")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        done = materialize(tokenized(docs, path, end_id, text, doc_id), "tokens")
     ranged = along_the_curve(done)
 
     def run(batches):

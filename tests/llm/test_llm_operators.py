@@ -361,6 +361,30 @@ def test_ranges_hold_as_many_tokens_each(spark, monkeypatch):
     assert flat == sorted(flat)
 
 
+def test_texts_come_to_the_tokenizer_in_small_batches(spark, monkeypatch):
+    """A worker's memory follows BATCH_BYTES, not 10,000 rows of any length; all rows come, the setting goes back."""
+    import pyarrow as pa
+
+    key, before, real, seen = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), packing.materialize, []
+    df = spark.createDataFrame([(i, "ab cd " * 700) for i in range(3000)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    def probe(done, tag):
+        if tag == "tokens":
+            seen.extend(df.mapInArrow(sizes, "n long, size long").collect())
+        return real(done, tag)
+
+    monkeypatch.setattr(packing, "materialize", probe)
+    pieces = packing.pack_documents(df, vocabulary(), with_ids=False)
+    total = {r.doc_id: (r.n, r.t) for r in pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).toDF("doc_id", "n", "t").collect()}
+    assert len(total) == 3000 and all(n == t for n, t in total.values())
+    assert sum(r.n for r in seen) == 3000 and max(r.size for r in seen) < packing.BATCH_BYTES + 10_000
+    assert spark.conf.get(key) == before
+
+
 def test_hilbert_curve_is_a_path():
     side = np.arange(8)
     cells = np.stack([g.ravel() for g in np.meshgrid(side, side, side, indexing="ij")], axis=1)
