@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +48,11 @@ SPELLED, ANCHORS = 500_000, 64
 BLOCK = 1 << 16
 #: Learning rate, bits after which weights are updated.
 RATE, STEP = 0.02, 1 << 15
-#: Bits that a task holds before it counts them; bytes of texts numbered at a time; tokens whose bits are made at a time,
-#: few enough for a processor's cache.
-HELD, PORTION, CODED = 1 << 22, 250_000, 20_000
-#: Distinct spelled words a task keeps.
-CACHE = 200_000
+#: Bits that a task tallies before it adds them to its counts; bytes of texts coded at a time; tokens whose bits are made at
+#: a time to learn and to score, few enough for a processor's cache.
+HELD, PORTION, CODED, PRICED = 1 << 22, 250_000, 20_000, 6700
+#: Bytes of texts whose words are looked up, and of words that are spelled, at a time: what comes again costs once.
+NUMBERED, SPELLED_BYTES = 8_000_000, 1 << 18
 LIMIT, BIAS = 12.0, 0.3
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,7 +66,7 @@ def stretch_counts(ones: np.ndarray, zeros: np.ndarray, prior: float = 0.4) -> n
     return np.clip(np.log((ones + prior) / (zeros + prior)), -LIMIT, LIMIT).astype(np.float32)
 
 
-def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of the texts, A to Z lower-cased; the number of each word of all texts among them; words of each text."""
     # Taken as a copy: lower-casing a slice that has been cast reads past its offset.
     whole = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
@@ -76,7 +75,13 @@ def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     some = pc.binary_length(flat).to_numpy() > 0
     before = np.concatenate(([0], np.cumsum(some)))
     words = flat.filter(pa.array(some)).dictionary_encode()
-    return words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().astype(np.int64), np.diff(before[lists.offsets.to_numpy()])
+    return words.dictionary.cast(pa.large_binary()), words.indices.to_numpy().astype(np.int64), np.diff(before[lists.offsets.to_numpy()])
+
+
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """distinct_words, the words as a list."""
+    words, index, counts = distinct_words(texts)
+    return words.to_pylist(), index, counts
 
 
 # Mixing
@@ -93,7 +98,8 @@ def pack_tables(counts: list[np.ndarray]) -> list[np.ndarray]:
     for t in counts:
         seen = t.sum(0)
         doubt = float(seen.mean())
-        out.append((np.rint(stretch_counts(t[1], t[0], 0.4 + doubt / 2) * FINE).astype(np.int16) << 2) | np.searchsorted(np.array([0.5, 3, 12]) + doubt, seen).astype(np.int16))
+        often = sum((seen > step).astype(np.int16) for step in np.array([0.5, 3, 12]) + doubt)
+        out.append((np.rint(stretch_counts(t[1], t[0], 0.4 + doubt / 2) * FINE).astype(np.int16) << 2) | often)
     return out
 
 
@@ -109,14 +115,14 @@ class Mixer:
     def mixed(self, slots, weights: np.ndarray | None = None, fixed: tuple = (), gate: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Mixed stretched probability, the inputs, the gate: how often the last three tables' slots were seen, unless
         it is given."""
-        packed = [t[s] for t, s in zip(self.tables, slots, strict=True)]
+        packed = [t.take(s, mode="clip") for t, s in zip(self.tables, slots, strict=True)]
         if gate is None:
             gate = ((packed[-3] & 3) << 4 | (packed[-2] & 3) << 2 | packed[-1] & 3).astype(np.intp)
         x = [*fixed, *[(v >> 2) * np.float32(1 / FINE) for v in packed]]
         w = (self.weights if weights is None else weights).astype(np.float32).T.copy()
-        z = w[-1][gate] * np.float32(BIAS)
+        z = w[-1].take(gate, mode="clip") * np.float32(BIAS)
         for v, wj in zip(x, w, strict=False):
-            z += v * wj[gate]
+            z += v * wj.take(gate, mode="clip")
         return z, x, gate
 
     def curve(self) -> np.ndarray:
@@ -148,10 +154,14 @@ class Mixer:
     def cost(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of the spelling of each word, its closing space included."""
         out, logs = np.zeros(len(words)), self.logs()
-        for lo in range(0, len(words), 500):
-            part = words[lo : lo + 500]
-            owner, slots, bit = spelled_bits(part)
-            out[lo : lo + len(part)] = np.bincount(owner, weights=self.price(logs, slots, bit), minlength=len(part))
+        for lo, hi in runs(np.cumsum([len(w) + 1 for w in words]), SPELLED_BYTES):
+            owner, key = spelled_bytes(words[lo:hi])
+            # A byte after the same five costs the same, so each such run is priced once.
+            found, back = np.unique(key, return_inverse=True)
+            price = np.empty(len(found))
+            for at in range(0, len(found), STEP // 8):
+                price[at : at + STEP // 8] = self.price(logs, *byte_bits(found[at : at + STEP // 8])).reshape(-1, 8).sum(1)
+            out[lo:hi] = np.bincount(owner, weights=price[back], minlength=hi - lo)
         return out
 
 
@@ -166,11 +176,11 @@ class Learner:
         self.mixer = Mixer(pack_tables(self.counts), start.astype(np.float64))
         self.bits, self.map = 0, np.zeros((2, POINTS))  # ones and zeros at each point
         self.path, self.length = np.zeros(start.shape), 0.0
-        self.held: list[tuple] = []
+        self.tally: list[np.ndarray] = []  # what is not yet in counts, zeros before ones
         self.waiting = 0
 
     def learn(self, slots, bit: np.ndarray, weight: np.ndarray | None = None, fixed: tuple = (), gate: np.ndarray | None = None) -> None:
-        """Predict the bits with what is known, move the weights block by block, then hold the bits to be counted."""
+        """Predict the bits with what is known, move the weights block by block, then tally the bits."""
         w, bit = self.mixer.weights, bit.astype(np.intp)
         for lo in range(0, len(bit), STEP):
             on = slice(lo, lo + STEP)
@@ -186,18 +196,23 @@ class Learner:
             self.bits += len(g)
             self.path += w * (len(g) * self.bits)
             self.length += len(g) * self.bits
-        self.held.append((slots, bit, weight))
+        # Tallies stay far below 2^24, so ones add up exactly in single precision; weights take double.
+        kind = np.float32 if weight is None else np.float64
+        if not self.tally:
+            self.tally = [np.zeros(t.size, dtype=kind) for t in self.counts]
+        ones = {n: bit * n for n in {t.shape[1] for t in self.counts}}
+        for t, s in zip(self.tally, slots, strict=True):
+            np.add.at(t, s + ones[len(t) // 2], kind(1) if weight is None else weight)
         self.waiting += len(bit)
         if self.waiting > HELD:
             self.count()
 
     def count(self) -> None:
-        if self.held:
-            bit = np.concatenate([b for _, b, _ in self.held])
-            weight = None if self.held[0][2] is None else np.concatenate([w for _, _, w in self.held])
-            for k, t in enumerate(self.counts):
-                t += np.bincount(np.concatenate([s[k] for s, _, _ in self.held]) + bit * t.shape[1], weights=weight, minlength=2 * t.shape[1]).reshape(2, -1)
-        self.held, self.waiting = [], 0
+        if self.waiting:
+            for t, more in zip(self.counts, self.tally, strict=True):
+                t += more.reshape(2, -1)
+                more[:] = 0
+        self.waiting = 0
 
     def refresh(self) -> None:
         self.count()
@@ -256,25 +271,38 @@ def mixers_of(rows: DataFrame, made: dict[int, Learner]) -> dict[int, Mixer]:
 # Spelling
 
 
-def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each bit of the words and their closing space: word number, table slots (order x bit), outcome."""
+def spelled_bytes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of the words and their closing space: word number; the five bytes before, the nearest highest, and it."""
     joined = np.frombuffer(b" " * 5 + b"".join(w + b"     " for w in words), dtype=np.uint8)
     sizes = np.array([len(w) + 1 for w in words])
     starts = 5 + np.cumsum(sizes + 4) - (sizes + 4)
     owner = np.repeat(np.arange(len(words)), sizes)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
-    byte = joined[at].astype(np.uint32)
+    key = np.zeros(len(at), dtype=np.uint64)
+    for back in (1, 2, 3, 4, 5, 0):
+        key = key << np.uint64(8) | joined[at - back]
+    return owner, key
+
+
+def byte_bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table slots (order x bit) and outcome of the eight bits of each byte of spelled_bytes."""
+    byte = (key & np.uint64(255)).astype(np.uint32)
     shift = np.arange(7, -1, -1, dtype=np.uint32)
     bit = ((byte[:, None] >> shift) & np.uint32(1)).astype(np.uint8)
     node = (np.uint32(1) << (np.uint32(7) - shift)) | (byte[:, None] >> (shift + np.uint32(1)))
     spread_ = node * np.uint32(0x9E3779B1)
-    slots = np.empty((len(ORDER_SLOTS), len(at), 8), dtype=np.uint32)
-    context = np.zeros(len(at), dtype=np.uint64)
+    slots = np.empty((len(ORDER_SLOTS), len(key), 8), dtype=np.intp)
     for k, size in enumerate(ORDER_SLOTS):
-        context = context << np.uint64(8) | joined[at - 1 - k]
+        context = key >> np.uint64(8 * (len(ORDER_SLOTS) - k))
         mark = ((context + np.uint64(k)) * MIX >> np.uint64(32)).astype(np.uint32)
         slots[k] = (mark[:, None] ^ spread_) >> np.uint32(33 - int(size).bit_length())
-    return np.repeat(owner, 8), slots.reshape(len(ORDER_SLOTS), -1).astype(np.intp), bit.ravel()
+    return slots.reshape(len(ORDER_SLOTS), -1), bit.ravel()
+
+
+def spelled_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each bit of the words and their closing space: word number, table slots (order x bit), outcome."""
+    owner, key = spelled_bytes(words)
+    return np.repeat(owner, 8), *byte_bits(key)
 
 
 def spelling_learner() -> Learner:
@@ -309,9 +337,9 @@ def spelling_rows(counts: DataFrame, distinct: int) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Common words with their number, most frequent first, and their Huffman codes."""
+    """Common words, most frequent first, and their codes."""
 
-    number: dict[bytes, int]
+    number: pa.Array  # the words; the place of each is its number
     count: np.ndarray
     sums: tuple[int, int]  # training tokens, distinct training tokens
     tail: tuple[int, float]  # tokens of rarer words; share of words seen in training expected among words outside the vocabulary
@@ -382,30 +410,44 @@ def last_followers(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Portion:
-    """Texts with numbered tokens. Words outside the vocabulary have numbers past it, of this portion only."""
+    """Texts with numbered tokens. Words outside the vocabulary have numbers past it, their places in a list of rare words."""
 
     ids: np.ndarray
     doc: np.ndarray
     sizes: np.ndarray
-    rare: list[bytes]
     common: np.ndarray
     begin: np.ndarray  # place at which the token's text begins
 
 
-def numbered(texts: pa.Array, vocabulary: Vocabulary) -> Portion:
-    words, index, counts = split_words(texts)
-    known, v = vocabulary.number, len(vocabulary.number)
-    number = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-    new = np.flatnonzero(number < 0)
-    number[new] = v + np.arange(len(new))
-    rare = [words[i] for i in new.tolist()]
-    end = known.get(END, v + len(rare))
-    if end >= v:
-        rare.append(END)
-    ids = np.insert(number[index], np.cumsum(counts), end)
-    sizes = counts + 1
-    begin = np.cumsum(sizes) - sizes
-    return Portion(ids, np.repeat(np.arange(len(sizes)), sizes), sizes, rare, ids < v, np.repeat(begin, sizes))
+def runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole things that end at `ends`, of `most` in all or one thing."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def numbered(texts: pa.Array, vocabulary: Vocabulary, most: int = PORTION) -> Iterator[tuple[pa.Array, list[tuple[int, int, Portion]]]]:
+    """Runs of whole texts, of `most` bytes or one text: where each begins and ends, and its tokens. Several come together,
+    with their rare words, as words are looked up for NUMBERED bytes at a time."""
+    v = len(vocabulary.number)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    parts = list(runs(ends, most))
+    for a, b in runs(np.array([ends[hi - 1] for _, hi in parts]), NUMBERED):
+        first = parts[a][0]
+        words, index, counts = distinct_words(texts.slice(first, parts[b - 1][1] - first))
+        words = pa.concat_arrays([words, pa.array([END], pa.large_binary())])
+        number = pc.fill_null(pc.index_in(words, value_set=vocabulary.number), -1).to_numpy().astype(np.int64)
+        new = number < 0
+        number[new] = v + np.arange(np.count_nonzero(new))
+        ids, sizes = np.insert(number[index], np.cumsum(counts), number[-1]), counts + 1
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        out = []
+        for lo, hi in parts[a:b]:
+            on, size = ids[before[lo - first] : before[hi - first]], sizes[lo - first : hi - first]
+            out.append((lo, hi, Portion(on, np.repeat(np.arange(hi - lo), size), size, on < v, np.repeat(np.cumsum(size) - size, size))))
+        yield words.filter(pa.array(new)).cast(pa.binary()), out
 
 
 def decisions(p: Portion, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -455,20 +497,19 @@ def code_contexts(p: Portion, v: int) -> list[np.ndarray]:
     return [((c + np.uint64(1)) * m >> np.uint64(32)).astype(np.uint32) for c, m in ((anchor, k[0]), (one, k[1]), ((one * k[2]) ^ two, k[1]))]
 
 
-def code_bits(p: Portion, which: np.ndarray, vocabulary: Vocabulary, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """Bits of the codes of the tokens `which`, all common, CODED tokens at a time: owner, outcome, slots (3 x bit),
-    stretched share of the node."""
+def code_bits(p: Portion, which: np.ndarray, vocabulary: Vocabulary, slots: int, most: int = CODED) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Bits of the codes of the tokens `which`, all common, `most` tokens at a time: these tokens, how many bits each has,
+    outcome, slots (3 x bit), stretched share of the node."""
     begin, contexts = vocabulary.begin, code_contexts(p, len(vocabulary.number))
     shift = np.uint32(33 - slots.bit_length())
-    for lo in range(0, len(which), CODED):
-        some = which[lo : lo + CODED]
+    for lo in range(0, len(which), most):
+        some = which[lo : lo + most]
         size = begin[p.ids[some] + 1] - begin[p.ids[some]]
         at = spread(begin[p.ids[some]], size)
-        owner = np.repeat(some, size)
-        node = vocabulary.node[at]
-        mark = node.astype(np.uint32) * np.uint32(0x9E3779B1)
-        out = [(((c[owner] ^ mark) * np.uint32(0x85EBCA6B)) >> shift).astype(np.intp) for c in contexts]
-        yield owner, vocabulary.bit[at], out, vocabulary.stretched[node]
+        node = vocabulary.node.take(at)
+        mark = node.view(np.uint32) * np.uint32(0x9E3779B1)
+        out = [(((np.repeat(c[some], size) ^ mark) * np.uint32(0x85EBCA6B)) >> shift).astype(np.intp) for c in contexts]
+        yield some, size, vocabulary.bit.take(at), out, vocabulary.stretched.take(node)
 
 
 def decision_learner() -> Learner:
@@ -484,16 +525,6 @@ def code_slots(tokens: int) -> int:
     return min(CODE_SLOTS[1], max(CODE_SLOTS[0], 1 << (4 * tokens).bit_length()))
 
 
-def portions(texts: pa.Array, most: int = PORTION):
-    """Runs of whole texts, of `most` bytes or one text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
-        yield lo, hi
-        lo = hi
-
-
 def word_rows(train: DataFrame, vocabulary, slots: int, tokens: int) -> DataFrame:
     """What tasks learn from train(text), all of it, for decisions (100) and codes (200)."""
 
@@ -502,17 +533,17 @@ def word_rows(train: DataFrame, vocabulary, slots: int, tokens: int) -> DataFram
         v = vocabulary.value
         for batch in batches:
             # Tables are of use early: what a task sees first comes in small portions.
-            for lo, hi in portions(batch.column(0), min(PORTION, int(6 * most))):
-                p = numbered(batch.column(0).slice(lo, hi - lo), v)
-                _, bit, at, gate, open_ = decisions(p, len(v.number))
-                decided.learn(at, bit, gate=gate)
-                for _, bit, at, st in code_bits(p, open_[p.common[open_]], v, slots):
-                    coded.learn(at, bit, fixed=(st,))
-                since += len(p.ids)
-                if since >= most:
-                    decided.refresh()
-                    coded.refresh()
-                    since, most = 0, min(2 * most, 500_000)
+            for _, parts in numbered(batch.column(0), v, min(PORTION, int(6 * most))):
+                for _, _, p in parts:
+                    _, bit, at, gate, open_ = decisions(p, len(v.number))
+                    decided.learn(at, bit, gate=gate)
+                    for _, _, bit, at, st in code_bits(p, open_[p.common[open_]], v, slots):
+                        coded.learn(at, bit, fixed=(st,))
+                    since += len(p.ids)
+                    if since >= most:
+                        decided.refresh()
+                        coded.refresh()
+                        since, most = 0, min(2 * most, 500_000)
         for name, learner in ((100, decided), (200, coded)):
             for row in learner.rows(name):
                 yield sum_batch([row])
@@ -528,9 +559,9 @@ def token_counts(train: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            words, index, counts = split_words(batch.column(0))
+            words, index, counts = distinct_words(batch.column(0))
             found = np.bincount(index, minlength=len(words))
-            yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(np.append(found, len(counts)), pa.int64())], ["token", "c"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())]), pa.array(np.append(found, len(counts)), pa.int64())], ["token", "c"])
 
     return train.mapInArrow(tidy(run), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -550,7 +581,7 @@ def common_words(counts: DataFrame, most: int = COMMON) -> Vocabulary:
     least = int(c.min()) if len(c) else 1 << 62
     once, rare, upto = counts.select(F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") < least, F.col("c"))), F.sum(F.when(F.col("c") <= least, F.col("c")))).first()
     seen = ((upto or 0) - (once or 0) + 0.5) / ((upto or 0) + 1.0) if rare else 0.0
-    return Vocabulary({bytes(r["token"]): i for i, r in enumerate(words)}, c, (sum(s for _, s in sizes.values()), sum(n for n, _ in sizes.values())), (rare or 0, seen), *balanced_code([bytes(r["token"]) for r in words], c))
+    return Vocabulary(pa.array([bytes(r["token"]) for r in words], pa.large_binary()), c, (sum(s for _, s in sizes.values()), sum(n for n, _ in sizes.values())), (rare or 0, seen), *balanced_code([bytes(r["token"]) for r in words], c))
 
 
 def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus: int = 7, held: int = 2) -> DataFrame:
@@ -580,40 +611,35 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mod
         v = vocabulary.value
         n = len(v.number)
         decider_logs, coder_logs = decider.logs(), coder.logs()
-        share = np.log10(v.count + 1.0) if n else np.zeros(1)
-        kept: dict[bytes, float] = {}
+        share = np.append(np.log10(v.count + 1.0), 0.0)  # zero past the vocabulary
         for batch in batches:
-            for lo, hi in portions(batch.column(1)):
-                part = batch.column(1).slice(lo, hi - lo)
-                m = hi - lo
-                p = numbered(part, v)
-                owner, bit, at, gate, open_ = decisions(p, n)
-                cost = np.bincount(p.doc[owner], weights=decider.price(decider_logs, at, bit, gate=gate), minlength=m)
-                coded = open_[p.common[open_]]
-                for owner, bit, at, st in code_bits(p, coded, v, slots):
-                    cost += np.bincount(p.doc[owner], weights=coder.price(coder_logs, at, bit, (st,)), minlength=m)
-                cost += np.bincount(p.doc[coded], weights=v.rest[p.ids[coded]], minlength=m)
-                if len(kept) > CACHE:
-                    kept.clear()
-                new = [w for w in p.rare if w not in kept]
-                # Spelled as a word that training has not seen; the join adds what a rarer training word's count gives.
-                kept.update(zip(new, (speller.cost(new) + np.log10(1 - v.tail[1])).tolist(), strict=True))
-                price = np.array([kept[w] for w in p.rare]) if p.rare else np.zeros(1)
-                unknown = open_[~p.common[open_]]  # rare words that no guess has given
-                cost += np.bincount(p.doc[unknown], weights=price[p.ids[unknown] - n], minlength=m)
-                common, rare = np.flatnonzero(p.common), np.flatnonzero(~p.common)
-                base = np.bincount(p.doc[common], weights=share[p.ids[common]], minlength=m)
-                known = np.bincount(p.doc[common], minlength=m)
-                n_bytes = np.maximum(1, pc.fill_null(pc.binary_length(part), 0).to_numpy(zero_copy_only=False))
-                free = np.ones(len(p.ids), dtype=bool)
-                free[unknown] = False
-                cuts = pa.array(np.concatenate(([0], np.cumsum(np.bincount(p.doc[rare], minlength=m)))).astype(np.int32))
-                tail = pa.ListArray.from_arrays(cuts, pa.array(p.rare, pa.binary()).take(pa.array(p.ids[rare] - n)))
-                spelled = pa.ListArray.from_arrays(cuts, pa.array(price[p.ids[rare] - n] if len(rare) else np.zeros(0), mask=free[rare]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, m), pa.array(p.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(cost), pa.array(n_bytes, pa.int64()), tail, spelled],
-                    ["doc_id", "n_tokens", "common", "base", "score", "n_bytes", "tail", "spelled"],
-                )
+            for words, parts in numbered(batch.column(1), v):
+                # Spelled as words that training has not seen; the join adds what a rarer training word's count gives.
+                price = speller.cost(words.to_pylist()) + np.log10(1 - v.tail[1])
+                for lo, hi, p in parts:
+                    m = hi - lo
+                    owner, bit, at, gate, open_ = decisions(p, n)
+                    cost = np.bincount(p.doc[owner], weights=decider.price(decider_logs, at, bit, gate=gate), minlength=m)
+                    coded = open_[p.common[open_]]
+                    for some, size, bit, at, st in code_bits(p, coded, v, slots, PRICED):
+                        cost += np.bincount(np.repeat(p.doc[some], size), weights=coder.price(coder_logs, at, bit, (st,)), minlength=m)
+                    unknown = open_[~p.common[open_]]  # rare words that no guess has given
+                    more, begin = np.zeros(len(p.ids)), np.cumsum(p.sizes) - p.sizes
+                    more[coded], more[unknown] = v.rest[p.ids[coded]], price[p.ids[unknown] - n]
+                    cost += np.add.reduceat(more, begin)
+                    base = np.add.reduceat(share.take(p.ids, mode="clip"), begin)
+                    known = np.add.reduceat(p.common, begin, dtype=np.int64)
+                    rare = np.flatnonzero(~p.common)
+                    n_bytes = np.maximum(1, pc.fill_null(pc.binary_length(batch.column(1).slice(lo, m)), 0).to_numpy(zero_copy_only=False))
+                    free = np.ones(len(p.ids), dtype=bool)
+                    free[unknown] = False
+                    cuts = pa.array(np.concatenate(([0], np.cumsum(p.sizes - known))).astype(np.int32))
+                    tail = pa.ListArray.from_arrays(cuts, words.take(pa.array(p.ids[rare] - n)))
+                    spelled = pa.ListArray.from_arrays(cuts, pa.array(price[p.ids[rare] - n], mask=free[rare]))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(lo, m), pa.array(p.sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(cost), pa.array(n_bytes, pa.int64()), tail, spelled],
+                        ["doc_id", "n_tokens", "common", "base", "score", "n_bytes", "tail", "spelled"],
+                    )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = materialize(rows.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, common long, base double, score double, n_bytes long, tail array<binary>, spelled array<double>").withColumn("row", F.monotonically_increasing_id()), "scored")

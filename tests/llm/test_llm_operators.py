@@ -636,6 +636,62 @@ def test_lm_knows_what_it_has_learned(spark):
     assert got[held[0]].score > got[held[1]].score + 5, (got[held[0]].score, got[held[1]].score)
 
 
+def test_lm_spelling_is_priced_once():
+    """Words cost what their bits cost one by one, though a byte after the same five bytes is priced only once."""
+    rng = np.random.default_rng(5)
+    speller = lm_score.Speller(lm_score.pack_tables([rng.random((2, n)) * 9 for n in lm_score.ORDER_SLOTS]), rng.random((64, 6)), np.linspace(0.01, 0.99, 33))
+    words = [f"{a}common{b:02d}".encode() for a in "abcd" for b in range(50)] + [b"", b"x" * 9000, "\u00e4\u4e2d".encode()]
+    priced, price = [], speller.price
+    speller.price = lambda logs, slots, bit: priced.append(len(bit)) or price(logs, slots, bit)
+    got = speller.cost(words)
+    owner, slots, bit = lm_score.spelled_bits(words)
+    assert np.allclose(got, np.bincount(owner, weights=price(speller.logs(), slots, bit)), rtol=1e-12)
+    assert sum(priced) < len(bit) / 8 and len(speller.cost([])) == 0
+
+
+def test_lm_numbers_do_not_depend_on_lookups(monkeypatch):
+    """Portions of texts have the same words and ends, however many are looked up at a time."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [None, "", *[words(rng, rng.randint(0, 60)) for _ in range(40)], "w1 " * 300]
+    column = pa.array(["front", *texts]).slice(1)
+    for known in ([b"w1", b"\n", b"w2"], [b"w7"], []):
+        v = lm_score.Vocabulary(pa.array(known, pa.large_binary()), *[None] * 8)
+        runs = []
+        for most in (1, 1000, 10**6):
+            monkeypatch.setattr(lm_score, "NUMBERED", most)
+            got, cut = [], []
+            for rare, parts in lm_score.numbered(column, v, 400):
+                names = [*known, *rare.to_pylist()]
+                for lo, hi, p in parts:
+                    cut.append((lo, hi))
+                    assert (p.common == (p.ids < len(known))).all() and (p.begin == (np.cumsum(p.sizes) - p.sizes)[p.doc]).all()
+                    got += [[names[i] for i in p.ids[p.doc == k]] for k in range(hi - lo)]
+            assert got == [[*(t or "").encode().split(), b"\n"] for t in texts]
+            runs.append(cut)
+        assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 10
+    assert list(lm_score.numbered(column.slice(0, 0), v)) == []
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_lm_learner_counts_every_bit(monkeypatch, weighted):
+    """Counts are those of all bits, with nothing of a block kept but its tally."""
+    monkeypatch.setattr(lm_score, "HELD", 500)
+    rng = np.random.default_rng(8)
+    learner = lm_score.Learner((16, 32, 16), np.tile(np.array([0.3, 0.3, 0.3, 0.0]), (64, 1)))
+    want = [np.zeros((2, 16)), np.zeros((2, 32)), np.zeros((2, 16))]
+    for n in (0, 1, 400, 700, 33_000):
+        slots, bit, weight = [rng.integers(0, t.shape[1], n) for t in want], rng.integers(0, 2, n).astype(np.uint8), rng.random(n) if weighted else None
+        learner.learn(slots, bit, weight)
+        for t, s in zip(want, slots):
+            np.add.at(t, (bit.astype(int), s), 1 if weight is None else weight)
+    held = sum(t.nbytes for t in learner.tally)
+    learner.refresh()
+    assert held <= 8 * 2 * (16 + 32 + 16) and all(np.allclose(a, b, rtol=1e-6) for a, b in zip(learner.counts, want))
+    assert weighted or all((a == b).all() for a, b in zip(learner.counts, want))
+
+
 def test_temporary_tables_are_deleted(spark):
     import os
 
