@@ -13,6 +13,9 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +70,10 @@ class WordBPE:
         self.keys = keys[self.order]
         if len(set(self.made.tolist())) != len(self.made):
             raise ValueError("two merges make the same token; one ascending sweep would not be exact")
+        # Ranks of the first pairs, by the byte and the one behind it (256 more at the end of its word).
+        self.symbol = np.concatenate((self.inner, self.last))
+        self.first = self.rank(np.repeat(self.inner, 512), np.tile(self.symbol, 256)).reshape(256, 512)
+        self.rank_kind = np.uint16 if len(pairs) <= 1 << 16 else np.int32  # 16 bits are sorted by radix
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of symbols, -1 where there is none."""
@@ -78,12 +85,15 @@ class WordBPE:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, which must not be empty, and the offset at which each word's ids begin, with the end.
         All words are merged together through the pair occurrence index."""
-        if not words:
+        return self.merged(np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum([len(w) for w in words], dtype=np.int64))
+
+    def merged(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode_words of the words whose bytes lie end to end in flat; ends: where each ends."""
+        if not len(ends):
             return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
-        flat = np.frombuffer(b"".join(words), dtype=np.uint8)
-        ends = np.cumsum([len(w) for w in words])
-        sym = self.inner[flat]
-        sym[ends - 1] = self.last[flat[ends - 1]]
+        code = flat.astype(np.int32)
+        code[ends - 1] += 256
+        sym = self.symbol[code]
         n = len(sym)
         # One slot past the end stands for "no neighbour"; its symbol never matches.
         nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
@@ -94,14 +104,13 @@ class WordBPE:
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
-        def enter(positions: np.ndarray) -> None:
-            ranks = self.rank(sym[positions], sym[nxt[positions]])
+        def enter(positions: np.ndarray, ranks: np.ndarray) -> None:
             live = ranks >= 0
             positions, ranks = positions[live], ranks[live]
             if not len(positions):
                 return
             if len(positions) > 1:
-                by = np.argsort(ranks, kind="stable")
+                by = np.argsort(ranks.astype(self.rank_kind), kind="stable")
                 positions, ranks = positions[by], ranks[by]
             cuts = np.flatnonzero(np.diff(ranks)) + 1
             lo = 0
@@ -114,7 +123,9 @@ class WordBPE:
                     heapq.heappush(active, r)
                 lo = hi
 
-        enter(np.arange(n))
+        ranks = self.first[flat[:-1], code[1:]]
+        ranks[ends[:-1] - 1] = -1
+        enter(np.arange(n - 1), ranks)
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -138,7 +149,9 @@ class WordBPE:
             prv[after] = at
             prv[n] = n
             before = prv[at]
-            enter(np.concatenate((at[after < n], before[before < n])))
+            changed = np.concatenate((at[after < n], before[before < n]))
+            if len(changed):
+                enter(changed, self.rank(sym[changed], sym[nxt[changed]]))
         keep = sym[:n] >= 0
         return sym[:n][keep], np.concatenate(([0], np.cumsum(np.add.reduceat(keep, starts))))
 
@@ -237,6 +250,15 @@ class ChunkCache:
                 d.update((c, join([word[w] for w in p])) for c, p in mixed)
 
 
+class Cut(NamedTuple):
+    """Texts cut at white space: the chunks of all, and the offset at which each text's begin, with the end. Texts that hold
+    special tokens have none there; odd has theirs by position."""
+
+    chunks: pa.Array
+    offsets: np.ndarray
+    odd: dict[int, list[str]]
+
+
 class ChunkIds:
     """Ids of texts by the distinct chunks between their white space. Chunks seen before keep their ids, in one array;
     beyond CACHE of them the array begins anew. Texts are cut and numbered outside Python, chunk by chunk only where a
@@ -264,45 +286,65 @@ class ChunkIds:
         return np.fromiter(map(self.row.__getitem__, chunks), dtype=np.int64, count=len(chunks))
 
     def _learn(self, new: list[str]) -> None:
-        pieces = [[c] if c.isalpha() else self.bpe.pieces(c) for c in new]
-        distinct = {w: k for k, w in enumerate(dict.fromkeys(w for p in pieces for w in p if w not in self.bpe.special))}
-        ids, cut = self.bpe.encode_words([w.encode() for w in distinct])
-        # Special tokens are words of one id behind the others.
-        special = {t: len(distinct) + k for k, t in enumerate(self.bpe.special)}
-        ids = np.concatenate((ids, np.fromiter(self.bpe.special.values(), dtype=np.int32, count=len(special))))
-        cut = np.concatenate((cut, cut[-1] + 1 + np.arange(len(special))))
-        word = np.fromiter((special[w] if w in special else distinct[w] for p in pieces for w in p), dtype=np.int64)
-        count = np.array([len(p) for p in pieces])
-        size = np.diff(cut)[word]
-        gathered = ids[spread(cut[word], size)]
-        ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))]
-        self.row.update(zip(new, range(len(self.begin), len(self.begin) + len(new)), strict=True))
+        alone, mixed = [], []  # chunks that are one word, and others
+        for c in new:
+            (alone if c.isalpha() else mixed).append(c)
+        pieces = [self.bpe.pieces(c) for c in mixed]
+        number = pa.array(chain(alone, chain.from_iterable(pieces)), pa.large_string()).dictionary_encode()
+        words = number.dictionary
+        _, cut, flat = words.buffers()
+        ends = np.frombuffer(cut, dtype=np.int64)[1 : len(words) + 1] if len(words) else np.zeros(0, dtype=np.int64)
+        ids, cut = self.bpe.merged(np.frombuffer(flat, dtype=np.uint8)[: ends[-1]] if len(words) else ends.astype(np.uint8), ends)
+        begin, size = cut[:-1].copy(), np.diff(cut)
+        # Words that are special tokens have one id, behind the others.
+        for t, at in zip(self.bpe.special, pc.index_in(pa.array(self.bpe.special, words.type), value_set=words).to_pylist()):
+            if at is not None:
+                begin[at], size[at] = len(ids), 1
+                ids = np.append(ids, np.int32(self.bpe.special[t]))
+        word = number.indices.to_numpy()
+        count = np.concatenate((np.ones(len(alone), dtype=np.int64), np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))))
+        gathered = ids[spread(begin[word], size[word])]
+        ends = np.concatenate(([0], np.cumsum(size[word])))[np.concatenate(([0], np.cumsum(count)))]
+        self.row.update(zip(chain(alone, mixed), range(len(self.begin), len(self.begin) + len(new)), strict=True))
         self.begin = np.concatenate((self.begin, len(self.ids) + ends[:-1]))
         self.size = np.concatenate((self.size, np.diff(ends)))
         self.ids = np.concatenate((self.ids, gathered))
 
+    def cut(self, texts: list[str]) -> Cut:
+        """Chunks of the texts, for encode_all."""
+        # Chunks with special tokens keep their case and are few, so Python cuts their texts.
+        odd = {i: self.bpe.chunks(t) for i, t in enumerate(texts) if "<|" in t and self.bpe.special_re.search(t)}
+        cut = pc.ascii_split_whitespace(pa.array(["" if i in odd else self.bpe.normal(t) for i, t in enumerate(texts)], pa.large_string()))
+        return Cut(cut.values, cut.offsets.to_numpy(), odd)
+
+    def encode_all(self, cuts: list[Cut]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`encode` of the texts of each cut. What is new in any of them is encoded together: the pair occurrence index
+        takes a few steps for each merge that occurs, however many places it has. cuts is emptied."""
+        number = pa.chunked_array([c.chunks for c in cuts], pa.large_string()).dictionary_encode().unify_dictionaries()
+        rest = [(c.offsets, c.odd) for c in cuts]
+        cuts.clear()
+        chunks = number.chunk(0).dictionary.to_pylist()
+        if oddly := {c for _, odd in rest for own in odd.values() for c in own}:
+            chunks += oddly.difference(chunks)
+        row = self.rows(chunks)
+        place = dict(zip(chunks, row.tolist(), strict=True)) if oddly else {}
+        del chunks, oddly
+        begin, size, ids = self.begin, self.size, self.ids
+        for part, (offsets, odd) in zip(number.chunks, rest, strict=True):
+            at = row[part.indices.to_numpy()]
+            ends = np.concatenate(([0], np.cumsum(size[at])))[offsets]
+            found = ids[spread(begin[at], size[at])]
+            if odd:
+                parts = np.split(found, ends[1:-1])
+                for i, own in odd.items():
+                    at = np.array([place[c] for c in own], dtype=np.int64)
+                    parts[i] = ids[spread(begin[at], size[at])]
+                found, ends = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            yield found, ends
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and the offset at which each text's begin, with the end."""
-        # Chunks with special tokens keep their case and are few, so Python cuts their texts.
-        odd = [i for i, t in enumerate(texts) if "<|" in t and self.bpe.special_re.search(t)]
-        plain = [self.bpe.normal(t) for t in texts]
-        for i in odd:
-            plain[i] = ""
-        cut = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
-        number = cut.values.dictionary_encode()
-        rows = self.rows(number.dictionary.to_numpy(zero_copy_only=False).tolist())[number.indices.to_numpy()] if len(number) else np.zeros(0, dtype=np.int64)
-        size = self.size[rows]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        offsets = ends[cut.offsets.to_numpy()]
-        ids = self.ids[spread(self.begin[rows], size)]
-        if not odd:
-            return ids, offsets
-        parts = np.split(ids, offsets[1:-1])
-        for i in odd:
-            own = self.rows(chunks := list(dict.fromkeys(self.bpe.chunks(texts[i]))))
-            place = dict(zip(chunks, own.tolist(), strict=True))
-            parts[i] = np.concatenate([self.ids[self.begin[k] : self.begin[k] + self.size[k]] for k in map(place.__getitem__, self.bpe.chunks(texts[i]))])
-        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        return next(self.encode_all([self.cut(texts)]))
 
 
 def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:

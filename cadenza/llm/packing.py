@@ -19,6 +19,8 @@ BUCKETS, DIMS, BITS = 256, 4, 12
 RANGE_TOKENS, MOST_RANGES, WEIGHED = 4_000_000, 20_000, 512
 #: Bytes of text that a worker tokenises at a time, one document at least.
 BATCH_BYTES = 2_000_000
+#: Characters whose new words a worker looks up together, the texts of one batch at least.
+LEARNED = 8_000_000
 #: Bits that part documents of one curve position.
 TIE_BITS = 63 - DIMS * BITS
 
@@ -74,10 +76,12 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_i
         kind = "<u4" if wide else "<u2"
         bucket = (np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
         into = projection()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts):
-                ids, offsets = cache.encode(texts[lo:hi])
+        waiting, cuts, held = [], [], 0
+
+        def numbered():
+            nonlocal waiting, held
+            names, waiting, held = waiting, [], 0
+            for doc, (ids, offsets) in zip(names, cache.encode_all(cuts) if names else [], strict=True):
                 ids = np.insert(ids, offsets[1:], end_id)
                 offsets = offsets + np.arange(len(offsets))
                 size = np.diff(offsets)
@@ -85,10 +89,20 @@ def tokenized(docs: DataFrame, path: str, end_id: int, text: str = "text", doc_i
                 raw = pa.py_buffer(ids.astype(kind).tobytes())
                 at = pa.py_buffer((offsets * (4 if wide else 2)).astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(curve_position(counts, into), pa.int64()), pa.array(size, pa.int64()), pa.array([wide] * len(size)), pa.Array.from_buffers(pa.binary(), len(size), [None, at, raw])],
+                    [doc, pa.array(curve_position(counts, into), pa.int64()), pa.array(size, pa.int64()), pa.array([wide] * len(size)), pa.Array.from_buffers(pa.binary(), len(size), [None, at, raw])],
                     ["doc_id", "curve", "tokens", "wide", "ids"],
                 )
 
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for lo, hi in slices(texts):
+                waiting.append(batch.column(0).slice(lo, hi - lo))
+                cuts.append(cache.cut(texts[lo:hi]))
+                held += sum(map(len, texts[lo:hi]))
+                if held >= LEARNED:
+                    yield from numbered()
+        yield from numbered()
+
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run, forget), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, curve long, tokens long, wide boolean, ids binary")
 

@@ -321,6 +321,23 @@ def test_bpe_agrees_with_the_library(spark):
     assert bpe.encode_documents(docs.limit(0), vocabulary()).count() == 0
 
 
+def test_new_words_of_several_cuts_are_encoded_together(monkeypatch):
+    """One sweep of the pair index serves all cuts, also where the cache begins anew; ids are the library's, text by text."""
+    from tokenizers import Tokenizer
+
+    lib, real, sweeps = Tokenizer.from_file(vocabulary()), bpe.WordBPE.merged, []
+    monkeypatch.setattr(bpe.WordBPE, "merged", lambda self, flat, ends: sweeps.append(len(ends)) or real(self, flat, ends))
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    cache = bpe.ChunkIds(bpe.WordBPE(vocabulary()))
+    for k in range(3):
+        runs = [TRICKY[k::4], ["", " "], [f"anew{c} again{k}, <|endoftext|>{c}" for c in "xyz"], TRICKY[k + 1 :: 4], TRICKY[k + 1 :: 4]]
+        cuts = [cache.cut(r) for r in runs]
+        got = list(cache.encode_all(cuts))
+        assert len(sweeps) == k + 1 and not cuts and len(got) == len(runs)
+        for texts, (ids, offsets) in zip(runs, got, strict=True):
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # Packing
 
 
@@ -385,6 +402,22 @@ def test_texts_come_to_the_tokenizer_in_small_batches(spark, monkeypatch):
     assert spark.conf.get(key) == before
 
 
+def test_batches_whose_words_are_looked_up_together(spark, docs, monkeypatch):
+    """Rows keep their ids, curve and token count however many batches wait for their words."""
+    rows = docs.repartition(1)
+    keyed = lambda: sorted((r.doc_id, r.curve, r.tokens, bytes(r.ids)) for r in packing.tokenized(rows, vocabulary(), 2).collect())
+    want = keyed()
+    assert len(want) == docs.count()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for most in (1, 500, 8_000_000):
+            monkeypatch.setattr(packing, "LEARNED", most)
+            assert keyed() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_hilbert_curve_is_a_path():
     side = np.arange(8)
     cells = np.stack([g.ravel() for g in np.meshgrid(side, side, side, indexing="ij")], axis=1)
