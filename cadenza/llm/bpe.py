@@ -171,16 +171,28 @@ class WordBPE:
         return self.word_re.findall(chunk)
 
     def pieces(self, chunk: str) -> list[str]:
-        """The words and special tokens of one chunk of split_chunks."""
-        if "<|" in chunk and self.special_re.search(chunk):
+        """The words and special tokens of one of `chunks`."""
+        if "<|" in chunk and chunk[0] != " " and self.special_re.search(chunk):
             return [w for s in self.special_re.split(chunk) for w in ([s] if s in self.special else self.words(self.normal(s)))]
         return self.words(chunk)
 
+    def holds_special(self, text: str) -> bool:
+        """Whether text holds a special token, as it is or, like <|ENDOFTEXT|>, what looks like one in normal form."""
+        return "<|" in text and bool(self.special_re.search(text) or self.special_re.search(self.normal(text)))
+
     def chunks(self, text: str) -> list[str]:
-        """text cut at white space, in normal form but for chunks with special tokens."""
-        if "<|" in text and self.special_re.search(text):
-            return [c if self.special_re.search(c) else self.normal(c) for c in split_chunks(text)]
-        return split_chunks(self.normal(text))
+        """text cut at white space, in normal form but for chunks with special tokens. A space leads those that only look
+        in normal form as if they had one: only what the text itself holds is a special token."""
+        if not self.holds_special(text):
+            return split_chunks(self.normal(text))
+        out = []
+        for c in split_chunks(text):
+            if not self.special_re.search(c):
+                c = self.normal(c)
+                if self.special_re.search(c):
+                    c = " " + c
+            out.append(c)
+        return out
 
 
 def split_chunks(text: str) -> list[str]:
@@ -251,8 +263,8 @@ class ChunkCache:
 
 
 class Cut(NamedTuple):
-    """Texts cut at white space: the chunks of all, and the offset at which each text's begin, with the end. Texts that hold
-    special tokens have none there; odd has theirs by position."""
+    """Texts cut at white space: the chunks of all, and the offset at which each text's begin, with the end. Texts with
+    special tokens, or what looks like one, have none there; odd has theirs by position."""
 
     chunks: pa.Array
     offsets: np.ndarray
@@ -312,8 +324,8 @@ class ChunkIds:
 
     def cut(self, texts: list[str]) -> Cut:
         """Chunks of the texts, for encode_all."""
-        # Chunks with special tokens keep their case and are few, so Python cuts their texts.
-        odd = {i: self.bpe.chunks(t) for i, t in enumerate(texts) if "<|" in t and self.bpe.special_re.search(t)}
+        # Chunks with special tokens keep their case and are few, so Python cuts their texts, and those that look alike.
+        odd = {i: self.bpe.chunks(t) for i, t in enumerate(texts) if self.bpe.holds_special(t)}
         cut = pc.ascii_split_whitespace(pa.array(["" if i in odd else self.bpe.normal(t) for i, t in enumerate(texts)], pa.large_string()))
         return Cut(cut.values, cut.offsets.to_numpy(), odd)
 

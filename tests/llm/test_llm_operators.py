@@ -321,6 +321,22 @@ def test_bpe_agrees_with_the_library(spark):
     assert bpe.encode_documents(docs.limit(0), vocabulary()).count() == 0
 
 
+def test_only_what_the_text_holds_is_a_special_token(spark):
+    """Upper-case look-alikes are words, also beside real special tokens."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary())
+    texts = ["<|ENDOFTEXT|>", "a <|EndOfText|>, b <|endoftext|> c", "x<|StartOfText|><|endoftext|><|ENDOFTEXT|>", "<|endoftext|>\u0338 <|ENDOFTEXT|>\u0338", "a\x1c<|EndOfText|>\n<|endoftext|>", "< |endoftext|> <|", "<|EndOfText|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    full, digest = by_id(bpe.encode_documents(docs, vocabulary())), by_id(bpe.encoding_digests(docs, vocabulary()))
+    tokens = by_id(packing.tokenized(docs, vocabulary(), 2))
+    for i, t in enumerate(texts):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert full[i].ids == ids == np.frombuffer(tokens[i].ids, dtype="<u2")[:-1].tolist(), repr(t)
+        assert digest[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert digest[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_new_words_of_several_cuts_are_encoded_together(monkeypatch):
     """One sweep of the pair index serves all cuts, also where the cache begins anew; ids are the library's, text by text."""
     from tokenizers import Tokenizer
