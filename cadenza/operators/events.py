@@ -66,12 +66,13 @@ def suppressed(df: DataFrame, keys: list[str], distance: float, most: int, at: s
 def arbitrated(candidates: DataFrame, keys: list[str], precedence: list[tuple[str, str, float]], width: float) -> DataFrame:
     """Candidates (keys, id, kind, start, end, disposition) with disposition, reason and arbitrated after precedence rules in
     order: (loser, winner, guard) rejects a loser that lies within guard of an accepted winner of its keys. A guard of 0
-    asks for an overlap. Rules read dispositions as they were when the rule before had been applied."""
+    asks for an overlap, which one without length has where it lies strictly inside the other. Rules read dispositions as
+    they were when the rule before had been applied."""
     out = candidates.withColumns({"reason": F.lit(""), "arbitrated": F.lit(False)})
     for loser, winner, guard in precedence:
         strong = out.where((F.col("kind") == winner) & (F.col("disposition") == "accepted")).select(*keys, (F.col("start") - guard).alias("start"), (F.col("end") + guard).alias("end"))
-        weak = out.where((F.col("kind") == loser) & F.col("disposition").isin("accepted", "indeterminate")).select(*keys, "id", "start", F.greatest(F.col("end"), F.col("start") + 1).alias("end"))
-        hit = iv.overlaps(weak, strong, keys, width).select("id").distinct().withColumn("__hit", F.lit(True))
+        weak = out.where((F.col("kind") == loser) & F.col("disposition").isin("accepted", "indeterminate")).select(*keys, "id", "start", F.greatest(F.col("end"), F.col("start") + 1).alias("end") if guard else "end")
+        hit = iv.overlaps(weak, strong, keys, width, points=not guard).select("id").distinct().withColumn("__hit", F.lit(True))
         out = out.join(hit, "id", "left")
         said = F.coalesce("__hit", F.lit(False))
         out = out.withColumns({"disposition": F.when(said, "rejected").otherwise(F.col("disposition")), "reason": F.when(said, F.concat(F.lit("near_accepted_"), F.lit(winner))).otherwise(F.col("reason")), "arbitrated": F.col("arbitrated") | said}).drop("__hit")

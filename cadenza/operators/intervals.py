@@ -80,14 +80,16 @@ def _binned(df: DataFrame, width: float) -> DataFrame:
     return df.withColumn("__bin", F.explode(F.sequence(lo.cast("long"), F.greatest(lo, hi).cast("long"))))
 
 
-def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: float, points: bool = False) -> DataFrame:
     """Pairs of overlapping intervals of one key: columns of left, those of right prefixed r_, common start and end as
     both_start, both_end. Intervals are dealt over bins of `width`, so a long recording does not meet itself in one
-    place; a pair is reported in the bin where its overlap begins."""
+    place; a pair is reported in the bin where its overlap begins. With `points` an interval without length counts where
+    it lies strictly inside the other."""
     a = _binned(left, width)
     b = _binned(right, width).select(*keys, "__bin", *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in keys])
     both = a.join(b, [*keys, "__bin"]).withColumns({"both_start": F.greatest("start", "r_start"), "both_end": F.least("end", "r_end")})
-    return both.where("both_end > both_start").where(F.floor(F.col("both_start") / width) == F.col("__bin")).drop("__bin")
+    held = "start < r_end AND r_start < end" if points else "both_end > both_start"
+    return both.where(held).where(F.floor(F.col("both_start") / width) == F.col("__bin")).drop("__bin")
 
 
 def intersected(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
