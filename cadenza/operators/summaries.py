@@ -87,11 +87,14 @@ def majority_frames(intervals: DataFrame, spans: DataFrame, keys: list[str], wid
 
 def boundary_contrast(frames: DataFrame, bounds: DataFrame, keys: list[str], width: int, guard: int, least: float) -> DataFrame:
     """For each bound (keys, id, t): mean level of the frames within `width` before and behind it, `guard` left free, the
-    contrast, and ambiguous where a side has no frame or the contrast is below `least`."""
+    contrast, and ambiguous where a side has no frame or the contrast is below `least`. Levels of a side are added up in
+    falling order of time, so a contrast of just `least` falls on the same side in every run."""
     around = bounds.select(*keys, "id", "t", (F.col("t") - guard - width).alias("start"), (F.col("t") + guard + width).alias("end"))
     near = iv.overlaps(around, frames.select(*keys, F.col("t").alias("start"), (F.col("t") + 1).alias("end"), F.col("t").alias("ft"), "level"), keys, 4 * (guard + width))
     before, behind = F.col("r_ft") < F.col("t") - guard, F.col("r_ft") >= F.col("t") + guard
-    out = near.groupBy(*keys, "id").agg(F.avg(F.when(before, F.col("r_level"))).alias("before"), F.avg(F.when(behind, F.col("r_level"))).alias("behind"))
+    side = lambda held: F.sort_array(F.collect_list(F.when(held & F.col("r_level").isNotNull(), F.struct("r_ft", F.col("r_level").cast("double").alias("v")))), False)
+    mean = lambda c: F.try_divide(F.aggregate(c, F.lit(0.0), lambda s, x: s + x["v"]), F.size(c))
+    out = near.groupBy(*keys, "id").agg(side(before).alias("__b"), side(behind).alias("__a")).select(*keys, "id", mean(F.col("__b")).alias("before"), mean(F.col("__a")).alias("behind"))
     out = bounds.select(*keys, "id").join(out, [*keys, "id"], "left").withColumn("contrast", F.col("behind") - F.col("before"))
     return out.withColumn("ambiguous", F.col("contrast").isNull() | (F.abs("contrast") < least))
 

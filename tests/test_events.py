@@ -1,6 +1,6 @@
 """Events at their edges: intervals without length, contrasts of just the limit, matches of long recordings."""
 
-from cadenza.operators import events
+from cadenza.operators import events, summaries
 
 
 def test_winner_without_length_rejects_what_holds_it(spark):
@@ -8,3 +8,13 @@ def test_winner_without_length_rejects_what_holds_it(spark):
     df = spark.createDataFrame(rows, "rec string, id int, kind string, start long, end long, disposition string")
     out = events.arbitrated(df, ["rec"], [("frozen", "dropout", 0)], 3)
     assert sorted(r.id for r in out.where("arbitrated").collect()) == [1, 5]
+
+
+def test_contrast_of_just_the_limit_follows_falling_time(spark):
+    before, behind = [85.77, 52.42, 41.86, 24.97], [71.86, 54.97, 82.42, 115.77]
+    levels = [(1, t, v) for t, v in zip([-9, -8, -7, -6, 6, 7, 8, 9], before + behind, strict=True)]
+    bounds = spark.createDataFrame([(1, 1, 0)], "rec int, id int, t long")
+    for turned in (levels, levels[::-1]):
+        frames = spark.createDataFrame(turned, "rec int, t long, level double").coalesce(1)
+        (row,) = summaries.boundary_contrast(frames, bounds, ["rec"], 10, 2, 30.0).collect()
+        assert row.contrast == 30.0 and not row.ambiguous
