@@ -7,60 +7,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks, resample
+from . import replicates as weighting
 from .measure import gated
 
 
-def _weighted_rank(value: str, keys: list[str]) -> Column:
-    """Average rank of rows that stand for `weight` rows each: what lies below, and half of the ties."""
-    w = Window.partitionBy(*keys)
-    below = F.coalesce(F.sum("weight").over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    ties = F.sum("weight").over(Window.partitionBy(*keys, value))
-    return below - ties + (ties + 1) / F.lit(2.0)
-
-
-def _moments(df: DataFrame, keys: list[str], x: str, y: str) -> Column:
-    """Weighted correlation of two columns, NULL where a side is constant."""
-    w = F.col("weight")
-    n, sx, sy = F.sum(w), F.sum(w * F.col(x)), F.sum(w * F.col(y))
-    cov = F.sum(w * F.col(x) * F.col(y)) - sx * sy / n
-    vx, vy = F.sum(w * F.col(x) * F.col(x)) - sx * sx / n, F.sum(w * F.col(y) * F.col(y)) - sy * sy / n
-    return F.when((vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(vx * vy))
+#: Sums over rows that a statistic of x and y is made of.
+_SUMS = {
+    "icc": lambda x, y: [F.lit(1.0), (x + y) / 2, (x + y) / 2 * ((x + y) / 2), (x - y) * (x - y)],
+    "kappa": lambda x, y: [F.lit(1.0), (x == y).cast("double"), x, y],
+    "ac1": lambda x, y: [F.lit(1.0), (x == y).cast("double"), x, y],
+}
 
 
-def weighted_statistics(df: DataFrame, keys: list[str], statistic: str, x: str, y: str) -> DataFrame:
-    """keys, value of a statistic over rows with a weight: spearman of x and y; auc of score x for label y (0/1); icc of
-    first x and second y, one-way; kappa and ac1 of two binary ratings x and y."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"__x": F.col(x).cast("double"), "__y": F.col(y).cast("double")})
-    w, n = F.col("weight"), F.sum("weight")
+def _value(statistic: str) -> Column:
+    """A statistic from its weighted sums s0, s1 ...; NULL where it has none."""
+    n, *s = (F.col(f"s{k}") for k in range(6))
     if statistic == "spearman":
-        rows = rows.withColumns({"__rx": _weighted_rank("__x", keys), "__ry": _weighted_rank("__y", keys)})
-        return rows.groupBy(*keys).agg(_moments(rows, keys, "__rx", "__ry").alias("value"))
+        a, b, ab, aa, bb = s
+        va, vb = aa - a * a / n, bb - b * b / n
+        return F.when((va > 1e-9) & (vb > 1e-9), (ab - a * b / n) / F.sqrt(va * vb))
     if statistic == "auc":
-        rows = rows.withColumn("__rx", _weighted_rank("__x", keys))
-        pos = F.sum(w * F.col("__y"))
-        return rows.groupBy(*keys).agg(F.when((pos > 0) & (n > pos), (F.sum(w * F.col("__y") * F.col("__rx")) - pos * (pos + 1) / 2) / (pos * (n - pos))).alias("value"))
+        _, pos, ab, *_ = s
+        return F.when((pos > 0) & (n > pos), (ab - pos * (pos + 1) / 2) / (pos * (n - pos)))
     if statistic == "icc":
-        mid, off = (F.col("__x") + F.col("__y")) / 2, F.col("__x") - F.col("__y")
-        between = 2 * (F.sum(w * mid * mid) - F.sum(w * mid) * F.sum(w * mid) / n) / (n - 1)
-        within = F.sum(w * off * off) / n / 2
-        return rows.groupBy(*keys).agg(F.when((n > 1) & (between + within > 0), (between - within) / (between + within)).alias("value"))
-    if statistic in ("kappa", "ac1"):
-        agree, a, b = F.sum(w * (F.col("__x") == F.col("__y")).cast("double")) / n, F.sum(w * F.col("__x")) / n, F.sum(w * F.col("__y")) / n
-        mean = (a + b) / 2
-        chance = a * b + (1 - a) * (1 - b) if statistic == "kappa" else 2 * mean * (1 - mean)
-        return rows.groupBy(*keys).agg(F.when(chance < 1 - 1e-12, (agree - chance) / (1 - chance)).alias("value"))
-    raise ValueError(f"no statistic {statistic}")
+        mid, square, off, *_ = s
+        between, within = 2 * (square - mid * mid / n) / (n - 1), off / n / 2
+        return F.when((n > 1) & (between + within > 0), (between - within) / (between + within))
+    agree, a, b = (c / n for c in s[:3])
+    mean = (a + b) / 2
+    chance = a * b + (1 - a) * (1 - b) if statistic == "kappa" else 2 * mean * (1 - mean)
+    return F.when(chance < 1 - 1e-12, (agree - chance) / (1 - chance))
 
 
 def bootstrap_statistic(df: DataFrame, cluster: str, statistic: str, x: str, y: str, replicates: int) -> DataFrame:
     """One row: statistic, estimate over all rows, 2.5 and 97.5 percentiles over cluster bootstrap replicates that have a
-    value, their number, clusters. A replicate weighs a cluster's rows by how often it drew it; no row is copied."""
-    rows = df.where(F.col(cluster).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select(cluster, x, y)
-    weights = resample.replicate_weights(rows, cluster, replicates).withColumn("weight", F.col("weight").cast("double"))
-    many = weighted_statistics(rows.join(weights, cluster), ["replicate"], statistic, x, y)
-    point = weighted_statistics(rows.withColumns({"weight": F.lit(1.0), "all": F.lit(0)}), ["all"], statistic, x, y).select(F.lit(statistic).alias("statistic"), F.col("value").alias("estimate"))
-    spread = many.agg(F.percentile("value", 0.025).alias("ci_low"), F.percentile("value", 0.975).alias("ci_high"), F.count("value").alias("replicates"))
-    return point.join(F.broadcast(spread)).join(F.broadcast(rows.agg(F.countDistinct(cluster).alias("clusters"))))
+    value, their number, clusters. spearman of x and y; auc of score x for label y (0/1); icc of first x and second y,
+    one-way; kappa and ac1 of two binary ratings x and y. A replicate weighs a cluster's rows by how often it drew it; no
+    row is copied."""
+    rows = df.where(F.col(cluster).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select(cluster, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    if statistic in ("spearman", "auc"):
+        sums = weighting.rank_sums(rows, cluster, "__x", "__y", statistic == "spearman", replicates, resample.SEED)
+    elif statistic in _SUMS:
+        terms = _SUMS[statistic](F.col("__x"), F.col("__y"))
+        per = rows.groupBy(cluster).agg(*[F.sum(c).alias(f"__{k}") for k, c in enumerate(terms)])
+        sums = weighting.weighted_sums(per, cluster, [f"__{k}" for k in range(len(terms))], replicates, resample.SEED)
+    else:
+        raise ValueError(f"no statistic {statistic}")
+    return weighting.interval(sums, _value(statistic)).select(F.lit(statistic).alias("statistic"), "estimate", "ci_low", "ci_high", "replicates", "clusters")
 
 
 def first_second(df: DataFrame, subject: str, order: list[str], value: str) -> DataFrame:
