@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import replicates as weighting
+
 SEED = 20260713
 
 
@@ -21,9 +23,8 @@ def stable_order(value: Column, seed: str = str(SEED)) -> Column:
 def replicate_weights(clusters: DataFrame, cluster: str, replicates: int) -> DataFrame:
     """replicate, cluster, weight: how often a bootstrap replicate draws the cluster. As many draws as clusters each;
     clusters are participants, so the table is replicates times participants."""
-    numbered = clusters.select(cluster).distinct().withColumn("__i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster)) - 1)
-    n = F.broadcast(numbered.agg(F.count(F.lit(1)).alias("__n")))
-    draws = numbered.crossJoin(n).select("__n", F.col("__i").alias("__d"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    numbered = weighting.numbered(clusters.select(cluster).distinct(), cluster)
+    draws = numbered.select("__n", F.col("__i").alias("__d"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = draws.select("replicate", draw(F.col("__n"), F.col("replicate"), F.col("__d")).alias("__i")).groupBy("replicate", "__i").agg(F.count(F.lit(1)).alias("weight"))
     return drawn.join(numbered, "__i").select("replicate", cluster, "weight")
 
@@ -31,17 +32,13 @@ def replicate_weights(clusters: DataFrame, cluster: str, replicates: int) -> Dat
 def bootstrap_mean(df: DataFrame, cluster: str, value: str, replicates: int) -> DataFrame:
     """One row: the mean over rows, its percentile interval over cluster bootstrap replicates, their number."""
     per = df.where(F.col(cluster).isNotNull() & F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__c"))
-    point = per.agg((F.sum("__s") / F.sum("__c")).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
-    stats = replicate_weights(per, cluster, replicates).join(per, cluster).groupBy("replicate").agg((F.sum(F.col("weight") * F.col("__s")) / F.sum(F.col("weight") * F.col("__c"))).alias("__m"))
-    return point.crossJoin(stats.agg(F.percentile("__m", 0.025).alias("ci_low"), F.percentile("__m", 0.975).alias("ci_high"), F.count(F.lit(1)).alias("replicates")))
+    return weighting.interval(weighting.weighted_sums(per, cluster, ["__s", "__c"], replicates, SEED), F.col("s0") / F.col("s1"))
 
 
 def bootstrap_median(df: DataFrame, cluster: str, value: str, replicates: int) -> DataFrame:
     """As bootstrap_mean, for the median over rows; a replicate weighs a cluster's rows by how often it drew it."""
     rows = df.where(F.col(cluster).isNotNull() & F.col(value).isNotNull()).select(cluster, value)
-    point = rows.agg(F.percentile(value, 0.5).alias("estimate"), F.countDistinct(cluster).alias("clusters"))
-    stats = rows.join(replicate_weights(rows, cluster, replicates), cluster).groupBy("replicate").agg(F.percentile(value, 0.5, F.col("weight")).alias("__m"))
-    return point.crossJoin(stats.agg(F.percentile("__m", 0.025).alias("ci_low"), F.percentile("__m", 0.975).alias("ci_high"), F.count(F.lit(1)).alias("replicates")))
+    return weighting.interval(weighting.medians(rows, cluster, value, replicates, SEED), F.col("s0"))
 
 
 def one_per_cluster(df: DataFrame, cluster: str, row: str, salt: str = "0") -> DataFrame:
