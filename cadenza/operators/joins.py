@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tasks that the matching of recordings is dealt over.
+TASKS = 96
+
 
 def _unique(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     rows = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
@@ -90,21 +95,74 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) for a, b in pairs) if flip else sorted(pairs)
 
 
+def _overlap_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a, rows of b and IoU of the pairs of two sorted sets of intervals that overlap."""
+    low, high = np.searchsorted(np.maximum.accumulate(b[:, 1]), a[:, 0], "right"), np.searchsorted(b[:, 0], a[:, 1], "left")
+    many = np.maximum(high - low, 0)
+    i = np.repeat(np.arange(len(a)), many)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + low[i]
+    overlap = np.maximum(np.minimum(a[i, 1], b[j, 1]) - np.maximum(a[i, 0], b[j, 0]), 0)
+    total = (a[i, 1] - a[i, 0]) + (b[j, 1] - b[j, 0]) - overlap
+    keep = overlap > 0
+    return i[keep], j[keep], (overlap / np.where(total > 0, total, 1))[keep]
+
+
+def _best_scores(a: np.ndarray, b: np.ndarray, least: float) -> list[float]:
+    """Scores of the assignment with the largest sum of scores of `least` or more. Sets of intervals that no
+    such pair links are solved apart, so the work follows the overlaps and not the square of a recording."""
+    i, j, score = _overlap_pairs(a, b)
+    if least <= 0:
+        table = np.zeros((len(a), len(b)))
+        table[i, j] = score
+        return [float(table[p, q]) for p, q in assign(-table)]
+    keep = score >= least
+    i, j, score = i[keep], j[keep], score[keep]
+    alone = (np.bincount(i, minlength=len(a))[i] == 1) & (np.bincount(j, minlength=len(b))[j] == 1)
+    hits = score[alone].tolist()
+    linked: dict[tuple[int, int], list[int]] = {}
+    for k in np.flatnonzero(~alone).tolist():
+        linked.setdefault((0, int(i[k])), []).append(k)
+        linked.setdefault((1, int(j[k])), []).append(k)
+    while linked:
+        open_, own = [next(iter(linked))], set()
+        while open_:
+            for k in linked.pop(open_.pop(), ()):
+                own.add(k)
+                open_ += [(0, int(i[k])), (1, int(j[k]))]
+        own = np.array(sorted(own))
+        rows, x = np.unique(i[own], return_inverse=True)
+        columns, y = np.unique(j[own], return_inverse=True)
+        table = np.zeros((len(rows), len(columns)))
+        table[x, y] = score[own]
+        hits += [float(table[p, q]) for p, q in assign(-table) if table[p, q] >= least]
+    return hits
+
+
 def match_events(truth: DataFrame, found: DataFrame, key: str, least_iou: float = 0.5) -> DataFrame:
     """Per key: optimal one-to-one matching of events (start, end) on IoU, counting matches of least_iou or more:
-    matched, n_truth, n_found, precision, recall, f1, median_iou. A key's events are those of one recording."""
-    rows = truth.select(key, "start", "end").withColumn("side", F.lit(0)).unionByName(found.select(key, "start", "end").withColumn("side", F.lit(1)))
+    matched, n_truth, n_found, precision, recall, f1, median_iou. A key's events are those of one recording; keys are
+    dealt over TASKS tasks whatever their size in bytes, since the work is in the matching."""
+    event = F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("side"))
+    rows = truth.select(key, "start", "end", F.lit(0).alias("side")).unionByName(found.select(key, "start", "end", F.lit(1).alias("side")))
+    both = rows.repartition(TASKS, key).groupBy(key).agg(F.collect_list(event).alias("l"))
+    names = ["matched", "n_truth", "n_found", "precision", "recall", "f1", "median_iou"]
     kind = truth.schema[key].dataType.simpleString()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0].sort_values(["start", "end"]), pdf[pdf.side == 1].sort_values(["start", "end"])
-        overlap = np.maximum(np.minimum(a.end.values[:, None], b.end.values) - np.maximum(a.start.values[:, None], b.start.values), 0)
-        total = (a.end - a.start).values[:, None] + (b.end - b.start).values - overlap
-        score = np.where(overlap > 0, overlap / np.where(total > 0, total, 1), 0.0)
-        hits = [score[i, j] for i, j in assign(np.where(score >= least_iou, -score, 0.0)) if score[i, j] >= least_iou] if len(a) and len(b) else []
+    def one(events: np.ndarray) -> tuple:
+        events = events[np.lexsort((events[:, 1], events[:, 0]))]
+        a, b = events[events[:, 2] == 0, :2], events[events[:, 2] == 1, :2]
+        hits = _best_scores(a, b, least_iou) if len(a) and len(b) else []
         k = len(hits)
-        p, r = k / len(b) if len(b) else None, k / len(a) if len(a) else None
-        f1 = 2 * k / (len(a) + len(b)) if len(a) + len(b) else None
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "matched": [k], "n_truth": [len(a)], "n_found": [len(b)], "precision": [p], "recall": [r], "f1": [f1], "median_iou": [float(np.median(hits)) if hits else None]})
-
-    return rows.groupBy(key).applyInPandas(one, f"{key} {kind}, matched long, n_truth long, n_found long, precision double, recall double, f1 double, median_iou double")
+        return k, len(a), len(b), k / len(b) if len(b) else None, k / len(a) if len(a) else None, 2 * k / (len(a) + len(b)), float(np.median(hits)) if hits else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy()
+            events = lists.flatten()
+            table = np.column_stack([events.field(c).to_numpy(zero_copy_only=False).astype(float) for c in range(3)])
+            ends = ends - ends[0]
+            found = list(zip(*[one(table[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64() if n < 3 else pa.float64()) for n, c in enumerate(found)]], [key, *names])
+
+    return both.mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} {'long' if n < 3 else 'double'}" for n, c in enumerate(names)))

@@ -1,6 +1,8 @@
 """Events at their edges: intervals without length, contrasts of just the limit, matches of long recordings."""
 
-from cadenza.operators import events, summaries
+import numpy as np
+
+from cadenza.operators import events, joins, summaries
 
 
 def test_winner_without_length_rejects_what_holds_it(spark):
@@ -18,3 +20,17 @@ def test_contrast_of_just_the_limit_follows_falling_time(spark):
         frames = spark.createDataFrame(turned, "rec int, t long, level double").coalesce(1)
         (row,) = summaries.boundary_contrast(frames, bounds, ["rec"], 10, 2, 30.0).collect()
         assert row.contrast == 30.0 and not row.ambiguous
+
+
+def test_matches_of_many_recordings_are_dealt_over_tasks(spark):
+    spans = spark.range(40_000).selectExpr("id % 2000 AS rec", "(id DIV 2000) * 10.0D AS start", "(id DIV 2000) * 10.0D + 6 AS end")
+    out = joins.match_events(spans, spans.selectExpr("rec", "start + 1 AS start", "end"), "rec", 0.5)
+    assert out.rdd.getNumPartitions() >= 48
+    assert {(r.matched, r.n_truth, r.n_found, round(r.median_iou, 9)) for r in out.collect()} == {(20, 20, 20, round(5 / 6, 9))}
+
+
+def test_a_long_recording_is_matched_by_its_overlaps():
+    """A matrix of 60,000 by 60,000 events takes 29 GB."""
+    start = np.arange(60_000) * 10.0
+    a, b = np.column_stack([start, start + 6]), np.column_stack([start + 4, start + 11])
+    assert len(joins._best_scores(a, b, 0.15)) == 60_000
