@@ -45,6 +45,26 @@ def with_rank(df: DataFrame, keys: list[str], value: str, name: str, total: str
     return both.select("r.*", f"p.{name}", *([f"p.{total}"] if total else []))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """keys and the exact quantiles of a value, interpolated as percentile does. Rows are counted by bins of the value; only
+    those in a bin that a quantile falls in, two for each level at most, are looked at again, so no task holds a key's values."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")).withColumn("__b", value_bin(F.col("__v")))
+    w = Window.partitionBy(*keys)
+    bins = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__s"))
+    bins = bins.withColumns({"__below": F.coalesce(F.sum("__s").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "__n": F.sum("__s").over(w)})
+    at = {name: (F.col("__n") - 1) * F.lit(float(q)) for name, q in levels.items()}
+    inside = lambda p, low, size: (p >= F.col(low)) & (p < F.col(low) + F.col(size))
+    held = reduce(lambda a, b: a | b, [inside(f(p), "__below", "__s") for p in at.values() for f in (F.floor, F.ceil)])
+    counts = rows.alias("r").join(F.broadcast(bins.where(held).alias("b")), same_keys("r", "b", [*keys, "__b"])).select("r.*", "b.__below", "b.__n")
+    counts = counts.groupBy(*keys, "__b", "__v", "__below", "__n").agg(F.count(F.lit(1)).alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("__k", F.col("__below") + F.coalesce(before, F.lit(0)))
+    pick = lambda p: F.max(F.when(inside(p, "__k", "__c"), F.col("__v")))
+    found = counts.groupBy(*keys).agg(F.max("__n").alias("__n"), *[pick(f(p)).alias(f"__{e}{k}") for k, p in enumerate(at.values()) for e, f in (("l", F.floor), ("h", F.ceil))])
+    between = lambda k, p: F.when(F.floor(p) == F.ceil(p), F.col(f"__l{k}")).otherwise((F.ceil(p) - p) * F.col(f"__l{k}") + (p - F.floor(p)) * F.col(f"__h{k}"))
+    return found.select(*keys, *[between(k, p).alias(name) for k, (name, p) in enumerate(at.items())])
+
+
 def percent_score(df: DataFrame, keys: list[str], value: str, name: str = "score") -> DataFrame:
     """(rank - 1) / (n - 1), 0.5 for a single value, NULL for NULL."""
     ranked = with_rank(df, keys, value, "__r", "__n")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def policy_availability(df: DataFrame, count: str, value: str, policies: list[int]) -> DataFrame:
     """For each minimum count: recordings, those whose value stays available, share, median of what stays."""
@@ -66,10 +68,11 @@ def feature_summary(df: DataFrame, features: list[str]) -> DataFrame:
     """Per feature: available, zeros, positives, quartiles, median of positive values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("x")).select("x.*")
     v = F.col("value")
-    return long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("available"), F.count_if(v == 0).alias("zeros"), F.count_if(v > 0).alias("positives"),
-        *[F.percentile("value", q).alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.percentile(F.when(v > 0, v), 0.5).alias("positive_median"), F.min("value").alias("least"), F.max("value").alias("most"),
-    )
+    counted = long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"), F.count("value").alias("available"), F.count_if(v == 0).alias("zeros"), F.count_if(v > 0).alias("positives"), F.min("value").alias("least"), F.max("value").alias("most"))
+    placed = quantiles(long, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    positive = quantiles(long.where(v > 0), ["feature"], "value", {"positive_median": 0.5})
+    out = counted.join(placed, "feature", "left").join(positive, "feature", "left")
+    return out.select("feature", "rows", "available", "zeros", "positives", "q1", "median", "q3", "positive_median", "least", "most")
 
 
 def densified(df: DataFrame, key: str, values: list[str], measures: list[Column], zero: list[str]) -> DataFrame:
