@@ -20,10 +20,13 @@ def long_features(df: DataFrame, keys: list[str], features: list[str]) -> DataFr
 def describe_features(df: DataFrame, cluster: str, features: list[str]) -> DataFrame:
     """Per feature: recordings, participants and recordings with a value, missing, quartiles, share of zeros."""
     v = F.col("value")
-    return long_features(df, [cluster], features).groupBy("feature").agg(
+    long = long_features(df, [cluster], features)
+    counted = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("recordings"), F.countDistinct(F.when(v.isNotNull(), F.col(cluster))).alias("participants"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"),
-        *[F.percentile("value", q).alias(name) for q, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))], F.avg((v == 0).cast("double")).alias("zero_fraction"),
+        F.avg((v == 0).cast("double")).alias("zero_fraction"),
     )
+    placed = ranks.quantiles(long, ["feature"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return counted.join(placed, "feature", "left").select("feature", "recordings", "participants", "n", "missing", "q1", "median", "q3", "zero_fraction")
 
 
 def feature_pairs(df: DataFrame, key: str, features: list[str], least: int = 10) -> DataFrame:
