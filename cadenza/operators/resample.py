@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import replicates as weighting
+from .ranks import quantiles
 
 SEED = 20260713
+#: Tasks that clusters are dealt over where each has much to do, and samples whose picks are made in one pass over rows.
+TASKS, PICKS = 96, 25
 
 
 def draw(modulus: Column, *parts: Column) -> Column:
@@ -49,11 +54,12 @@ def one_per_cluster(df: DataFrame, cluster: str, row: str, salt: str = "0") -> D
 
 def balanced_medians(df: DataFrame, cluster: str, row: str, value: str, iterations: int) -> DataFrame:
     """One row: median and 2.5/97.5 percentiles of the medians of `iterations` samples of one row per cluster."""
-    rows = df.where(F.col(cluster).isNotNull() & F.col(value).isNotNull()).select(cluster, row, value)
-    many = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("__it"))
-    key = F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("__it").cast("string"), F.col(row).cast("string")))
-    picked = many.groupBy("__it", cluster).agg(F.min_by(value, key).alias("__v"))
-    medians = picked.groupBy("__it").agg(F.percentile("__v", 0.5).alias("__m"))
+    rows = df.where(F.col(cluster).isNotNull() & F.col(value).isNotNull()).select(cluster, F.col(row).cast("string").alias("__r"), F.col(value).cast("double").alias("__v")).repartition(TASKS, cluster)
+    pick = lambda i: F.min_by("__v", F.md5(F.concat_ws("|", F.lit(str(SEED)), F.lit(str(i)), "__r")))
+    # Rows of a cluster meet once for all samples; the quantiles read the picks twice, which costs less than to move them.
+    parts = [rows.groupBy(cluster).agg(F.array(*map(pick, range(low, min(low + PICKS, iterations)))).alias("__l")).select(F.posexplode("__l").alias("__it", "__v")).withColumn("__it", F.col("__it") + low) for low in range(0, iterations, PICKS)]
+    picked = reduce(DataFrame.unionAll, parts)
+    medians = quantiles(picked, ["__it"], "__v", {"__m": 0.5})
     return medians.agg(F.percentile("__m", 0.5).alias("median"), F.percentile("__m", 0.025).alias("low"), F.percentile("__m", 0.975).alias("high"), F.count(F.lit(1)).alias("iterations"))
 
 
