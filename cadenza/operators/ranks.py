@@ -7,13 +7,20 @@ of rows is ranked by as many tasks as there are, and a value that many rows shar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins of each octave of values.
 PARTS = 4096
+#: Tasks that keys are dealt over where pairs of their rows meet.
+TASKS = 96
+#: Slopes of one key that are sorted at once.
+PAIRS = 1 << 22
 
 
 def value_bin(x: Column) -> Column:
@@ -123,23 +130,71 @@ def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.percentile("__slope", 0.5).alias("slope"))
 
 
+def _slopes(x: np.ndarray, y: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Slopes of the pairs x[i] < x[j] with i in [low, high); x rises."""
+    first = np.searchsorted(x, x[low:high], "right")
+    many = len(x) - first
+    i = np.repeat(np.arange(low, high), many)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    return (y[j] - y[i]) / (x[j] - x[i])
+
+
+def _kth_slopes(x: np.ndarray, y: np.ndarray, places: list[int], held: int = PAIRS) -> list[float]:
+    """The slopes at places of their order. Up to `held` of them are sorted, beyond that a place is found by halving the range
+    of doubles and counting slopes in blocks, so what is held at once is bounded."""
+    pairs = int((len(x) - np.searchsorted(x, x, "right")).sum())
+    if pairs <= held:
+        slopes = np.sort(_slopes(x, y, 0, len(x)))
+        return [float(slopes[p]) for p in places]
+    step = max(1, held // len(x))
+    # Doubles in order as integers.
+    double = lambda k: np.array(k if k >= 0 else k ^ 0x7FFFFFFFFFFFFFFF, np.int64).view(np.float64)[()]
+    out = []
+    for p in places:
+        low, high = -(0x7FF << 52) - 1, 0x7FF << 52
+        while low < high:
+            mid = (low + high) // 2
+            if sum(int((_slopes(x, y, at, min(len(x), at + step)) <= double(mid)).sum()) for at in range(0, len(x), step)) > p:
+                high = mid
+            else:
+                low = mid + 1
+        out.append(float(double(low)))
+    return out
+
+
 def theil_sen_interval(df: DataFrame, keys: list[str], x: str, y: str, z: float) -> DataFrame:
     """keys, pairs, slope, low, high: the median of all slopes of a key and the slopes whose ranks lie z standard deviations
-    of Kendall's statistic, ties allowed for, on both sides. Work as theil_sen."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    of Kendall's statistic, ties allowed for, on both sides. A key must be a recording or participant: its rows are held
+    together, never its pairs beyond PAIRS. Keys are dealt over TASKS tasks whatever their size in bytes."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("__r"))
+    held = rows.repartition(TASKS, *keys).groupBy(*keys).agg(F.collect_list("__r").alias("__l"))
     term = lambda n: n * (n - 1) * (2 * n + 5)
-    ties = [rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__t")).where("__t > 1").groupBy(*keys).agg(F.sum(term(F.col("__t"))).alias(f"__s{c}")) for c in ("__x", "__y")]
-    spread = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    for t in ties:
-        spread = spread.join(t, keys, "left").fillna(0)
-    spread = spread.select(*keys, (F.lit(z) * F.sqrt((term(F.col("__n")) - F.col("__s__x") - F.col("__s__y")) / 18.0)).alias("__w"))
-    a, b = rows, rows.select(*keys, F.col("__x").alias("__u"), F.col("__y").alias("__v"))
-    slopes = a.join(b, keys).where("__x < __u").select(*keys, ((F.col("__v") - F.col("__y")) / (F.col("__u") - F.col("__x"))).alias("__slope"))
-    w = Window.partitionBy(*keys)
-    placed = slopes.withColumns({"__k": F.row_number().over(w.orderBy("__slope")) - 1, "__m": F.count(F.lit(1)).over(w)}).join(spread, keys)
-    low = F.greatest(F.bround((F.col("__m") - F.col("__w")) / 2) - 1, F.lit(0))
-    high = F.least(F.bround((F.col("__m") + F.col("__w")) / 2), F.col("__m") - 1)
-    return placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), F.percentile("__slope", 0.5).alias("slope"), F.max(F.when(F.col("__k") == low, F.col("__slope"))).alias("low"), F.max(F.when(F.col("__k") == high, F.col("__slope"))).alias("high"))
+
+    def one(x: np.ndarray, y: np.ndarray) -> tuple | None:
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        m = int((len(x) - np.searchsorted(x, x, "right")).sum())
+        if not m:
+            return None
+        tied = [int(term(np.unique(c, return_counts=True)[1].astype(object)).sum()) for c in (x, y)]
+        w = z * ((term(len(x)) - sum(tied)) / 18.0) ** 0.5
+        low, high = max(round((m - w) / 2) - 1, 0), min(round((m + w) / 2), m - 1)
+        a, b, c, d = _kth_slopes(x, y, [(m - 1) // 2, m // 2, low, high])
+        return m, (a + b) / 2, c, d
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            ends = lists.offsets.to_numpy()
+            xs, ys = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in range(2))
+            ends = ends - ends[0]
+            found = [one(xs[i:j], ys[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            some = batch.filter(pa.array([f is not None for f in found], pa.bool_()))
+            figures = list(zip(*[f for f in found if f is not None], strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*some.columns[: len(keys)], *[pa.array(c, pa.float64() if k else pa.int64()) for k, c in enumerate(figures)]], [*keys, "pairs", "slope", "low", "high"])
+
+    types = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return held.mapInArrow(run, types + "pairs long, slope double, low double, high double")
 
 
 def robust_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:

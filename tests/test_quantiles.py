@@ -36,3 +36,17 @@ def test_balanced_medians_of_many_samples(spark):
     (row,) = out.collect()
     assert (row.iterations, row["median"]) == (times, np.median(medians))
     assert np.allclose([row.low, row.high], np.quantile(medians, [0.025, 0.975]))
+
+
+def test_slopes_of_a_long_key_are_found_in_blocks():
+    rng = np.random.default_rng(2)
+    x, y = np.sort(rng.integers(0, 30, 80)).astype(float), rng.normal(0, 9, 80).round(1)
+    places = [0, 400, 1500, 2900]
+    assert ranks._kth_slopes(x, y, places, 100) == ranks._kth_slopes(x, y, places)
+
+
+def test_theil_sen_forms_no_pairs_of_rows_in_a_join(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 3.0), ("a", 2.0, 4.0), ("a", None, 9.0), ("b", 1.0, 1.0)], "k string, x double, y double")
+    out = ranks.theil_sen_interval(df, ["k"], "x", "y", 0.1)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.k, r.pairs, r.slope) for r in out.collect()] == [("a", 3, 2.0)]
