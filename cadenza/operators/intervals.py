@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tasks that keys are dealt over where one set of intervals is merged in several ways.
+TASKS = 96
+
 
 def _order(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("start", "end")
@@ -140,7 +143,8 @@ def shifted_offsets(df: DataFrame, keys: list[str], shift: float, least: float,
 
 def segmentation_views(df: DataFrame, keys: list[str], bridge: float, least: float, speech_edge: float, pause_edge: float) -> DataFrame:
     """Four views of detected speech in one table, never pooled: raw, primary (bridged), strict (eroded primary) and
-    strict pauses (eroded gaps of primary)."""
+    strict pauses (eroded gaps of primary). Keys are dealt over TASKS tasks once, for all views."""
+    df = df.repartition(TASKS, *keys)
     primary = bridged(df, keys, bridge, least).select(*keys, "start", "end")
     parts = {
         "raw_speech": merged(df, keys).select(*keys, "start", "end"),

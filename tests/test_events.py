@@ -2,7 +2,10 @@
 
 import numpy as np
 
-from cadenza.operators import events, joins, summaries
+from cadenza.operators import events, intervals, joins, summaries
+from cadenza.plans import QUERIES
+
+from .oracle import SF
 
 
 def test_winner_without_length_rejects_what_holds_it(spark):
@@ -34,3 +37,9 @@ def test_a_long_recording_is_matched_by_its_overlaps():
     start = np.arange(60_000) * 10.0
     a, b = np.column_stack([start, start + 6]), np.column_stack([start + 4, start + 11])
     assert len(joins._best_scores(a, b, 0.15)) == 60_000
+
+
+def test_sets_merged_in_several_ways_are_dealt_over_tasks(spark):
+    for name in ("segmentation_views", "episode_gap_sensitivity"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert f", {intervals.TASKS}" in plan and "RepartitionByExpression" in plan
