@@ -88,7 +88,7 @@ def touched_frames(spark, sf):
 
 
 def episode_gap_sensitivity(spark, sf):
-    rows, out = intervals(spark, sf), None
+    rows, out = intervals(spark, sf).repartition(iv.TASKS, "rec"), None
     for hours in (0, 2, 12, 48):
         part = iv.merged(rows, REC, hours * HOUR).groupBy("rec").agg(F.count(F.lit(1)).alias("episodes"), F.max("n").alias("largest")).withColumn("gap_hours", F.lit(hours))
         out = part if out is None else out.unionByName(part)
